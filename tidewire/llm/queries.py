@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality_classifier, quality_rules
+from . import decontaminate, language_id, quality_classifier, quality_rules
 
 QUERIES = {
     "op5_quality_classifier": quality_classifier.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_language_id": language_id.query,
 }
 ORACLES = {"op7_benchmark_decontamination": decontaminate.ORACLE}
