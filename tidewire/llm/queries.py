@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, quality_classifier, quality_rules
+from . import decontaminate, language_id, quality_classifier, quality_rules, secrets
 
 QUERIES = {
+    "op3_secret_scans": secrets.query,
     "op5_quality_classifier": quality_classifier.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op9_quality_rules": quality_rules.query,
