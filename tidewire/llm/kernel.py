@@ -8,6 +8,7 @@ buffer, so the cost per document is a few microseconds and memory is bounded by
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -173,11 +174,18 @@ def fold(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows go to the cluster's checkpoint folder, once."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """A new folder under the cluster's checkpoint folder; only where none is set, one of this machine."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Cut the lineage: the rows are written once, as a table in the shared folder, and read from there."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, quality_classifier, quality_rules, secrets
+from . import decontaminate, jaccard_join, language_id, quality_classifier, quality_rules, secrets
 
 QUERIES = {
     "op3_secret_scans": secrets.query,
+    "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_quality_classifier": quality_classifier.query,
     "op7_benchmark_decontamination": decontaminate.query,
     "op9_quality_rules": quality_rules.query,
