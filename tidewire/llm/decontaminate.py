@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import CHUNK_BYTES, LOWER, Batch, arrow_schema, chunks, table, utf8
+from .kernel import CHUNK_BYTES, LOWER, Batch, arrow_schema, chunks, table, tidy, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -123,7 +123,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
                     new = {"n_words": pa.array(counts, pa.int64()), "hit_spans": pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], out.field("hit_spans").type), "hit_items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "n_hit": pa.array([sum(b - a for a, b in s) for s in spans], pa.int64())}
                     yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else part.column(part.schema.names.index(f.name)) for f in out], schema=out)
 
-        frame = frame.mapInArrow(run, schema)
+        frame = frame.mapInArrow(tidy(run), schema)
     return frame
 
 

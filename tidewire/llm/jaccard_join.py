@@ -9,11 +9,12 @@ A document's set holds its distinct ``SHINGLE``-word shingles as 64-bit hashes.
    changes speed only: any order gives the same links.
 2. Documents with identical prefixes and size form a group, and each group is posted once under each prefix shingle.
 3. Posting lists are expanded to the members, which are the distinct sets of a group. Lists of up to ``SMALL``
-   members give all pairs. Longer ones tie each member to ``STARS`` leaders; when those links are verified and
-   merged, members outside a list's largest component are paired with all the others that they aren't yet tied to.
+   members are searched whole. Longer ones tie each member to ``STARS`` leaders; when those links are verified and
+   merged, members outside a list's largest component are held against all others, in blocks of ``BLOCK``
+   (lists with the same largest component together).
    Pairs inside a component are never needed, so a group of near copies costs its size, not the square of it.
-4. Pairs of unfit sizes go; a pair's sketches (parities of shingle counts in buckets) bound the symmetric
-   difference from below and reject most others; the rest are verified on the whole sets.
+4. Within a list or block, pairs of unfit sizes go; the sketches (parities of shingle counts in buckets) bound the
+   symmetric difference from below and reject most others. What is left is verified on the whole sets.
 5. Components of the verified links, by distributed stars.
 
 Cases: a null text, an empty one or one without words has an empty set, links with nothing and is its own component;
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import LOWER, Batch, lists, map_batches, mix, shared, table, utf8, whole_hash
+from .kernel import LOWER, Batch, lists, map_batches, mix, shared, table, tidy, utf8, whole_hash
 
 SHINGLE, PERCENT = 4, 85
-SMALL, STARS = 16, 16
+SMALL, STARS = 64, 8
+#: Members of a long list that one block holds.
+BLOCK = 4096
 #: Rows of the sample that finds frequent shingles, and how often one must occur there.
 SAMPLE_ROWS, FREQUENT = 20_000, 4
 SKETCH_BUCKETS = 26
@@ -63,6 +66,12 @@ def _sets(raw: np.ndarray, off: np.ndarray, frequent: np.ndarray | None, size: i
     return keys[new], total[bounds]
 
 
+def _whole(keys: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of each set, by its size and members but not their order."""
+    sums = np.append(np.uint64(0), np.cumsum(mix((keys & ~(np.uint64(1) << _TOP)) + np.uint64(0x51ED270B)), dtype=np.uint64))
+    return mix(sums[off[1:]] - sums[off[:-1]] + np.diff(off).astype(np.uint64))
+
+
 def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     """A bitmap of fixed size of the shingle hashes' buckets that are frequent in the sample."""
     n = docs.count()
@@ -92,6 +101,14 @@ def _frequent(docs: DataFrame, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def _parities(doc: np.ndarray, hashes: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """By document, ``bits[doc]`` buckets, each the parity of how many of the hashes fall into it."""
+    start = np.append(0, np.cumsum(bits))
+    odd = np.bincount(start[doc] + (hashes & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=start[-1]) & 1
+    packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((start[:-1] // 8).tolist(), (start[1:] // 8).tolist(), strict=True)]
+
+
 def _profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """By row: doc_id, n, the set's hash, the group (hash of prefix and size), prefix and sketch."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, size))
@@ -103,20 +120,16 @@ def _profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
             doc = np.repeat(np.arange(len(n)), n)
             rank = np.arange(len(keys)) - off[:-1][doc]
             mixed = mix(keys + np.uint64(0x51ED270B))
-            sums = np.zeros((2, len(keys) + 1), np.uint64)
             first = rank < (n + percent * n // -100 + 1)[doc]
-            np.cumsum(mixed, out=sums[0, 1:])
-            np.cumsum(np.where(first, mix(mixed), np.uint64(0)), out=sums[1, 1:])
-            whole, group = (mix(x[off[1:]] - x[off[:-1]] + n.astype(np.uint64)) for x in sums)
+            sums = np.append(np.uint64(0), np.cumsum(np.where(first, mix(mixed), np.uint64(0)), dtype=np.uint64))
+            whole, group = _whole(keys, off), mix(sums[off[1:]] - sums[off[:-1]] + n.astype(np.uint64))
             bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
-            start = np.append(0, np.cumsum(bits))
-            odd = np.bincount(start[doc] + (mixed & (bits[doc] - 1).astype(np.uint64)).astype(np.int64), minlength=start[-1]) & 1
-            packed = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-            return {"doc_id": rows.column(0), "n": n, "node": whole.view(np.int64), "grp": group.view(np.int64), "prefix": lists(keys[first].view(np.int64), np.bincount(doc[first], minlength=len(n)), pa.int64()), "sketch": [packed[a:b] for a, b in zip((start[:-1] // 8).tolist(), (start[1:] // 8).tolist(), strict=True)]}
+            sketch, fine = (_parities(doc, mixed, x) for x in (bits, 4 * bits))
+            return {"doc_id": rows.column(0), "n": n, "node": whole.view(np.int64), "grp": group.view(np.int64), "prefix": lists(keys[first].view(np.int64), np.bincount(doc[first], minlength=len(n)), pa.int64()), "sketch": sketch, "fine": fine}
 
         return work
 
-    return map_batches(docs, ["doc_id", "text"], "doc_id bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, sketch binary", make)
+    return map_batches(docs, ["doc_id", "text"], "doc_id bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, sketch binary, fine binary", make)
 
 
 def _shared_postings(batches):
@@ -138,49 +151,109 @@ def _shared_postings(batches):
     yield pa.RecordBatch.from_arrays([pa.array(token[several]), pa.array(group[several])], ["token", "grp"])
 
 
-def _fits(percent: int, a: str = "na", b: str = "nb"):
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
+class _Close:
+    """Pairs of a posting list whose sizes fit and whose sketches don't rule a link out.
+
+    Sketches of fitting sizes have the same length or one twice the other's; the longer is folded.
+    |x ^ y| = |x| + |y| - 2 |x & y|, and linked sets share percent / (100 + percent) of the sum of sizes at least.
+    """
+
+    def __init__(self, n: np.ndarray, sketches: list[bytes], percent: int):
+        self.n, self.percent = n, percent
+        self.length = np.array([len(x) for x in sketches])
+        self.rows = np.zeros(len(n), np.int64)
+        self.own, self.folded = {}, {}
+        for k in np.unique(self.length).tolist():
+            at = np.flatnonzero(self.length == k)
+            self.rows[at] = np.arange(len(at))
+            own = self.own[k] = np.frombuffer(b"".join(sketches[i] for i in at.tolist()), np.uint8).reshape(len(at), k)
+            self.folded[k] = own[:, : k // 2] ^ own[:, k // 2 :]
+
+    def among(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, q = self.n[i], self.n[j]
+        fit = 100 * np.minimum(p, q) >= self.percent * np.maximum(p, q)
+        i, j = i[fit], j[fit]
+        swap = self.length[i] > self.length[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        near = np.zeros(len(i), bool)
+        for k in np.unique(self.length[i]).tolist():
+            for other, source in ((k, self.own), (2 * k, self.folded)):
+                at = np.flatnonzero((self.length[i] == k) & (self.length[j] == other))
+                for lo in range(0, len(at), step := max(1, (8 << 20) // k)):
+                    x = at[lo : lo + step]
+                    least = np.bitwise_count(self.own[k][self.rows[i[x]]] ^ source[other][self.rows[j[x]]]).sum(1, dtype=np.int64)
+                    near[x] = (100 + self.percent) * least <= (100 - self.percent) * (self.n[i[x]] + self.n[j[x]])
+        return i[near], j[near]
+
+
+def _close_pairs(percent: int):
+    """Over a task's rows (token, salt, node, n, sketch, root, probe): close pairs within lists of no probes, else of probes with all of other roots."""
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        token, salt, node, n, root, probe = (rows.column(c).to_numpy() for c in ("token", "salt", "node", "n", "root", "probe"))
+        sketches = rows.column("sketch").to_pylist()
+        order = np.lexsort((node, salt, token))
+        cut = np.flatnonzero((np.diff(token[order]) != 0) | (np.diff(salt[order]) != 0)) + 1
+        found = [np.zeros((0, 2), np.int64)]
+        for at in np.split(order, cut):
+            close, flags = _Close(n[at], [sketches[i] for i in at.tolist()], percent), probe[at]
+            if not flags.any():
+                blocks = [np.triu_indices(len(at), 1)]
+            else:
+                asks, all_ = np.flatnonzero(flags), np.arange(len(at))
+                blocks = ((np.full(len(all_), i), all_) for i in asks.tolist())
+            for i, j in blocks:
+                if flags.any():
+                    # two probes meet in every block of their list, and count in the first
+                    keep = (root[at[i]] != root[at[j]]) & (~flags[j] | ((salt[at[0]] == 0) & (i < j)))
+                    i, j = i[keep], j[keep]
+                i, j = close.among(i, j)
+                found.append(np.sort(np.stack([node[at[i]], node[at[j]]], 1), 1))
+            if len(found) > 10_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _starred(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The close ones among pairs (a, b)."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
 
-def _sketch_bound(x: bytes, y: bytes) -> int:
-    """At most the size of the symmetric difference of two sets."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(a) < len(b):
-        a, b = b, a
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
+    def sketched(batches):
+        for batch in batches:
+            na, nb, sa, sb = (batch.column(batch.schema.names.index(c)) for c in ("na", "nb", "sa", "sb"))
+            n = np.concatenate([na.to_numpy(), nb.to_numpy()])
+            i, _ = _Close(n, sa.to_pylist() + sb.to_pylist(), percent).among(k := np.arange(batch.num_rows), k + batch.num_rows)
+            yield batch.select(["a", "b"]).take(pa.array(i % max(batch.num_rows, 1)))
 
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(sketched), "a bigint, b bigint")
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link. ``nodes``: node, rep, n, sketch."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    known = shared(nodes.join(ends, "node"))
-    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("rep").alias(f"r{x}"))
 
-    def sketched(batches):
-        for batch in batches:
-            na, nb, sa, sb = (batch.column(batch.schema.names.index(c)).to_pylist() for c in ("na", "nb", "sa", "sb"))
-            # |x ^ y| = |x| + |y| - 2 |x & y|, and linked sets share percent / (100 + percent) of the sum of sizes
-            near = [(100 + percent) * _sketch_bound(x, y) <= (100 - percent) * (p + q) for p, q, x, y in zip(na, nb, sa, sb, strict=True)]
-            yield batch.select(["a", "b", "ra", "rb"]).filter(pa.array(near, pa.bool_()))
-
-    close = shared(pairs.join(side("a"), "a").join(side("b"), "b").where(_fits(percent)).select("a", "b", "ra", "rb", "na", "nb", "sa", "sb").mapInArrow(sketched, "a bigint, b bigint, ra bigint, rb bigint"))
-    reps = close.select(F.col("ra").alias("doc_id"), F.col("a").alias("node")).union(close.select("rb", "b")).distinct()
-    reps = shared(reps)
+def _verified(close: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those that link, by their whole sets."""
+    ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
+    reps = shared(ends.join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
     few = reps.count() <= BROADCAST_ROWS
     wanted = docs.join(F.broadcast(reps) if few else reps, "doc_id").select("node", "text")
 
     def make():
         def work(rows):
             keys, off = _sets(*utf8(rows.column(1)), None, size)
+            whole, n = _whole(keys, off), np.diff(off)
             view = keys.tobytes()
-            return {"node": rows.column(0), "members": [view[8 * a : 8 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]}
+            # rows of one doc_id may hold several texts: the node's own is known by its hash
+            own = whole.view(np.int64) == rows.column(0).to_numpy()
+            return {"node": rows.column(0), "members": [view[8 * a : 8 * b] if o else None for a, b, o in zip(off[:-1].tolist(), off[1:].tolist(), own.tolist(), strict=True)]} if len(n) else None
 
         return work
 
-    # rows of one doc_id may hold several texts; the node's own is found by its size and hash
-    sets = shared(map_batches(wanted, ["node", "text"], "node bigint, members binary", make).dropDuplicates(["node", "members"]))
+    sets = shared(map_batches(wanted, ["node", "text"], "node bigint, members binary", make).where("members is not null").dropDuplicates(["node"]))
     members = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}"))
 
     def linked(batches):
@@ -194,11 +267,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
                 hits.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
 
-    return shared(close.select("a", "b").join(members("a"), "a").join(members("b"), "b").select("a", "b", "ma", "mb").mapInArrow(linked, "a bigint, b bigint"))
-
-
-def _pair(x, y):
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    return shared(close.join(members("a"), "a").join(members("b"), "b").select("a", "b", "ma", "mb").mapInArrow(tidy(linked), "a bigint, b bigint"))
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -207,30 +276,36 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     profile = shared(_profile(docs, size, percent))
     filled = profile.where("n > 0")
     classes = shared(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.count("*").alias("copies")))
-    nodes = filled.select("node", F.col("doc_id").alias("rep"), "n", "sketch").join(classes.select("node", "rep"), ["node", "rep"]).dropDuplicates(["node"])
+    nodes = filled.select("node", F.col("doc_id").alias("rep"), "n", "sketch", "fine").join(classes.select("node", "rep"), ["node", "rep"]).dropDuplicates(["node"])
 
     posted = filled.select(F.explode("prefix").alias("token"), "grp").withColumn("salt", F.when(F.col("token") < 0, F.pmod("grp", F.lit(16))).otherwise(0))
-    postings = posted.repartition("token", "salt").select("token", "grp").mapInArrow(_shared_postings, "token bigint, grp bigint")
+    postings = posted.repartition("token", "salt").select("token", "grp").mapInArrow(tidy(_shared_postings), "token bigint, grp bigint")
     crowded = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.xxhash64(F.lit("group"), "grp").alias("token"), "grp")
-    listed = shared(postings.union(crowded).join(classes.select("grp", "node", "n"), "grp").select("token", "node", "n"))
+    listed = shared(postings.union(crowded).join(classes.select("grp", "node"), "grp").select("token", "node"))
     flips = np.random.default_rng(85).integers(-(1 << 62), 1 << 62, STARS).tolist()
     sizes = listed.groupBy("token").agg(F.count("*").alias("m"), *[F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"x{i}") for i, x in enumerate(flips)])
     leaders = F.array(*[F.col(f"x{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(flips)])
     sizes = shared(sizes.where("m > 1").select("token", "m", F.when(F.col("m") > SMALL, F.array_distinct(leaders)).alias("leaders")))
-    small = listed.join(sizes.where(F.col("m") <= SMALL).select("token"), "token")
-    large = shared(listed.join(sizes.where(F.col("m") > SMALL).select("token", "leaders"), "token"))
-    other = small.select("token", F.col("node").alias("other"), F.col("n").alias("nb"))
-    pairs = small.withColumnRenamed("n", "na").join(other, "token").where((F.col("node") < F.col("other")) & _fits(percent)).select(*_pair("node", "other"))
-    stars = large.select("node", F.explode("leaders").alias("other")).where("node <> other").select(*_pair("node", "other"))
-    links = _verified(shared(pairs.union(stars).distinct()), nodes, docs, size, percent)
+    lined = shared(listed.join(sizes, "token").select("token", "node", "m", "leaders"))
+    nodes = shared(nodes.join(lined.select("node").distinct(), "node"))
+    sketches = nodes.select("node", "n", "sketch")
+    pairs_of = _close_pairs(percent)
+    small = lined.where(F.col("m") <= SMALL).select("token", "node").join(sketches, "node").select("token", F.lit(0).alias("salt"), "node", "n", "sketch", F.col("node").alias("root"), F.lit(False).alias("probe"))
+    pairs = small.repartition("token").mapInArrow(tidy(pairs_of), "a bigint, b bigint")
+    large = lined.where(F.col("m") > SMALL)
+    stars = large.select("node", F.explode("leaders").alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = _verified(shared(pairs.union(_starred(stars, sketches, percent)).distinct()), nodes, docs, size, percent)
     roots = shared(components(links))
 
-    placed = shared(large.select("token", "node", "n").join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root")))
+    placed = shared(large.select("token", "node", "m").join(roots, "node", "left").select("token", "node", "m", F.coalesce("root", "node").alias("root")))
     main = placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rest = shared(placed.join(main.select("token", "main"), "token"))
-    probes = rest.where("root <> main").select("token", F.col("node").alias("other"), F.col("n").alias("nb"), F.col("root").alias("from"))
-    more = rest.withColumnRenamed("n", "na").join(probes, "token").where((F.col("root") != F.col("from")) & _fits(percent)).select(*_pair("node", "other")).distinct()
-    more = shared(more)
+    # lists with one main component are searched as one, so that a pair is met once and not under every shingle it shares
+    rest = shared(placed.join(main.select("token", "main"), "token").select(F.col("main").alias("token"), "node", "root").distinct())
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rest = rest.join(rest.groupBy("token").agg(F.count("*").alias("m")), "token").withColumn("probe", F.col("root") != F.col("token"))
+    rest = rest.withColumn("salt", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod("node", blocks).cast("int")))))
+    more = rest.join(nodes.select("node", "n", F.col("fine").alias("sketch")), "node").select("token", "salt", "node", "n", "sketch", "root", "probe").repartition("token", "salt").mapInArrow(tidy(pairs_of), "a bigint, b bigint")
+    more = shared(more.distinct())
     if not more.isEmpty():
         links = links.union(_verified(more, nodes, docs, size, percent))
         roots = shared(components(links))

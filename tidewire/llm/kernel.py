@@ -8,6 +8,8 @@ buffer, so the cost per document is a few microseconds and memory is bounded by
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -127,6 +129,20 @@ def whole_hash(h: np.ndarray) -> int:
     return int(mix(np.array([acc], np.uint64))[0])
 
 
+def tidy(run: Callable) -> Callable:
+    """Give a task's memory back when it ends: idle workers share an executor's limit with busy ones."""
+
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return released
+
+
 def map_batches(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], limit: int = CHUNK_BYTES) -> DataFrame:
     """Apply ``make()``'s function to slices of ``df[columns]``; a column named text bounds a slice's bytes.
 
@@ -147,7 +163,7 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, make: Callable[[
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, got[f.name]) for f in out)], schema=out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidy(run), schema)
 
 
 def arrow_schema(schema) -> pa.Schema:
