@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, quality_classifier, quality_rules, secrets
+from . import decontaminate, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sentencepiece
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece.query,
     "op3_secret_scans": secrets.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_quality_classifier": quality_classifier.query,
