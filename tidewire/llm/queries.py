@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, quality_classifier, quality_rules, secrets, sentencepiece
+from . import decontaminate, html_text, jaccard_join, language_id, pii, quality_classifier, quality_rules, secrets, sentencepiece, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece.query,
+    "op2_pii": pii.query,
     "op3_secret_scans": secrets.query,
     "op4_ngram_jaccard_join": jaccard_join.query,
     "op5_quality_classifier": quality_classifier.query,
+    "op6_url_filter": url_filter.query,
     "op7_benchmark_decontamination": decontaminate.query,
+    "op8_html_extraction": html_text.query,
     "op9_quality_rules": quality_rules.query,
     "op10_language_id": language_id.query,
 }
