@@ -26,6 +26,8 @@ TRAIN_ROWS = 3000
 TRAIN_BYTES = 16 << 20
 BITS, DIM, LENGTHS = 16, 8, (3, 4)
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-6
+#: Few rows are gone over more often, until this many have been seen.
+TRAIN_STEPS = 24_000
 THRESHOLD = 0.3
 
 
@@ -57,11 +59,12 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     layer, bias = rng.uniform(-1, 1, (DIM, 2)) / DIM, np.log(np.bincount(y, minlength=2) / len(y))
     averaged = [embed * 0, layer * 0, bias * 0]
     steps, kept = 0, 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, min(8 * EPOCHS, TRAIN_STEPS // len(y)))
+    for epoch in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), 8):
             docs = order[lo : lo + 8]
-            rate = RATE * (1 - steps / (EPOCHS * (len(y) // 8 + 1)))
+            rate = RATE * (1 - steps / (epochs * (len(y) // 8 + 1)))
             steps += 1
             parts = [(buckets[rows[d] : rows[d + 1]], counts[rows[d] : rows[d + 1]]) for d in docs]
             h = np.stack([(c / max(c.sum(), 1)) @ embed[b] for b, c in parts])
@@ -74,7 +77,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
             bias -= rate * p.mean(0)
             for (b, c), g in zip(parts, back, strict=True):
                 embed[b] -= (rate * 4 * c / max(c.sum(), 1))[:, None] * g
-        if epoch >= EPOCHS // 2:
+        if epoch >= epochs // 2:
             kept += 1
             for a, x in zip(averaged, (embed, layer, bias), strict=True):
                 a += x
@@ -87,7 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: i
     from .features import sample
 
     worst = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where(fold("doc_id", 5) != 0)
-    few = worst.orderBy(F.xxhash64(F.lit(17), F.col("doc_id")), F.col("doc_id")).limit(rows)
+    # labels under a rate that leaves about twice what is needed, so that tasks don't send their own best to one place
+    draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30))
+    rate = int((1 << 30) * min(1.0, 2 * rows / max(worst.count(), 1)))
+    few = worst.where(draw <= rate).orderBy(draw, "doc_id").limit(rows)
     got = sample(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(few), "doc_id"), rows, max_bytes)
     return train([r.text for r in got], [int(r.quality > 0) for r in got])
 
