@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import signals, texts
+from . import corpora, extras, signals, texts
 
-_PARTS = (signals, texts)
+_PARTS = (signals, texts, corpora, extras)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
 flagship = signals.lag_metrics
