@@ -4,7 +4,8 @@ Texts are lower-cased (A-Z) and cut into words of digits, letters and non-ASCII
 ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window. Each task
 hashes the windows of its documents with numpy, looks them up, and verifies every hit word by word.
 
-Cases: a null or empty text has no words and is clean; an item without words has no window; repeated
+Cases: a null or empty text has no words and is clean; an item without words has no window, and one without an id
+has the id ""; repeated
 rows and ids are judged row by row; an empty benchmark leaves every document clean; other columns of
 the documents pass through ``decontaminate`` untouched, and of the benchmark only the two named
 columns are read. Windows are broadcast in blocks of at most ``BLOCK_BYTES`` of item text, checked before
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import CHUNK_BYTES, LOWER, Batch, arrow_schema, chunks, table, tidy, utf8
+from .kernel import CHUNK_BYTES, LOWER, Batch, arrow_schema, chunks, packed, table, tidy, unpacked, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -82,7 +83,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple[str, str]]]:
     """The items in blocks of bounded size, one gathered at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n = -(-total // limit)
     return [[(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()] for b in range(n)]
@@ -129,7 +130,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no window of the benchmark, with their own columns."""
-    return scan(docs, benchmark, **options).where("n_hit = 0").select(*docs.columns)
+    return unpacked(scan(packed(docs, "text"), benchmark, keep=["_row"], **options).where("n_hit = 0"), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ A document's set holds its distinct ``SHINGLE``-word shingles as 64-bit hashes.
 
 Cases: a null text, an empty one or one without words has an empty set, links with nothing and is its own component;
 fewer than four words make one shingle; exact copies are one class and get its component; a repeated
-doc_id is one row each time; other columns are not read. Equal 64-bit hashes count as equal shingles.
+doc_id is one row each time; a row without a doc_id gets its class's component, or none; other columns are not read. Equal 64-bit hashes count as equal shingles.
 """
 
 from __future__ import annotations
@@ -319,9 +319,9 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component, the rows of the least doc_id, with their own columns; a repeated doc_id leaves one row."""
+    """Of each component, the rows of the least doc_id, with their own columns; rows of equal doc_id and text leave one."""
     kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.dropDuplicates(["doc_id", "text"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 1 << 20
 
@@ -143,7 +144,7 @@ def tidy(run: Callable) -> Callable:
     return released
 
 
-def map_batches(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], limit: int = CHUNK_BYTES) -> DataFrame:
+def map_batches(df: DataFrame, columns: list[str], schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], limit: int = CHUNK_BYTES) -> DataFrame:
     """Apply ``make()``'s function to slices of ``df[columns]``; a column named text bounds a slice's bytes.
 
     ``make`` runs once in a task. Its function gets a RecordBatch and returns columns by name.
@@ -169,11 +170,15 @@ def map_batches(df: DataFrame, columns: list[str], schema: str, make: Callable[[
 def arrow_schema(schema) -> pa.Schema:
     """Arrow's schema of a DDL string or struct type."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
+def with_fields(df: DataFrame, keep: list[str], added: str) -> StructType:
+    """The schema of some columns of ``df`` followed by added ones."""
+    return StructType([f for f in df.schema.fields if f.name in keep] + StructType.fromDDL(added).fields)
+
+
 def lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from its values and lengths."""
     off = np.zeros(len(counts) + 1, np.int32)
@@ -185,6 +190,16 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(df: DataFrame, *apart: str) -> DataFrame:
+    """``_row`` with all columns as they are, and beside it those named: added names can't clash with a table's own."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *apart)
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: str) -> DataFrame:
+    """The columns of ``_row`` in order, those in ``changed`` taken from another column."""
+    return df.select(*[(F.col(changed[c]) if c in changed else F.col(f"_row.`{c}`")).alias(c) for c in columns])
+
+
 def fold(column: str, n: int):
     """crc32 of an id's text, modulo ``n``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .features import Vocabulary, sample, sparse_counts
-from .kernel import LOWER, fold, map_batches, table, utf8
+from .kernel import LOWER, fold, map_batches, table, utf8, with_fields
 
 TRAIN_ROWS = 600
 TRAIN_BYTES = 8 << 20
@@ -134,7 +134,6 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     keep = [c for c in keep if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
 
     def make():
         def work(rows):
@@ -144,7 +143,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
         return work
 
-    return map_batches(source, source.columns, f"{schema}, lang_pred string, score double", make)
+    return map_batches(source, source.columns, with_fields(source, keep, "lang_pred string, score double"), make)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import Vocabulary, sparse_counts
-from .kernel import fold, map_batches, table, utf8
+from .kernel import fold, map_batches, packed, table, unpacked, utf8, with_fields
 
 TRAIN_ROWS = 3000
 TRAIN_BYTES = 16 << 20
@@ -104,7 +104,6 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)
     source = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in keep)
 
     def make():
         def work(rows):
@@ -113,12 +112,12 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
         return work
 
-    return map_batches(source, source.columns, f"{schema}, score double", make)
+    return map_batches(source, source.columns, with_fields(source, keep, "score double"), make)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns."""
-    return score(docs, fit(docs, labels), docs.columns).where(F.col("score") >= threshold).select(*docs.columns)
+    return unpacked(score(packed(docs, "text"), fit(docs, labels), ["_row"]).where(F.col("score") >= threshold), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

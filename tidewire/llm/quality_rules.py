@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import Batch, map_batches, mix, shared, table, utf8
+from .kernel import Batch, map_batches, mix, shared, table, utf8, with_fields
 
 RISK = 0.01
 DELTA = 0.05
@@ -71,7 +71,6 @@ def figures(raw: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 def measure(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` and the figures of each text."""
     docs = docs.select(*keep, F.col(text_col).alias("text"))
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
 
     def make():
         def work(rows):
@@ -80,7 +79,7 @@ def measure(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFra
 
         return work
 
-    return map_batches(docs, docs.columns, f"{kept}, {METRICS}", make)
+    return map_batches(docs, docs.columns, with_fields(docs, keep, METRICS), make)
 
 
 def upper_bound(failed: int, n: int, delta: float) -> float:
