@@ -84,7 +84,10 @@ def _from_json(text: str) -> dict[str, str]:
 def _from_csv(text: str) -> dict[str, str]:
     at = text.lower().find("row_id")
     for part in [text] if at < 0 else [text, text[at:]]:
-        rows = [r for r in csv.reader(io.StringIO(part.strip())) if r]
+        try:
+            rows = [r for r in csv.reader(io.StringIO(part.strip())) if r]
+        except csv.Error:
+            continue
         if len(rows) < 2 or len(rows[0]) < 2:
             continue
         head = [c.strip().lower() for c in rows[0]]

@@ -38,6 +38,16 @@ def batched_scores(df: DataFrame, text: str, load: Callable[[], Callable[[list[s
     return df.mapInPandas(run, schema)
 
 
+def text_classifier(df: DataFrame, text: str, label: str, features: int = 1 << 14):
+    """ML3's native form: a pipeline of hashed TF-IDF and logistic regression, fitted to rows with a label (0, 1, ...)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+
+    stages = [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol=label, maxIter=20, regParam=0.01)]
+    return Pipeline(stages=stages).fit(df)
+
+
 class Recurrent:
     """ML5, ML6: a gated recurrent layer and a linear head in numpy, trained by Adam with early stopping."""
 

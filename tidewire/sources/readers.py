@@ -13,7 +13,9 @@ from pyspark.sql.types import StructType
 from ..functions.resolve import exact
 
 #: An encoding is taken if the whole file can be read by it; the last reads anything.
-ENCODINGS = (("utf-8", "UTF-8"), ("cp1252", "windows-1252"), ("latin-1", "ISO-8859-1"))
+ENCODINGS = ("utf-8", "cp1252", "latin-1")
+#: Spark reads cp1252 as ISO-8859-1; the two differ in these characters.
+_C1 = {chr(b): bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
 def _csv(spark: SparkSession, encoding: str = "UTF-8", header: bool = True):
@@ -37,11 +39,16 @@ def csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
 
     def probe(frames):
         for frame in frames:
-            frame["encoding"] = [next(java for python, java in ENCODINGS if python == "latin-1" or _reads(bytes(b), python)) for b in frame["content"]]
+            frame["encoding"] = [next(e for e in ENCODINGS if e == "latin-1" or _reads(bytes(b), e)) for b in frame["content"]]
             yield frame[["path", "encoding"]]
 
     files = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(probe, "path string, encoding string").collect()
-    parts = [_stripped(_csv(spark, e).csv([f.path for f in files if f.encoding == e])) for e in sorted({f.encoding for f in files})]
+    parts = []
+    for e in sorted({f.encoding for f in files}):
+        part = _stripped(_csv(spark, "UTF-8" if e == "utf-8" else "ISO-8859-1").csv([f.path for f in files if f.encoding == e]))
+        if e == "cp1252":
+            part = part.select(*[F.translate(F.col(f"`{c}`"), "".join(_C1), "".join(_C1.values())).alias(c) for c in part.columns])
+        parts.append(part)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
