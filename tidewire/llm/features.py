@@ -84,7 +84,7 @@ def sparse_counts(texts: list[str], lengths: tuple[int, ...], bits: int, words:
     return np.array(rows), np.concatenate(buckets) if buckets else np.zeros(0, np.int64), np.concatenate(counts) if counts else np.zeros(0)
 
 
-def sample(frame, n: int, max_bytes: int, text_col: str = "text", weight=None):
+def sample(frame, n: int, max_bytes: int, text_col: str = "text"):
     """At most ``n`` rows of at most ``max_bytes`` text in all: those of the least hash of doc_id, gathered on the driver.
 
     Texts that don't fit are left out whole; no text is cut.
