@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import CHUNK_BYTES, LOWER, Batch, arrow_schema, chunks, packed, table, tidy, unpacked, utf8
+from .kernel import CHUNK_BYTES, LOWER, Batch, arrow_schema, bound_batches, chunks, packed, table, tidy, unpacked, utf8
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -99,6 +99,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     kept = docs.select(*[F.col(c) for c in keep if c not in added], F.col(text_col).alias("_text"))
     fields = [f for f in kept.schema.fields if f.name != "_text"]
     extra = T.StructType.fromDDL("n_words bigint, hit_spans array<struct<a: bigint, b: bigint>>, hit_items array<string>, n_hit bigint")
+    bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     blocks = _blocks(benchmark, item_col, "text", block_bytes) or [[]]
     frame = kept

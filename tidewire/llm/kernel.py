@@ -130,6 +130,18 @@ def whole_hash(h: np.ndarray) -> int:
     return int(mix(np.array([acc], np.uint64))[0])
 
 
+#: Arrow batches end at about this size: both sides of the pipe to Python hold a few of them, outside the heap.
+ARROW_BYTES = 4 << 20
+
+
+def bound_batches(spark) -> None:
+    """Lower the session's limit on an Arrow batch to ``ARROW_BYTES``, if it is higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def tidy(run: Callable) -> Callable:
     """Give a task's memory back when it ends: idle workers share an executor's limit with busy ones."""
 
@@ -150,6 +162,7 @@ def map_batches(df: DataFrame, columns: list[str], schema: str | StructType, mak
     ``make`` runs once in a task. Its function gets a RecordBatch and returns columns by name.
     """
     out = arrow_schema(schema)
+    bound_batches(df.sparkSession)
 
     def run(batches):
         work = make()
@@ -217,6 +230,7 @@ def shared_folder(spark) -> str:
 
 def shared(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written once, as a table in the shared folder, and read from there."""
+    bound_batches(df.sparkSession)
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

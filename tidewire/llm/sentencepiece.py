@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .kernel import arrow_schema, chunks, lists, table, tidy, utf8
+from .kernel import arrow_schema, bound_batches, chunks, lists, table, tidy, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -283,6 +283,7 @@ def encode_texts(docs: DataFrame, keep: list[str] | None = None, text_col: str =
     """Columns ``keep`` (all, if None), ``n_tokens``, ``ids`` and, with ``check``, ``decoded_ok``: whether decoding gives the text again."""
     own = ["n_tokens", "ids", "decoded_ok"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    bound_batches(docs.sparkSession)
     source = docs.select(*keep, docs[text_col].alias("_text"))
     schema = T.StructType([f for f in source.schema.fields if f.name != "_text"] + T.StructType.fromDDL("n_tokens bigint, ids array<int>" + ", decoded_ok boolean" * check).fields)
     out = arrow_schema(schema)
