@@ -187,6 +187,8 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
 
 def test_one_of_each_keeps_the_least(docs, texts):
     want = by_brute_force(dict(enumerate(texts)))
+    kept = jaccard_join.one_of_each(docs.union(docs.limit(3)).union(docs.limit(1).withColumn("doc_id", docs.doc_id * 0 + 1)))
+    assert sum(r.doc_id == 1 for r in kept.collect()) == 2
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in want.values()})
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import LOWER, Batch, lists, map_batches, mix, shared, table, tidy, utf8, whole_hash
+from .kernel import LOWER, Batch, lists, map_batches, mix, packed, shared, table, tidy, unpacked, utf8, whole_hash
 
 SHINGLE, PERCENT = 4, 85
 SMALL, STARS = 64, 8
@@ -125,11 +125,11 @@ def _profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
             whole, group = _whole(keys, off), mix(sums[off[1:]] - sums[off[:-1]] + n.astype(np.uint64))
             bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
             sketch, fine = (_parities(doc, mixed, x) for x in (bits, 4 * bits))
-            return {"doc_id": rows.column(0), "n": n, "node": whole.view(np.int64), "grp": group.view(np.int64), "prefix": lists(keys[first].view(np.int64), np.bincount(doc[first], minlength=len(n)), pa.int64()), "sketch": sketch, "fine": fine}
+            return {"doc_id": rows.column(0), "mark": rows.column(2), "n": n, "node": whole.view(np.int64), "grp": group.view(np.int64), "prefix": lists(keys[first].view(np.int64), np.bincount(doc[first], minlength=len(n)), pa.int64()), "sketch": sketch, "fine": fine}
 
         return work
 
-    return map_batches(docs, ["doc_id", "text"], "doc_id bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, sketch binary, fine binary", make)
+    return map_batches(docs, ["doc_id", "text", "mark"], "doc_id bigint, mark bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, sketch binary, fine binary", make)
 
 
 def _shared_postings(batches):
@@ -270,9 +270,14 @@ def _verified(close: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
     return shared(close.join(members("a"), "a").join(members("b"), "b").select("a", "b", "ma", "mb").mapInArrow(tidy(linked), "a bigint, b bigint"))
 
 
+def _mark(text: str = "text"):
+    """Tells the rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text), and a mark of its text."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _mark().alias("mark"))
     profile = shared(_profile(docs, size, percent))
     filled = profile.where("n > 0")
     classes = shared(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.count("*").alias("copies")))
@@ -315,14 +320,30 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     tied = named.join(least, "root").select("node", "component_id")
     copied = classes.where("copies > 1").join(roots, "node", "left_anti").select("node", F.col("rep").alias("component_id"))
     ids = shared(tied.union(copied))
-    return profile.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return profile.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component, the rows of the least doc_id, with their own columns; rows of equal doc_id and text leave one."""
-    kept = join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each component, the rows of the least doc_id, with their own columns.
+
+    Rows of equal doc_id and text leave one; rows without a doc_id stay. What goes is found by id and mark, so texts
+    are shuffled only if more rows go than may be broadcast, and for rows that repeat.
+    """
+    found = shared(join(docs))
+    gone = shared(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct())
+    again = shared(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    rows = packed(docs, "doc_id", "text").select("_row", F.col("doc_id").alias("_id"), _mark().alias("_mark"))
+
+    def bounded(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+    left = rows.join(bounded(gone), ["_id", "_mark"], "left_anti")
+    if not again.isEmpty():
+        ids = bounded(again)
+        twice = left.join(ids, ["_id", "_mark"], "left_semi").withColumn("_text", F.col("_row.text")).dropDuplicates(["_id", "_text"]).drop("_text")
+        left = left.join(ids, ["_id", "_mark"], "left_anti").unionByName(twice)
+    return unpacked(left, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("mark")
