@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 CACHE_UNITS = 300_000
 LONG_UNIT = 48
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 class Pieces:
