@@ -137,6 +137,27 @@ def test_secrets_in_layers(wrap):
     assert not base and found == [(4, 0, 4 + len(hidden))]
 
 
+_U = chr(92) + "u"
+
+
+@pytest.mark.parametrize(
+    "secret",
+    [
+        f"{_U}0070assword=" + "v" * 100,
+        f"{_U}0070assword" + " " * 60 + "= '" + "v" * 100,
+        'token": "' + "v" * 60 + f"{_U}002b" + "w" * 90,
+        "token = " + "v" * 60 + f"{_U}002b" + "w" * 70 + f"{_U}002b" + "x" * 80,
+        f"{_U}0025" + "70assword%3D" + "v" * 100,
+        "secret:" + " " * 60 + "%2B" + "v" * 30,
+        f"token {_U}003a '" + "v" * 100,
+    ],
+)
+def test_secrets_run_on_beyond_the_encoded_region(secret):
+    text = f"see, {secret}, end"
+    found = secrets.find(text)[1]
+    assert (5, 0, 5 + len(secret)) in found and secrets.redact(text, found) == "see, [SECRET], end"
+
+
 def test_secret_layers_end():
     assert secrets.find("%25" * 50 + "41")[1] == [] and secrets.find("100% sure")[1] == []
 

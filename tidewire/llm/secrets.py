@@ -2,7 +2,8 @@
 
 Layer 0 is the text. Each layer is scanned with the base patterns; its encoded regions (percent escapes,
 Unicode escapes, base64, and the compressed bytes that base64 or percent escapes may hold) are decoded into
-new layers, with some plain text around them so that a keyword beside an encoded value counts.
+new layers, with all the text around them that a find or an encoding could run on over (``reach``), so that
+a keyword beside an encoded value counts and no value is cut.
 A layer's map gives, for every character, the span of layer 0 that it comes from, so a find in any layer
 is reported at its place in the text. The worklist ends when no layer is new; a layer whose characters and
 place were seen before is not taken up again, which also ends cycles.
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 from .kernel import arrow_schema, bound_batches, chunks, packed, table, tidy, unpacked, utf8
 
 MAX_INFLATED = 8 << 20
-CONTEXT = 48
 KINDS = ("assign", "access", "hex")
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -43,6 +43,9 @@ LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 TOKEN = re.compile(r"\S+")
 PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
+#: Characters of keywords, values and encodings, and those that may stand between a keyword and its value.
+INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-%\\{}")
+BETWEEN = frozenset(" \"':")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
 
@@ -106,6 +109,40 @@ class Layer:
         self.text, self.where, self.plain = text, where, plain
 
 
+def _run(text: str, at: int, stop: int, kind: frozenset) -> int:
+    """Where the run of ``kind`` ends that begins at ``at`` and goes towards ``stop``, on either side."""
+    if at <= stop:
+        while at < stop and text[at] in kind:
+            at += 1
+    else:
+        while at > stop and text[at - 1] in kind:
+            at -= 1
+    return at
+
+
+def reach(text: str, at: int, stop: int) -> int:
+    """How far a find or an encoding that takes in the region beside ``at`` can go towards ``stop``.
+
+    That is the run of inner characters, what may stand between keyword and value, the run behind that, and so on as
+    long as a colon or equals sign joins the runs. The region itself may be what joins the first two.
+    """
+    step = 1 if at <= stop else -1
+
+    def beside(i: int) -> str:
+        """The character met next from ``i`` on."""
+        return "" if i == stop else text[i if step > 0 else i - 1]
+
+    at, first, last = _run(text, at, stop, INNER), True, ""
+    while True:
+        over = _run(text, at, stop, BETWEEN)
+        if over == at or not (first or last == "=" or beside(over) == "=" or ":" in text[min(at, over) : max(at, over)]):
+            return at
+        at, first = _run(text, over, stop, INNER), False
+        if at == over:
+            return at
+        last = text[at - 1 if step > 0 else at]
+
+
 def _pieces(text: str) -> list[tuple[int, int, list[tuple[str, int, int, bool]]]]:
     """Encoded regions of a layer: (start, end, pieces); a piece is (decoded text, start, end, was plain)."""
     out = []
@@ -134,7 +171,7 @@ def _pieces(text: str) -> list[tuple[int, int, list[tuple[str, int, int, bool]]]
         i = 0
         while i < len(escapes):
             j = i
-            while j + 1 < len(escapes) and escapes[j + 1].start() - escapes[j].end() <= CONTEXT:
+            while j + 1 < len(escapes) and reach(text, escapes[j].end(), escapes[j + 1].start()) == escapes[j + 1].start():
                 j += 1
             pieces, at = [], escapes[i].start()
             for m in escapes[i : j + 1]:
@@ -154,7 +191,7 @@ def _pieces(text: str) -> list[tuple[int, int, list[tuple[str, int, int, bool]]]
 def _layers(layer: Layer | None, text: str) -> list[Layer]:
     out = []
     for start, end, pieces in _pieces(text):
-        left, right = max(0, start - CONTEXT), min(len(text), end + CONTEXT)
+        left, right = reach(text, start, 0), reach(text, end, len(text))
         around = [(c, left + i, left + i + 1, True) for i, c in enumerate(text[left:start])], [(c, end + i, end + i + 1, True) for i, c in enumerate(text[end:right])]
         decoded, where, plain = [], [], []
         for piece, a, b, same in (*around[0], *pieces, *around[1]):
