@@ -158,6 +158,14 @@ def test_secrets_run_on_beyond_the_encoded_region(secret):
     assert (5, 0, 5 + len(secret)) in found and secrets.redact(text, found) == "see, [SECRET], end"
 
 
+@pytest.mark.parametrize("secret", ["token=abcdef", "token:abcdefg", "secret=s3cr3t", "passwd=hunter2"])
+def test_secrets_in_short_base64(secret):
+    once = base64.b64encode(secret.encode()).decode()
+    for hidden in (once, once.rstrip("="), base64.b64encode(once.encode()).decode(), "".join(f"%{b:02X}" for b in once.encode())):
+        text = f"see {hidden} end"
+        assert secrets.redact(text, secrets.find(text)[1]) == "see [SECRET] end"
+
+
 def test_secret_layers_end():
     assert secrets.find("%25" * 50 + "41")[1] == [] and secrets.find("100% sure")[1] == []
 

@@ -38,8 +38,8 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A maximal run of 24 or more is what the pattern of one or more finds and keeps.
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Holds every access or hex find, and every base64 token.
-LONG = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Holds every access or hex find, and every base64 token that can hold a whole find: the shortest takes 12 bytes, so 16 characters.
+LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 TOKEN = re.compile(r"\S+")
 PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
