@@ -97,6 +97,22 @@ def test_pii_base_spans(spark):
     assert pii.redact(frame.where("text like 'call%'"), pii.fit(frame)).first().text == "call ***************** x"
 
 
+def pii_table(spark, texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = pii.redactions(frame, pii.fit(frame)).select("doc_id", pii._text("base_spans").alias("b"), pii._text("all_spans").alias("a")).collect()
+    return {r.doc_id: (r.b, r.a) for r in found}
+
+
+def test_pii_adds_loose_emails(spark):
+    rng = random.Random(7)
+    names = [rng.choice(["write to ", "", "and ", "mail "]) + rng.choice(["joe", "ann.roe", "u17", "x"]) + f"@{rng.choice(['site', 'a-b', 'example', 'h2'])}." for _ in range(1600)]
+    texts = [name + rng.choice(["com", "org", "de"] if i % 2 else ["c0m", "12", "x-1", "longer", "-org"]) + rng.choice([" now", ",", ""]) for i, name in enumerate(names)]
+    more = {"joe (at) site (dot) com": "email:0:23", "mail jane.roe[at]example.org,": "email:5:28", "see you @ home. It was": "", "run (at) v1 (dot) 22": ""}
+    got = pii_table(spark, texts + list(more))
+    assert all(got[i][0] == base_pii(t) for i, t in enumerate(texts + list(more)))
+    assert {t: got[len(texts) + i][1] for i, t in enumerate(more)} == more
+
+
 def test_pii_runs_no_python(spark, sf_dir):
     plan = pii.query(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)

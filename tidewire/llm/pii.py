@@ -5,7 +5,8 @@ spans of the same kinds. Each proposal gets format and context features; boosted
 their kind's calibrated threshold are added where they overlap no base span and no earlier added one of their kind.
 
 The trees learn from what the base patterns match: matches that pass the base checks (part sizes, digit counts, check
-digit) against those that fail, by features that the looser forms have too. The learning rows are counted by feature vector
+digit) against those that fail, by features that the looser forms have too. Every base email is a span, so emails are
+told apart by how plausible they are: a usual suffix, and dots, hyphens and lengths as addresses have them. The learning rows are counted by feature vector
 in the cluster (documents of a hash sample of about ``SAMPLE_ROWS``), so the driver gathers a grid of at most
 ``GRID_ROWS`` counts and no text. A kind's threshold is the least one whose precision on the held-out half,
 by a lower confidence bound, is at least ``PRECISION``; a kind without such evidence adds nothing.
@@ -51,7 +52,7 @@ LOOSE = {
 GUARD = {"email": r"@|[(\[{]at[)\]}]", "ip": r"[0-9](?:\.|\[\.\])[0-9]", "card": r"[0-9](?:[\x20./_-]?[0-9]){11}", "phone": r"\+[0-9]|[0-9]\)?[\x20./-][0-9]{3}"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 OCTETS = rf"^{_OCTET}(?:(?:\.|\[\.\]){_OCTET}){{3}}$"
-FEATURES = ["digits", "size", "marks", "luhn", "octets", "tight_left", "tight_right", "keyword", "groups"]
+FEATURES = ["digits", "size", "marks", "luhn", "octets", "tight_left", "tight_right", "keyword", "groups", "suffix", "flaws"]
 _BLOCK = 256
 
 
@@ -84,16 +85,25 @@ CHECKS = {
     "card": f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_luhn(_DIGITS)}",
     "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
 }
+#: A match without the disguise of its kind.
+_BARE = {k: "x.t" for k in KINDS} | {"email": f"regexp_replace(regexp_replace(x.t, {_quoted(r'\x20?[(\[{]at[)\]}]\x20?')}, '@'), {_quoted(r'\x20?[(\[]dot[)\]]\x20?')}, '.')"}
+_USUAL = r"\.(?:(?i:com|org|net|edu|gov|mil|int|info|biz|name|app|dev|online|site|shop|xyz|cloud)|[a-z]{2})$"
+_FLAWED = r"^\.|\.@|\.\.|^[^@]{65}|@(?:[^@]*\.)?-|@[^@]*-(?:\.|$)|@(?:[^@]*\.)?[^.@]{64}"
+#: 2 for a usual suffix, 1 for other letters; none where bare marks stand apart, as in "see you @ home. It was".
+_SUFFIX = {k: "0" for k in KINDS} | {"email": f"CASE WHEN {_BARE['email']} rlike '[ ]' THEN 0 WHEN {_BARE['email']} rlike {_quoted(_USUAL)} THEN 2 WHEN {_BARE['email']} rlike {_quoted(r'\.[A-Za-z]{2,24}$')} THEN 1 ELSE 0 END"}
+_FLAWS = {k: "0" for k in KINDS} | {"email": f"CAST({_BARE['email']} rlike {_quoted(_FLAWED)} AS INT)"}
+#: What the trees learn to tell.
+LABELS = CHECKS | {"email": f"({_SUFFIX['email']} = 2 AND {_FLAWS['email']} = 0)"}
 _KEYWORD = {"email": "e?mail|contact|write|adress", "ip": "ip|addr|host|server|login", "card": "card|visa|credit|payment|pay", "phone": "phone|tel|call|mobile|fax|sms"}
 
 
 def _featured(kind: str) -> str:
     """SQL: a located match x with its features."""
-    return f"""named_struct('s', x.s, 'e', x.e, 'ok', {CHECKS[kind]},
- 'digits', least(length({_DIGITS}), 24), 'size', least(length(x.t), 48), 'marks', least(length(regexp_replace(x.t, '[A-Za-z0-9]', '')), 10),
+    return f"""named_struct('s', x.s, 'e', x.e, 'ok', {CHECKS[kind]}, 'good', {LABELS[kind]},
+ 'digits', least(length({_DIGITS}), 24), 'size', least(length({_BARE[kind]}), 48), 'marks', least(length(regexp_replace({_BARE[kind]}, '[A-Za-z0-9]', '')), 10),
  'luhn', CAST({_luhn(_DIGITS)} AS INT), 'octets', CAST(x.t rlike {_quoted(OCTETS)} AS INT),
  'tight_left', CAST(x.s > 0 AND substr(text, x.s, 1) rlike '[A-Za-z0-9]' AS INT), 'tight_right', CAST(substr(text, x.e + 1, 1) rlike '[A-Za-z0-9]' AS INT),
- 'keyword', CAST(lower(substr(text, greatest(x.s - 23, 1), least(x.s, 24))) rlike '{_KEYWORD[kind]}' AS INT), 'groups', least(size(split(x.t, '[^0-9]+')), 8))"""
+ 'keyword', CAST(lower(substr(text, greatest(x.s - 23, 1), least(x.s, 24))) rlike '{_KEYWORD[kind]}' AS INT), 'groups', least(size(split(x.t, '[^0-9]+')), 8), 'suffix', {_SUFFIX[kind]}, 'flaws', {_FLAWS[kind]})"""
 
 
 def proposals(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -118,13 +128,13 @@ def fit(docs: DataFrame) -> Model:
     """Trees and thresholds by kind, from the counted feature vectors of base matches."""
     rate = int((1 << 30) * min(1.0, SAMPLE_ROWS / max(docs.count(), 1)))
     some = proposals(docs.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 30)) <= rate).select("doc_id", "text"))
-    seen = some.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold"), F.explode(F.concat(*[F.transform(f"base_{k}", lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("x"))) for k in KINDS])).alias("c"))
-    grid = seen.groupBy("fold", "c.kind", "c.x.ok", *[F.col(f"c.x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "fold", *FEATURES).limit(GRID_ROWS).collect()
+    seen = some.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold"), F.explode(F.concat(*[F.expr(f"transform(base_{k}, x -> struct('{k}' AS kind, x))") for k in KINDS])).alias("c"))
+    grid = seen.groupBy("fold", "c.kind", "c.x.good", *[F.col(f"c.x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "fold", *FEATURES).limit(GRID_ROWS).collect()
     trees, thresholds = {}, {}
     for kind in KINDS:
         rows = [r for r in grid if r.kind == kind]
         x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
-        y, n, fold = (np.array([r[c] for r in rows], float) for c in ("ok", "n", "fold"))
+        y, n, fold = (np.array([r[c] for r in rows], float) for c in ("good", "n", "fold"))
         learn, held = fold == 0, fold == 1
         trees[kind] = boosting.fit(x[learn], y[learn], FEATURES, n[learn], rounds=12, depth=3)
         thresholds[kind] = float("inf")
@@ -137,7 +147,7 @@ def fit(docs: DataFrame) -> Model:
             low = (share + 2 / all_ - 2 * np.sqrt(share * (1 - share) / all_ + 1 / all_**2)) / (1 + 4 / all_)
             good = np.flatnonzero((low >= PRECISION) & (np.append(z[order][1:], -np.inf) < z[order]))
             if len(good):
-                thresholds[kind] = float(z[order][good[-1]])
+                thresholds[kind] = float(z[order][good[-1]]) - 1e-6  # leaves and threshold are rounded in SQL
     return Model(trees, thresholds)
 
 
