@@ -26,3 +26,13 @@ def test_stages(spark, sf_dir):
 def test_run_equals_stages(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir).count()
     assert 0 < got < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_near_copies_link_by_five_words_from_four_fifths(spark, sf_dir):
+    words = [f"w{i}" for i in range(400)]
+    changed = words[:100] + [f"n{i}" for i in range(36)] + words[136:]
+    a, b = ({tuple(w[i : i + 5]) for i in range(396)} for w in (words, changed))
+    assert 0.8 <= len(a & b) / len(a | b) < 0.82
+    apart = words[:100] + [f"m{i}" for i in range(60)] + words[160:]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, changed, apart))], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline._near_copies(spark, docs, sf_dir).collect()) == [0, 2]

@@ -323,13 +323,13 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     return profile.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of each component, the rows of the least doc_id, with their own columns.
 
     Rows of equal doc_id and text leave one; rows without a doc_id stay. What goes is found by id and mark, so texts
     are shuffled only if more rows go than may be broadcast, and for rows that repeat.
     """
-    found = shared(join(docs))
+    found = shared(join(docs, size, percent))
     gone = shared(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct())
     again = shared(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     rows = packed(docs, "doc_id", "text").select("_row", F.col("doc_id").alias("_id"), _mark().alias("_mark"))
