@@ -6,10 +6,10 @@ their kind's calibrated threshold are added where they overlap no base span and
 
 The trees learn from what the base patterns match: matches that pass the base checks (part sizes, digit counts, check
 digit) against those that fail, by features that the looser forms have too. Every base email is a span, so emails are
-told apart by how plausible they are: a usual suffix, and dots, hyphens and lengths as addresses have them. The learning rows are counted by feature vector
-in the cluster (documents of a hash sample of about ``SAMPLE_ROWS``), so the driver gathers a grid of at most
-``GRID_ROWS`` counts and no text. A kind's threshold is the least one whose precision on the held-out half,
-by a lower confidence bound, is at least ``PRECISION``; a kind without such evidence adds nothing.
+told apart by how plausible they are: a usual suffix, and dots, hyphens and lengths as addresses have them. The learning rows
+of all documents are counted by feature vector in the cluster. The driver gathers at most ``GRID_ROWS`` counts for the
+trees, and counts by score (which has few values) for the thresholds, but no text. A kind's threshold is the least one whose
+precision on the held-out half, by a lower confidence bound, is at least ``PRECISION``; a kind without such evidence adds nothing.
 
 Positions: the pieces between matches (``split``) and the matches (``regexp_extract_all``) alternate, so starts are running
 sums of their lengths, taken by blocks, in code points.
@@ -21,15 +21,16 @@ are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .kernel import table
+from .kernel import shared, table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 40_000
 GRID_ROWS = 20_000
 PRECISION = 0.9
 
@@ -125,30 +126,39 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Trees and thresholds by kind, from the counted feature vectors of base matches."""
-    rate = int((1 << 30) * min(1.0, SAMPLE_ROWS / max(docs.count(), 1)))
-    some = proposals(docs.where(F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(1 << 30)) <= rate).select("doc_id", "text"))
+    """Trees and thresholds by kind, from the counted feature vectors of the base matches of all documents.
+
+    The trees learn from at most ``GRID_ROWS`` vectors of one half of the documents, the most frequent of each kind and
+    label; thresholds take all vectors of the other half, summed by score in the cluster.
+    """
+    some = proposals(docs.select("doc_id", "text"))
     seen = some.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("fold"), F.explode(F.concat(*[F.expr(f"transform(base_{k}, x -> struct('{k}' AS kind, x))") for k in KINDS])).alias("c"))
-    grid = seen.groupBy("fold", "c.kind", "c.x.good", *[F.col(f"c.x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "fold", *FEATURES).limit(GRID_ROWS).collect()
-    trees, thresholds = {}, {}
+    counts = shared(seen.groupBy("fold", "c.kind", "c.x.good", *[F.col(f"c.x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n")))
+    share = GRID_ROWS // (2 * len(KINDS))
+    parts = [counts.where((F.col("fold") == 0) & (F.col("kind") == k) & (F.col("good") == y)).orderBy(F.desc("n"), *FEATURES).limit(share) for k in KINDS for y in (True, False)]
+    grid = reduce(DataFrame.union, parts).collect()
+    trees = {}
     for kind in KINDS:
         rows = [r for r in grid if r.kind == kind]
         x = np.array([[r[f] for f in FEATURES] for r in rows], float).reshape(-1, len(FEATURES))
-        y, n, fold = (np.array([r[c] for r in rows], float) for c in ("good", "n", "fold"))
-        learn, held = fold == 0, fold == 1
-        trees[kind] = boosting.fit(x[learn], y[learn], FEATURES, n[learn], rounds=12, depth=3)
-        thresholds[kind] = float("inf")
-        if held.any() and (y[held] == 0).any() and trees[kind].trees:
-            z = trees[kind].log_odds(x[held])
-            order = np.argsort(-z)
-            hits, all_ = np.cumsum((n[held] * y[held])[order]), np.cumsum(n[held][order])
-            share = hits / all_
-            # Wilson's lower bound at two standard errors
-            low = (share + 2 / all_ - 2 * np.sqrt(share * (1 - share) / all_ + 1 / all_**2)) / (1 + 4 / all_)
-            good = np.flatnonzero((low >= PRECISION) & (np.append(z[order][1:], -np.inf) < z[order]))
-            if len(good):
-                thresholds[kind] = float(z[order][good[-1]]) - 1e-6  # leaves and threshold are rounded in SQL
-    return Model(trees, thresholds)
+        y, n = (np.array([r[c] for r in rows], float) for c in ("good", "n"))
+        trees[kind] = boosting.fit(x, y, FEATURES, n, rounds=12, depth=3)
+    score = F.expr("CASE kind " + " ".join(f"WHEN '{k}' THEN {trees[k].sql()}" for k in KINDS) + " END")
+    held = counts.where("fold = 1").groupBy("kind", score.alias("z")).agg(F.sum("n").alias("n"), F.sum(F.expr("CASE WHEN good THEN n ELSE 0 END")).alias("hits")).collect()
+    return Model(trees, {k: _threshold([(r.z, r.n, r.hits) for r in held if r.kind == k]) if trees[k].trees else float("inf") for k in KINDS})
+
+
+def _threshold(scores: list[tuple[float, int, int]]) -> float:
+    """The least score from which on precision holds, from (score, rows, good rows); infinite without rows that fail."""
+    if not any(hits < n for _, n, hits in scores):
+        return float("inf")
+    z, n, hits = np.array(sorted(scores, reverse=True), float).T
+    all_ = np.cumsum(n)
+    share = np.cumsum(hits) / all_
+    # Wilson's lower bound at two standard errors
+    low = (share + 2 / all_ - 2 * np.sqrt(share * (1 - share) / all_ + 1 / all_**2)) / (1 + 4 / all_)
+    good = np.flatnonzero(low >= PRECISION)
+    return float(z[good[-1]]) if len(good) else float("inf")
 
 
 def redactions(docs: DataFrame, model: Model) -> DataFrame:
@@ -159,7 +169,7 @@ def redactions(docs: DataFrame, model: Model) -> DataFrame:
         df = df.withColumn(f"base_{kind}", F.expr(f"transform(filter(base_{kind}, x -> x.ok), x -> named_struct('s', x.s, 'k', {k}, 'e', x.e))"))
         if model.thresholds[kind] < float("inf"):
             score = model.trees[kind].sql("x.{}")
-            df = df.withColumn(f"loose_{kind}", F.expr(f"transform(filter(loose_{kind}, x -> {score} >= {model.thresholds[kind]:.9g}D), x -> named_struct('s', x.s, 'k', {k}, 'e', x.e))"))
+            df = df.withColumn(f"loose_{kind}", F.expr(f"transform(filter(loose_{kind}, x -> {score} >= {model.thresholds[kind]!r}D), x -> named_struct('s', x.s, 'k', {k}, 'e', x.e))"))
             chosen.append(f"loose_{kind}")
     df = df.withColumn("base_spans", F.array_sort(F.concat(*[f"base_{k}" for k in KINDS])))
     free = [F.expr(f"filter({c}, x -> NOT exists(base_spans, b -> b.s < x.e AND x.s < b.e))") for c in chosen]
