@@ -397,3 +397,49 @@ def test_digest_of_spans(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(base_pii(text[r.doc_id]).encode()).hexdigest()
         groups["email"] += r.n_email
     assert groups["email"] >= 0
+
+
+def test_jaccard_join_of_forms_below_the_similarity(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rng = random.Random(9)
+    head, tail = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join(head + [f"o{i}_{j}" for j in range(rng.choice([2, 12, 18, 22]))] + tail)) for i in range(120)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == by_brute_force(dict(rows))
+
+
+def test_postings_without_a_partner_in_reach_go():
+    import pyarrow as pa
+
+    columns = [[5, 5, 5, 7, 7, 7, -2], [1, 2, 2, 1, 2, 3, 9], [100, 110, 110, 100, 100, 130, 50], [112, 90, 90, 99, 99, 140, 10]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "grp", "n", "reach"])
+    got = next(jaccard_join._shared_postings([batch]))
+    assert sorted(zip(*(got.column(c).to_pylist() for c in (0, 1)), strict=True)) == [(-2, 9), (5, 1), (5, 2)]
+
+
+def test_components_of_a_hub(spark):
+    links = [(0, i) for i in range(1, 3000)] + [(i, i + 3000) for i in range(1, 3000, 7)]
+    got = components.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(8)).collect()
+    assert {r.root for r in got} == {0} and len(got) == len({x for l in links for x in l})
+
+
+def test_jaccard_sql_equals_the_query(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = sorted(con.sql(ORACLES["op4_ngram_jaccard_join"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["op4_ngram_jaccard_join"](spark, sf_dir).collect()) == want
+
+
+def test_tables_are_removed(spark):
+    from pathlib import Path
+
+    from tidewire.llm import kernel
+
+    tables = kernel.Tables()
+    kept, gone = tables.shared(spark.range(3).toDF()), tables.shared(spark.range(4).toDF())
+    paths = {k: Path(next(p for f, p in tables.paths if f is v).removeprefix("file:")) for k, v in (("kept", kept), ("gone", gone))}
+    tables.drop_others(kept)
+    assert kept.count() == 3 and paths["kept"].exists() and not paths["gone"].exists()

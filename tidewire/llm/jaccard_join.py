@@ -7,14 +7,18 @@ A document's set holds its distinct ``SHINGLE``-word shingles as 64-bit hashes.
    in a global order; linked sets share one) and a sketch. In that order the shingles that a bounded sample
    finds frequent come last, so that a passage that many documents share seldom enters a prefix. The sample
    changes speed only: any order gives the same links.
-2. Documents with identical prefixes and size form a group, and each group is posted once under each prefix shingle.
+2. Documents with identical prefixes and size form a group, and each group is posted once under each prefix shingle,
+   with its size and its reach: what is left of the set from that shingle on bounds the overlap, and so the size of a
+   partner whose first common shingle this is. Two groups are a pair under a shingle only if each one's size is within
+   the other's reach; groups with no partner in a list leave it. So forms that share a long text but differ by more
+   than the similarity allows meet nowhere, whatever their number.
 3. Posting lists are expanded to the members, which are the distinct sets of a group. Lists of up to ``SMALL``
    members are searched whole. Longer ones tie each member to ``STARS`` leaders; when those links are verified and
-   merged, members outside a list's largest component are held against all others, in blocks of ``BLOCK``
-   (lists with the same largest component together).
+   merged, members outside a list's largest component are held against the others that they can reach, in blocks of
+   ``BLOCK`` (lists with the same largest component together).
    Pairs inside a component are never needed, so a group of near copies costs its size, not the square of it.
-4. Within a list or block, pairs of unfit sizes go; the sketches (parities of shingle counts in buckets) bound the
-   symmetric difference from below and reject most others. What is left is verified on the whole sets.
+4. Of the pairs that sizes and reaches admit, the sketches (parities of shingle counts in buckets) bound the
+   symmetric difference from below and reject most. What is left is verified on the whole sets.
 5. Components of the verified links, by distributed stars.
 
 Cases: a null text, an empty one or one without words has an empty set, links with nothing and is its own component;
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import LOWER, Batch, lists, map_batches, mix, packed, shared, table, tidy, unpacked, utf8, whole_hash
+from .kernel import LOWER, Batch, Tables, lists, map_batches, mix, packed, shared, table, tidy, unpacked, utf8, whole_hash
 
 SHINGLE, PERCENT = 4, 85
 SMALL, STARS = 64, 8
@@ -132,23 +136,32 @@ def _profile(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_batches(docs, ["doc_id", "text", "mark"], "doc_id bigint, mark bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, sketch binary, fine binary", make)
 
 
+def _keyed(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by token and n, sorted keys in which a token's sizes are a range, and the base of each row's token."""
+    base = np.cumsum(np.append(0, token[1:] != token[:-1]), dtype=np.int64)[: len(token)] << 32
+    return base + n, base
+
+
 def _shared_postings(batches):
-    """Of a task's posting rows (token, group), the distinct ones of tokens with several groups; frequent tokens stay in any case."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    """Of a task's posting rows (token, group, n, reach), the distinct ones that have a partner in their list; frequent tokens stay in any case."""
+    parts = [[b.column(c).to_numpy() for c in range(4)] for b in batches]
     if not parts:
         return
-    token, group = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((group, token))
-    token, group = token[order], group[order]
+    token, group, n, reach = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((group, n, token))
+    token, group, n, reach = (x[order] for x in (token, group, n, reach))
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
-    token, group = token[new], group[new]
-    same = token[1:] == token[:-1]
-    several = np.zeros(len(token), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    several |= token < 0
-    yield pa.RecordBatch.from_arrays([pa.array(token[several]), pa.array(group[several])], ["token", "grp"])
+    token, group, n, reach = (x[new] for x in (token, group, n, reach))
+    key, base = _keyed(token, n)
+    # the smaller of two reaches the larger one's size: it and all sizes from its own up to its reach may pair
+    low, high = np.searchsorted(key, key, "left"), np.searchsorted(key, base + reach, "right")
+    some = high - low > 1
+    cover = np.zeros(len(token) + 1, np.int64)
+    np.add.at(cover, low[some], 1)
+    np.add.at(cover, high[some], -1)
+    stay = (np.cumsum(cover)[:-1] > 0) | (token < 0)
+    yield pa.RecordBatch.from_arrays([pa.array(x[stay]) for x in (token, group, n, reach)], ["token", "grp", "n", "reach"])
 
 
 class _Close:
@@ -186,35 +199,52 @@ class _Close:
         return i[near], j[near]
 
 
+def _ranges(rows: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int = 1 << 20):
+    """All (row, j) with j from low up to high of the row, some ``limit`` at a time."""
+    count = np.maximum(high - low, 0)
+    total = np.append(0, np.cumsum(count))
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
+        c = count[at:to]
+        yield np.repeat(rows[at:to], c), np.arange(total[to] - total[at]) + np.repeat(low[at:to] - (total[at:to] - total[at]), c)
+        at = to
+
+
 def _close_pairs(percent: int):
-    """Over a task's rows (token, salt, node, n, sketch, root, probe): close pairs within lists of no probes, else of probes with all of other roots."""
+    """Over a task's rows (token, salt, node, n, reach, sketch, root, wide): close pairs within each (token, salt).
+
+    With no wide rows all pairs of a list are held against each other; else the wide ones, which are in every block of
+    their list, against all of other roots.
+    """
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         rows = pa.Table.from_batches(batches)
-        token, salt, node, n, root, probe = (rows.column(c).to_numpy() for c in ("token", "salt", "node", "n", "root", "probe"))
-        sketches = rows.column("sketch").to_pylist()
-        order = np.lexsort((node, salt, token))
-        cut = np.flatnonzero((np.diff(token[order]) != 0) | (np.diff(salt[order]) != 0)) + 1
+        token, salt, node, n, reach, root, wide = (rows.column(c).to_numpy() for c in ("token", "salt", "node", "n", "reach", "root", "wide"))
+        order = np.lexsort((node, n, salt, token))
+        token, salt, node, n, reach, root, wide = (x[order] for x in (token, salt, node, n, reach, root, wide))
+        _, first, own = np.unique(node, return_index=True, return_inverse=True)
+        sketches = rows.column("sketch").take(pa.array(order[first])).to_pylist()
+        close = _Close(n[first], sketches, percent)
+        lists_ = np.cumsum(np.append(0, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])))
+        key, base = _keyed(lists_, n)
+        high = np.searchsorted(key, base + reach, "right")
+        if wide.any():
+            asks = np.flatnonzero(wide)
+            blocks = _ranges(asks, np.searchsorted(key, base[asks] + -(percent * n[asks] // -100), "left"), high[asks])
+        else:
+            asks = np.arange(len(node))
+            blocks = _ranges(asks, asks + 1, high)
         found = [np.zeros((0, 2), np.int64)]
-        for at in np.split(order, cut):
-            close, flags = _Close(n[at], [sketches[i] for i in at.tolist()], percent), probe[at]
-            if not flags.any():
-                blocks = [np.triu_indices(len(at), 1)]
-            else:
-                asks, all_ = np.flatnonzero(flags), np.arange(len(at))
-                blocks = ((np.full(len(all_), i), all_) for i in asks.tolist())
-            for i, j in blocks:
-                if flags.any():
-                    # two probes meet in every block of their list, and count in the first
-                    keep = (root[at[i]] != root[at[j]]) & (~flags[j] | ((salt[at[0]] == 0) & (i < j)))
-                    i, j = i[keep], j[keep]
-                i, j = close.among(i, j)
-                found.append(np.sort(np.stack([node[at[i]], node[at[j]]], 1), 1))
-            if len(found) > 10_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
+        for i, j in blocks:
+            keep = (n[i] <= reach[j]) & (root[i] != root[j])
+            # two wide rows meet in every block of their list, and count in the first
+            keep &= ~wide[j] | ((salt[i] == 0) & (i < j))
+            i, j = close.among(own[i[keep]], own[j[keep]])
+            found.append(np.unique(np.sort(np.stack([node[first[i]], node[first[j]]], 1), 1), axis=0) if len(i) else found[0])
         pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -235,10 +265,10 @@ def _starred(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(sketched), "a bigint, b bigint")
 
 
-def _verified(close: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(close: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, tables: Tables) -> DataFrame:
     """Of the pairs (a, b) of nodes, those that link, by their whole sets."""
     ends = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    reps = shared(ends.join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
+    reps = tables.shared(ends.join(nodes, "node").select("node", F.col("rep").alias("doc_id")))
     few = reps.count() <= BROADCAST_ROWS
     wanted = docs.join(F.broadcast(reps) if few else reps, "doc_id").select("node", "text")
 
@@ -253,7 +283,7 @@ def _verified(close: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
 
         return work
 
-    sets = shared(map_batches(wanted, ["node", "text"], "node bigint, members binary", make).where("members is not null").dropDuplicates(["node"]))
+    sets = tables.shared(map_batches(wanted, ["node", "text"], "node bigint, members binary", make).where("members is not null").dropDuplicates(["node"]))
     members = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"m{x}"))
 
     def linked(batches):
@@ -267,7 +297,7 @@ def _verified(close: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
                 hits.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
 
-    return shared(close.join(members("a"), "a").join(members("b"), "b").select("a", "b", "ma", "mb").mapInArrow(tidy(linked), "a bigint, b bigint"))
+    return tables.shared(close.join(members("a"), "a").join(members("b"), "b").select("a", "b", "ma", "mb").mapInArrow(tidy(linked), "a bigint, b bigint"))
 
 
 def _mark(text: str = "text"):
@@ -278,48 +308,57 @@ def _mark(text: str = "text"):
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (columns doc_id and text), and a mark of its text."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _mark().alias("mark"))
-    profile = shared(_profile(docs, size, percent))
+    tables = Tables()
+    profile = tables.shared(_profile(docs, size, percent))
     filled = profile.where("n > 0")
-    classes = shared(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.count("*").alias("copies")))
+    classes = tables.shared(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.count("*").alias("copies")))
     nodes = filled.select("node", F.col("doc_id").alias("rep"), "n", "sketch", "fine").join(classes.select("node", "rep"), ["node", "rep"]).dropDuplicates(["node"])
 
-    posted = filled.select(F.explode("prefix").alias("token"), "grp").withColumn("salt", F.when(F.col("token") < 0, F.pmod("grp", F.lit(16))).otherwise(0))
-    postings = posted.repartition("token", "salt").select("token", "grp").mapInArrow(tidy(_shared_postings), "token bigint, grp bigint")
-    crowded = classes.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select(F.xxhash64(F.lit("group"), "grp").alias("token"), "grp")
-    listed = shared(postings.union(crowded).join(classes.select("grp", "node"), "grp").select("token", "node"))
+    # what is left of a set from a shingle on must be percent / (100 + percent) of both sizes together
+    reach = F.floor((F.col("n") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent)) - F.col("n")
+    posted = filled.select(F.posexplode("prefix").alias("pos", "token"), "grp", "n").select("token", "grp", "n", reach.cast("bigint").alias("reach"), F.when(F.col("token") < 0, F.pmod("grp", F.lit(16))).otherwise(0).alias("salt"))
+    postings = posted.repartition("token", "salt").select("token", "grp", "n", "reach").mapInArrow(tidy(_shared_postings), "token bigint, grp bigint, n bigint, reach bigint")
+    crowded = classes.groupBy("grp").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k > 1").select(F.xxhash64(F.lit("group"), "grp").alias("token"), "grp", "n", F.col("n").alias("reach"))
+    listed = tables.shared(postings.union(crowded).join(classes.select("grp", "node"), "grp").select("token", "node", "n", "reach"))
     flips = np.random.default_rng(85).integers(-(1 << 62), 1 << 62, STARS).tolist()
-    sizes = listed.groupBy("token").agg(F.count("*").alias("m"), *[F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"x{i}") for i, x in enumerate(flips)])
+    sizes = listed.groupBy("token").agg(F.count("*").alias("m"), F.max(F.col("reach") >= F.col("n")).alias("meets"), *[F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"x{i}") for i, x in enumerate(flips)])
     leaders = F.array(*[F.col(f"x{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(flips)])
-    sizes = shared(sizes.where("m > 1").select("token", "m", F.when(F.col("m") > SMALL, F.array_distinct(leaders)).alias("leaders")))
-    lined = shared(listed.join(sizes, "token").select("token", "node", "m", "leaders"))
-    nodes = shared(nodes.join(lined.select("node").distinct(), "node"))
+    sizes = tables.shared(sizes.where("m > 1 AND meets").select("token", "m", F.when(F.col("m") > SMALL, F.array_distinct(leaders)).alias("leaders")))
+    lined = tables.shared(listed.join(sizes, "token").select("token", "node", "n", "reach", "m", "leaders"))
+    nodes = tables.shared(nodes.join(lined.select("node").distinct(), "node"))
     sketches = nodes.select("node", "n", "sketch")
     pairs_of = _close_pairs(percent)
-    small = lined.where(F.col("m") <= SMALL).select("token", "node").join(sketches, "node").select("token", F.lit(0).alias("salt"), "node", "n", "sketch", F.col("node").alias("root"), F.lit(False).alias("probe"))
+    small = lined.where(F.col("m") <= SMALL).select("token", "node", "reach").join(sketches, "node").select("token", F.lit(0).alias("salt"), "node", "n", "reach", "sketch", F.col("node").alias("root"), F.lit(False).alias("wide"))
     pairs = small.repartition("token").mapInArrow(tidy(pairs_of), "a bigint, b bigint")
     large = lined.where(F.col("m") > SMALL)
-    stars = large.select("node", F.explode("leaders").alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    links = _verified(shared(pairs.union(_starred(stars, sketches, percent)).distinct()), nodes, docs, size, percent)
-    roots = shared(components(links))
-
-    placed = shared(large.select("token", "node", "m").join(roots, "node", "left").select("token", "node", "m", F.coalesce("root", "node").alias("root")))
-    main = placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", "k").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    # a member's leaders are gathered over all its lists first: near copies share most lists, and so their leaders
+    stars = large.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("leaders"))).alias("others")).select("node", F.explode("others").alias("other"))
+    stars = stars.where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    links = _verified(tables.shared(pairs.union(_starred(stars, sketches, percent)).distinct()), nodes, docs, size, percent, tables)
+    roots = components(links, tables)
+
+    placed = tables.shared(large.select("token", "node", "n", "reach").join(roots, "node", "left").select("token", "node", "n", "reach", F.coalesce("root", "node").alias("root")))
+    main = placed.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     # lists with one main component are searched as one, so that a pair is met once and not under every shingle it shares
-    rest = shared(placed.join(main.select("token", "main"), "token").select(F.col("main").alias("token"), "node", "root").distinct())
+    rest = tables.shared(placed.join(main.select("token", "main"), "token").groupBy(F.col("main").alias("token"), "node", "root", "n").agg(F.max("reach").alias("reach")))
+    # the smaller of a pair reaches beyond its own size; who can't is held against those only
+    meets, probe = F.col("reach") >= F.col("n"), F.col("root") != F.col("token")
+    counted = rest.groupBy("token").agg(F.count("*").alias("m"), F.max(meets & ~probe).alias("main_meets"), F.max(meets).alias("any_meets")).where("any_meets")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = rest.join(rest.groupBy("token").agg(F.count("*").alias("m")), "token").withColumn("probe", F.col("root") != F.col("token"))
-    rest = rest.withColumn("salt", F.explode(F.when(F.col("probe"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod("node", blocks).cast("int")))))
-    more = rest.join(nodes.select("node", "n", F.col("fine").alias("sketch")), "node").select("token", "salt", "node", "n", "sketch", "root", "probe").repartition("token", "salt").mapInArrow(tidy(pairs_of), "a bigint, b bigint")
-    more = shared(more.distinct())
+    rest = rest.join(counted, "token").withColumn("wide", probe & (meets | F.col("main_meets")))
+    rest = rest.withColumn("salt", F.explode(F.when(F.col("wide"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod("node", blocks).cast("int")))))
+    more = rest.join(nodes.select("node", F.col("fine").alias("sketch")), "node").select("token", "salt", "node", "n", "reach", "sketch", "root", "wide").repartition("token", "salt").mapInArrow(tidy(pairs_of), "a bigint, b bigint")
+    more = tables.shared(more.distinct())
     if not more.isEmpty():
-        links = links.union(_verified(more, nodes, docs, size, percent))
-        roots = shared(components(links))
+        links = links.union(_verified(more, nodes, docs, size, percent, tables))
+        roots = components(links, tables)
 
     named = classes.select("node", "rep").join(roots, "node")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     tied = named.join(least, "root").select("node", "component_id")
     copied = classes.where("copies > 1").join(roots, "node", "left_anti").select("node", F.col("rep").alias("component_id"))
-    ids = shared(tied.union(copied))
+    ids = tables.shared(tied.union(copied))
+    tables.drop_others(profile, ids)
     return profile.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node")).join(ids, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "mark")
 
 
@@ -347,3 +386,20 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).drop("mark")
+
+
+ORACLE = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[p : p + 3], ' ') AS s FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS p FROM docs)),
+sizes AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+sets AS (SELECT r, md5(string_agg(s, chr(10) ORDER BY s)) AS c FROM sh GROUP BY r),
+classes AS (SELECT c, min(r) AS rep FROM sets GROUP BY c),
+one AS (SELECT sh.r, s, n FROM sh JOIN sizes USING (r) WHERE r IN (SELECT rep FROM classes)),
+pairs AS (SELECT a.r AS x, b.r AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o FROM one a JOIN one b ON a.s = b.s AND a.r < b.r AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.r, b.r),
+links AS (SELECT x, y FROM pairs WHERE 100 * o >= 85 * (nx + ny - o) UNION SELECT y, x FROM pairs WHERE 100 * o >= 85 * (nx + ny - o)),
+reach AS (SELECT rep AS x, rep AS y FROM classes UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+ids AS (SELECT sets.c, min(d.doc_id) AS id FROM sets JOIN docs d USING (r) GROUP BY sets.c),
+least AS (SELECT reach.x, min(i.id) AS component_id FROM reach JOIN classes k ON k.rep = reach.y JOIN ids i ON i.c = k.c GROUP BY reach.x)
+SELECT docs.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, docs.doc_id) AS component_id
+FROM docs LEFT JOIN sizes USING (r) LEFT JOIN sets USING (r) LEFT JOIN classes USING (c) LEFT JOIN least ON least.x = classes.rep
+"""

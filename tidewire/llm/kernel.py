@@ -219,18 +219,43 @@ def fold(column: str, n: int):
 
 
 def shared_folder(spark) -> str:
-    """A new folder under the cluster's checkpoint folder; only where none is set, one of this machine."""
+    """A new folder under the cluster's checkpoint folder. Only a local master, whose tasks share its disk, may do without one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
     return f"{sc._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
 
 
 def shared(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written once, as a table in the shared folder, and read from there."""
-    bound_batches(df.sparkSession)
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Tables().shared(df)
+
+
+class Tables:
+    """Tables in the shared folder, and their removal when only a few of them are still read."""
+
+    def __init__(self):
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def shared(self, df: DataFrame) -> DataFrame:
+        bound_batches(df.sparkSession)
+        path = shared_folder(df.sparkSession)
+        df.write.parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but ``kept``; nothing that is still to run may read them."""
+        for df, path in [x for x in self.paths if not any(x[0] is k for k in kept)]:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = [x for x in self.paths if any(x[0] is k for k in kept)]

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_language_id": language_id.query,
 }
-ORACLES = {"op7_benchmark_decontamination": decontaminate.ORACLE}
+ORACLES = {"op4_ngram_jaccard_join": jaccard_join.ORACLE, "op7_benchmark_decontamination": decontaminate.ORACLE}
