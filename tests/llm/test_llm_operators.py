@@ -191,6 +191,68 @@ def test_secrets_in_short_base64(secret):
         assert secrets.redact(text, secrets.find(text)[1]) == "see [SECRET] end"
 
 
+def _value(text: str, hidden: str) -> None:
+    """The whole of ``hidden`` is found in the text."""
+    at = text.index(hidden)
+    spans = secrets.find(text)[1]
+    assert any(a <= at and b >= at + len(hidden) for a, _, b in spans), (text[:200], spans)
+
+
+def test_secrets_in_every_packing():
+    import bz2
+    import lzma
+    import zlib
+    from urllib.parse import quote
+
+    import zstandard
+
+    plain = b"note\npassword=hunter2hunter2\nmore"
+    members = gzip.compress(b"first member\n") + gzip.compress(plain)
+    for data in (gzip.compress(plain), zlib.compress(plain), bz2.compress(plain), lzma.compress(plain), zstandard.compress(plain), members, gzip.compress(gzip.compress(plain)), gzip.compress(bz2.compress(plain))):
+        for hidden in (base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("="), quote(data)):
+            _value(f"see {hidden}, end", hidden.rstrip("="))
+
+
+def test_secrets_beyond_megabytes_of_a_packed_layer():
+    data = gzip.compress(b"a line of log\n" * 800_000 + b"token=abcdefgh12\n")
+    hidden = base64.b64encode(data).decode()
+    _value(f"x {hidden} y", hidden.rstrip("="))
+    unread = [0]
+    bomb = gzip.compress(gzip.compress(gzip.compress(b"a b " * 25_000_000)))
+    assert secrets.find(base64.b64encode(bomb).decode(), unread)[1] == [] and unread == [1]
+
+
+def test_secrets_in_base64_behind_a_path():
+    hidden = base64.b64encode(b"token=abcdefgh").decode()
+    for text in (f"https://h/x/{hidden}", f"https://h/abc/{hidden}/end", f"a-b_c/{hidden}", f"https://h/?q={hidden}&z"):
+        _value(text, hidden.rstrip("=")[:-1])
+
+
+def test_secrets_in_wrapped_base64():
+    lines = base64.encodebytes(b"some words before it, and more of them to fill a line; password=hunter2hunter2 and words behind").decode()
+    spans = secrets.find(f"begin\n{lines}end")[1]
+    assert spans and spans[0][1] == 0
+
+
+def test_nested_escapes_take_linear_time():
+    import time
+
+    for text in ("token=" + "%" + "25" * 10_000 + "41bcdefgh", "token=" + "\\" + "u005c" * 4_000 + "u0041bcdefgh", "x: " + "\\" * 20_000 + "u0041"):
+        began = time.perf_counter()
+        secrets.find(text)
+        assert time.perf_counter() - began < 1
+    assert (0, 0, 6 + 1 + 200 + 10) in secrets.find("token=" + "%" + "25" * 100 + "41bcdefgh9")[1]
+    joined = " ".join(f"key{i}: {base64.b64encode(b'some plain text %d' % i).decode()}" for i in range(3000))
+    began = time.perf_counter()
+    secrets.find(joined)
+    assert time.perf_counter() - began < 5
+
+
+def test_doubly_escaped_secret():
+    hidden = "".join("\\\\u%04x" % ord(c) for c in "password=hunter2hunter2")
+    _value(f"see {hidden} end", hidden)
+
+
 def test_secret_layers_end():
     assert secrets.find("%25" * 50 + "41")[1] == [] and secrets.find("100% sure")[1] == []
 
@@ -439,7 +501,7 @@ def test_tables_are_removed(spark):
     from tidewire.llm import kernel
 
     tables = kernel.Tables()
-    kept, gone = tables.shared(spark.range(3).toDF()), tables.shared(spark.range(4).toDF())
+    kept, gone = tables.shared(spark.range(3)), tables.shared(spark.range(4))
     paths = {k: Path(next(p for f, p in tables.paths if f is v).removeprefix("file:")) for k, v in (("kept", kept), ("gone", gone))}
     tables.drop_others(kept)
     assert kept.count() == 3 and paths["kept"].exists() and not paths["gone"].exists()

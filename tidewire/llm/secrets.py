@@ -1,37 +1,47 @@
 """Secret scans with a recursive decoding worklist.
 
 Layer 0 is the text. Each layer is scanned with the base patterns; its encoded regions (percent escapes,
-Unicode escapes, base64, and the compressed bytes that base64 or percent escapes may hold) are decoded into
-new layers, with all the text around them that a find or an encoding could run on over (``reach``), so that
-a keyword beside an encoded value counts and no value is cut.
+Unicode escapes, base64, and the compressed bytes that base64 or percent escapes may hold: gzip, zlib, bzip2, xz,
+Zstandard, of any number of members) are decoded into new layers, with all the text around them that a find or an encoding
+could run on over (``reach``), so that a keyword beside an encoded value counts and no value is cut. Regions that lie
+within each other's reach are decoded together, so a level of the worklist is linear in the text.
 A layer's map gives, for every character, the span of layer 0 that it comes from, so a find in any layer
 is reported at its place in the text. The worklist ends when no layer is new; a layer whose characters and
-place were seen before is not taken up again, which also ends cycles.
+place were seen before is not taken up again, which also ends cycles. An escape of an escape sign (``%2525`` and so on) is
+unwrapped in one step.
+
+Base64 is decoded at all four alignments of each run of its characters, and what is readable there is a region: a
+payload counts wherever it begins, as behind the path of a URL. Compressed bytes are inflated and scanned block by block to
+their end; only what grows by more than ``MAX_RATIO`` (nested bombs) is left, and counted as ``n_unread``.
 
 Base patterns (leftmost, without overlap, failing matches dropped): assign, access, hex. A find in a decoded
 layer is added under its kind unless it takes nothing from decoded characters, or an equal span is there.
 
 Cases: null and empty texts have no spans; rows are independent, so repeated ids and rows stay; very long
 texts are scanned whole; other columns pass through ``scan``, whose own columns replace columns of the same name.
-A compressed layer is inflated to at most ``MAX_INFLATED`` bytes (a guard against bombs; the rest is left).
 """
 
 from __future__ import annotations
 
-import base64
-import binascii
+import bz2
+import codecs
 import hashlib
+import lzma
 import re
 import zlib
+from binascii import a2b_base64
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import arrow_schema, bound_batches, chunks, packed, table, tidy, unpacked, utf8
 
-MAX_INFLATED = 8 << 20
+#: Inflated bytes are taken up by blocks of this size, and by no more than so many for each encoded byte (all one layer can give; at least ``LEAST_RATIO_BYTES``).
+BLOCK, MAX_RATIO, LEAST_RATIO_BYTES = 1 << 20, 40_000, 64 << 20
 KINDS = ("assign", "access", "hex")
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -39,13 +49,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A maximal run of 24 or more is what the pattern of one or more finds and keeps.
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Holds every access or hex find, and every base64 token that can hold a whole find: the shortest takes 12 bytes, so 16 characters.
-LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-TOKEN = re.compile(r"\S+")
-PERCENT_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
+LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}")
+#: Such a run, or lines of 60 or more that a last one follows.
+BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{60,}\r?\n)+[A-Za-z0-9+/_-]+|[A-Za-z0-9+/_-]{16,}")
+#: What decoded base64 holds if it is text: as many characters as the shortest find.
+READABLE = re.compile(r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]{12,}")
+PERCENT = re.compile(r"%(?:25)*[0-9A-Fa-f]{2}")
+PERCENT_RUN = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+ESCAPE = re.compile(r"\\+(?:u005[cC])*(?:u\{([0-9A-Fa-f]{1,6})\}|u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
+#: How compressed bytes begin, and the same with some bytes as percent escapes.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+PACKED_PERCENT = re.compile(r"%1[fF]%8[bB]|(?:\(|%28)%[bB]5|BZh|%[fF][dD](?:7|%37)|(?:x|%78)(?:%01|\^|%5[eE]|%9[cC]|%[dD][aA])")
 #: Characters of keywords, values and encodings, and those that may stand between a keyword and its value.
 INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-%\\{}")
 BETWEEN = frozenset(" \"':")
+_CARRIED = INNER | BETWEEN
+_ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]+")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
 
@@ -61,52 +80,117 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _inflate(data: bytes) -> bytes | None:
-    for magic, bits in ((b"\x1f\x8b", 31), (b"\x78\x01", 15), (b"\x78\x5e", 15), (b"\x78\x9c", 15), (b"\x78\xda", 15)):
-        if data.startswith(magic):
-            try:
-                return zlib.decompressobj(bits).decompress(data, MAX_INFLATED)
-            except zlib.error:
-                return None
-    if data.startswith(b"\x28\xb5\x2f\xfd"):
+class _Zstd:
+    """Zstandard's streams with the limits on output that the other decompressors have: input is fed by a few blocks."""
+
+    eof, unused_data = False, b""
+
+    def __init__(self):
         import zstandard
 
+        self.inner, self.errors = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(), zstandard.ZstdError
+        self.unconsumed_tail = b""
+
+    def decompress(self, data: bytes, _: int) -> bytes:
         try:
-            return zstandard.ZstdDecompressor().stream_reader(data).read(MAX_INFLATED)
-        except zstandard.ZstdError:
-            return None
-    return None
-
-
-def _readable(data: bytes) -> str | None:
-    """Text of decoded bytes, inflated as often as they are compressed; None if they aren't text."""
-    while (inner := _inflate(data)) is not None:
-        if inner == data or not inner:
-            return None
-        data = inner
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and odd * 20 <= len(text) else None
-
-
-def _base64(token: str) -> str | None:
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return _readable(base64.b64decode(body + "=" * (-len(body) % 4), validate=True))
-    except (binascii.Error, ValueError):
-        return None
+            out = self.inner.decompress(data[:64])
+        except self.errors as e:
+            raise zlib.error(str(e)) from e
+        self.eof = self.inner.eof
+        self.unused_data = self.inner.unused_data + data[64:] if self.eof else b""
+        self.unconsumed_tail = b"" if self.eof else data[64:]
+        return out
+
+
+def _opened(head: bytes):
+    if head.startswith(b"\x1f\x8b"):
+        return zlib.decompressobj(31)
+    if head.startswith(b"\x28\xb5"):
+        return _Zstd()
+    if head.startswith(b"BZ"):
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head.startswith(b"\xfd7") else zlib.decompressobj(15)
+
+
+class Inflated:
+    """Blocks of the bytes that ``source`` packs, member by member, and of what those pack in turn; ``left``: bytes behind the last member."""
+
+    def __init__(self, source: Iterator[bytes], most: int):
+        self.source, self.most, self.left, self.cut = source, most, 0, False
+
+    def blocks(self) -> Iterator[bytes]:
+        blocks = self._members()
+        first = next(blocks, b"")
+        while 0 < len(first) < 16 and (more := next(blocks, b"")):
+            first += more
+
+        def rest():
+            yield first
+            yield from blocks
+
+        if PACKED.match(first):
+            inner = Inflated(rest(), self.most)
+            yield from inner.blocks()
+            self.cut |= inner.cut
+        elif first:
+            yield from rest()
+
+    def _members(self) -> Iterator[bytes]:
+        d, total = None, 0
+        try:
+            for data in self.source:
+                waiting = False
+                while data or waiting:
+                    if d is None:
+                        if not PACKED.match(data):
+                            self.left = len(data)
+                            return
+                        d = _opened(data)
+                    out = d.decompress(data, BLOCK)
+                    total += len(out)
+                    if out:
+                        yield out
+                    if total > self.most:
+                        self.cut = True
+                        return
+                    if d.eof:
+                        data, waiting, d = d.unused_data, False, None
+                    elif hasattr(d, "needs_input"):
+                        data, waiting = b"", not d.needs_input
+                    else:
+                        data = d.unconsumed_tail
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            return
+
+
+def _texts(blocks: Iterator[bytes]) -> Iterator[str]:
+    """Text of the blocks in parts that no find or encoding lies across; ends where they aren't text."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for block in blocks:
+        text = decoder.decode(block)
+        if 20 * sum(map(len, _ODD.findall(text))) > len(text):
+            return
+        held += text
+        at = len(held)
+        while at and held[at - 1] in _CARRIED:
+            at -= 1
+        if at:
+            yield held[:at]
+            held = held[at:]
+        elif len(held) > 16 * BLOCK:
+            # one run of that length: its halves overlap by more than any find needs
+            yield held
+            held = held[-(1 << 16) :]
+    if held:
+        yield held
 
 
 class Layer:
-    """Decoded text; ``where[i]`` is the span of layer 0 that character i is from, ``plain[i]`` if it was not encoded."""
+    """Decoded text; character i is from ``start[i]`` to ``end[i]`` of layer 0 (neither ever falls), ``coded`` sums the encoded ones."""
 
-    def __init__(self, text: str, where: list[tuple[int, int]], plain: list[bool]):
-        self.text, self.where, self.plain = text, where, plain
+    def __init__(self, text: str, start: np.ndarray, end: np.ndarray, plain: np.ndarray):
+        self.text, self.start, self.end = text, start, end
+        self.coded = np.append(0, np.cumsum(~plain))
 
 
 def _run(text: str, at: int, stop: int, kind: frozenset) -> int:
@@ -143,84 +227,149 @@ def reach(text: str, at: int, stop: int) -> int:
         last = text[at - 1 if step > 0 else at]
 
 
-def _pieces(text: str) -> list[tuple[int, int, list[tuple[str, int, int, bool]]]]:
-    """Encoded regions of a layer: (start, end, pieces); a piece is (decoded text, start, end, was plain)."""
-    out = []
-    if PERCENT_RUN.search(text):
-        for m in TOKEN.finditer(text):
-            if not PERCENT_RUN.search(text, m.start(), m.end()):
-                continue
-            pieces, at = [], m.start()
-            for run in PERCENT_RUN.finditer(text, m.start(), m.end()):
-                pieces += [(c, at + i, at + i + 1, True) for i, c in enumerate(text[at : run.start()])]
-                raw = unquote_to_bytes(run.group())
-                decoded = _readable(raw) if _inflate(raw) is not None else raw.decode(errors="replace")
-                if decoded is not None and len(decoded.encode()) == len(raw) and "\ufffd" not in decoded:
-                    i = run.start()
-                    for c in decoded:
-                        n = 3 * len(c.encode())
-                        pieces.append((c, i, i + n, False))
-                        i += n
-                elif decoded:
-                    pieces.append((decoded, run.start(), run.end(), False))
-                at = run.end()
-            pieces += [(c, at + i, at + i + 1, True) for i, c in enumerate(text[at : m.end()])]
-            out.append((m.start(), m.end(), pieces))
-    if "\\u" in text or "\\x" in text or "\\U" in text:
-        escapes = list(ESCAPE.finditer(text))
-        i = 0
-        while i < len(escapes):
-            j = i
-            while j + 1 < len(escapes) and reach(text, escapes[j].end(), escapes[j + 1].start()) == escapes[j + 1].start():
-                j += 1
-            pieces, at = [], escapes[i].start()
-            for m in escapes[i : j + 1]:
-                pieces += [(c, at + k, at + k + 1, True) for k, c in enumerate(text[at : m.start()])]
-                code = int(m.group()[2:].strip("{}"), 16)
-                pieces.append((chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd", m.start(), m.end(), False))
-                at = m.end()
-            out.append((escapes[i].start(), escapes[j].end(), pieces))
-            i = j + 1
-    for m in LONG.finditer(text):
-        decoded = _base64(m.group())
-        if decoded is not None:
-            out.append((m.start(), m.end(), [(decoded, m.start(), m.end(), False)]))
-    return out
-
+#: A decoded piece: its text, and where it is from.
+Piece = tuple[str, int, int]
 
-def _layers(layer: Layer | None, text: str) -> list[Layer]:
-    out = []
-    for start, end, pieces in _pieces(text):
-        left, right = reach(text, start, 0), reach(text, end, len(text))
-        around = [(c, left + i, left + i + 1, True) for i, c in enumerate(text[left:start])], [(c, end + i, end + i + 1, True) for i, c in enumerate(text[end:right])]
-        decoded, where, plain = [], [], []
-        for piece, a, b, same in (*around[0], *pieces, *around[1]):
-            span = (a, b) if layer is None else (min(x for x, _ in layer.where[a:b]), max(y for _, y in layer.where[a:b]))
-            decoded.append(piece)
-            where += [span] * len(piece)
-            # what an outer layer decoded is decoded here too
-            plain += [same and (layer is None or all(layer.plain[a:b]))] * len(piece)
-        out.append(Layer("".join(decoded), where, plain))
-    return out
 
-
-def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and all spans of a text, each sorted, as (start, kind, end)."""
+def _percent(text: str) -> Iterator[Piece]:
+    for run in PERCENT_RUN.finditer(text):
+        signs = list(PERCENT.finditer(text, run.start(), run.end()))
+        raw = bytes(int(m.group()[-2:], 16) for m in signs)
+        try:
+            at = 0
+            for c in raw.decode():
+                n = len(c.encode())
+                yield c, signs[at].start(), signs[at + n - 1].end()
+                at += n
+        except UnicodeDecodeError:
+            yield raw.decode(errors="replace"), run.start(), run.end()
+
+
+def _escapes(text: str) -> Iterator[Piece]:
+    for m in ESCAPE.finditer(text):
+        code = int(m[1] or m[2] or m[3] or m[4], 16)
+        yield (chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"), m.start(), m.end()
+
+
+def _runs(text: str) -> Iterator[tuple[str, np.ndarray | int]]:
+    """Runs of base64 characters in the plain alphabet, and the place of each character (or of the first)."""
+    for m in BASE64.finditer(text):
+        body = m.group()
+        places = m.start()
+        if "\n" in body:
+            kept = [i for i, c in enumerate(body) if c not in "\r\n"]
+            body, places = "".join(body[i] for i in kept), np.array(kept) + m.start()
+        yield body.replace("-", "+").replace("_", "/"), places
+
+
+def _decoded(body: str, shift: int) -> bytes:
+    use = body[shift:]
+    use = use[: len(use) - (len(use) % 4 == 1)]
+    return a2b_base64(use + "=" * (-len(use) % 4))
+
+
+def _base64(text: str, shift: int) -> Iterator[Piece]:
+    """Readable stretches of the runs, decoded from their character number ``shift`` on."""
+    for body, places in _runs(text):
+        data = _decoded(body, shift)
+        shown = data.decode("utf-8", "surrogateescape")
+        for m in READABLE.finditer(shown):
+            a = len(shown[: m.start()].encode("utf-8", "surrogateescape"))
+            b = a + len(m.group().encode())
+            first, last = shift + 4 * a // 3, min(shift + -(4 * b // -3), len(body)) - 1
+            yield (m.group(), int(places[first]), int(places[last]) + 1) if isinstance(places, np.ndarray) else (m.group(), places + first, places + last + 1)
+
+
+def _packed_regions(text: str) -> Iterator[tuple[bytes, int, np.ndarray | None, int]]:
+    """Compressed bytes in base64 or percent escapes: the bytes to the end of their run, where they begin, and the places of a run's characters from there on."""
+    for body, places in _runs(text):
+        places = places if isinstance(places, np.ndarray) else np.arange(places, places + len(body))
+        for shift in range(4):
+            data = _decoded(body, shift)
+            for m in PACKED.finditer(data):
+                at = shift + m.start() // 3 * 4
+                # payloads begin with a whole group; two bytes alone say little, so those must begin a run or a part of it
+                if m.start() % 3 == 0 and (len(m.group()) > 2 or at == 0 or body[at - 1] in "+/"):
+                    yield data[m.start() :], int(places[at]), places[at:], 0
+    if "%" in text:
+        for m in PACKED_PERCENT.finditer(text):
+            end = re.compile(r"\S*").match(text, m.start()).end()
+            data = unquote_to_bytes(text[m.start() : end])
+            if PACKED.match(data):
+                yield data, m.start(), None, end
+
+
+def _layer(outer: Layer | None, text: str, left: int, pieces: list[Piece], right: int) -> Layer:
+    """Text from left to right with the pieces in their places."""
+    parts, start, end, plain, at = [], [], [], [], left
+    for decoded, a, b in (*pieces, ("", right, right)):
+        gap = np.arange(at, a)
+        n = len(decoded)
+        parts += [text[at:a], decoded]
+        start += [gap, np.full(n, a)]
+        end += [gap + 1, np.full(n, b)]
+        plain += [np.ones(len(gap), bool), np.zeros(n, bool)]
+        at = max(a, b)
+    start, end, plain = np.concatenate(start), np.concatenate(end), np.concatenate(plain)
+    if outer is not None:
+        # what an outer layer decoded is decoded here too
+        plain &= outer.coded[end] == outer.coded[start]
+        start, end = outer.start[start], outer.end[np.maximum(end - 1, 0)]
+    return Layer("".join(parts), start, end, plain)
+
+
+def _layers(outer: Layer | None, text: str, unread: list[int]) -> Iterator[Layer]:
+    """All next layers of a text."""
+    ways = [_percent(text)] if "%" in text else []
+    ways += [_escapes(text)] if "\\" in text else []
+    some = LONG.search(text)
+    ways += [_base64(text, k) for k in range(4)] if some else []
+    for way in ways:
+        group: list[Piece] = []
+        left = 0
+        for piece in way:
+            if group:
+                end, start = group[-1][2], piece[1]
+                if reach(text, end, start) < start and reach(text, start, end) > end:
+                    yield _layer(outer, text, left, group, reach(text, end, start))
+                    group, left = [], reach(text, start, end)
+            else:
+                left = reach(text, piece[1], 0)
+            group.append(piece)
+        if group:
+            yield _layer(outer, text, left, group, reach(text, group[-1][2], len(text)))
+    for data, start, places, end in _packed_regions(text) if some or "%" in text else ():
+        inflated = Inflated(iter([data]), max(LEAST_RATIO_BYTES, MAX_RATIO * len(data)))
+        for number, part in enumerate(_texts(inflated.blocks())):
+            if places is not None:
+                # by base64 the last byte that was taken gives the end; it is known once all members have been read
+                used = min(-(4 * (len(data) - inflated.left) // -3), len(places))
+                end = int(places[used - 1]) + 1
+            yield _layer(outer, text, start if number else reach(text, start, 0), [(part, start, end)], end if number else reach(text, end, len(text)))
+        unread[0] += inflated.cut
+
+
+def find(text: str, unread: list[int] | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and all spans of a text, each sorted, as (start, kind, end); adds to ``unread`` the layers not read to their end."""
     base = sorted(base_spans(text))
     if not (LONG.search(text) or "%" in text or "\\" in text):
         return base, base
-    found = set(base)
-    todo, seen = _layers(None, text), set()
+    unread = [0] if unread is None else unread
+    found, seen = set(base), set()
+    todo = [_layers(None, text, unread)]
     while todo:
-        layer = todo.pop()
-        key = (hashlib.blake2b(layer.text.encode(errors="replace"), digest_size=16).digest(), layer.where[0], layer.where[-1])
+        layer = next(todo[-1], None)
+        if layer is None:
+            todo.pop()
+            continue
+        key = (hashlib.blake2b(layer.text.encode(errors="replace"), digest_size=16).digest(), int(layer.start[0]), int(layer.end[-1]))
         if key in seen:
             continue
         seen.add(key)
         for a, kind, b in base_spans(layer.text):
-            if not all(layer.plain[a:b]):
-                found.add((min(x for x, _ in layer.where[a:b]), kind, max(y for _, y in layer.where[a:b])))
-        todo += _layers(layer, layer.text)
+            if layer.coded[b] > layer.coded[a]:
+                found.add((int(layer.start[a]), kind, int(layer.end[b - 1])))
+        todo.append(_layers(layer, layer.text, unread))
     return base, sorted(found)
 
 
@@ -241,7 +390,7 @@ def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]")
     return "".join(out) + text[at:] if spans else text
 
 
-OWN = "n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string"
+OWN = "n_assign bigint, n_access bigint, n_hex bigint, base_spans string, spans string, n_unread bigint"
 
 
 def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text", redacted: bool = False) -> DataFrame:
@@ -263,11 +412,13 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text",
                 columns: dict[str, list] = {c: [] for c in own}
                 clean = []
                 for text in texts.slice(i, j - i).to_pylist():
-                    base, spans = find(text or "")
+                    unread = [0]
+                    base, spans = find(text or "", unread)
                     for k, c in enumerate(own[:3]):
                         columns[c].append(sum(x[1] == k for x in base))
                     columns["base_spans"].append(_text(base))
                     columns["spans"].append(_text(spans))
+                    columns["n_unread"].append(unread[0])
                     if redacted:
                         clean.append(text if text is None else redact(text, spans))
                 new = {c: pa.array(v, out.field(c).type) for c, v in columns.items()}
@@ -286,4 +437,4 @@ def without_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", "n_unread")
