@@ -63,7 +63,8 @@ PACKED_PERCENT = re.compile(r"%1[fF]%8[bB]|(?:\(|%28)%[bB]5|BZh|%[fF][dD](?:7|%3
 #: Characters of keywords, values and encodings, and those that may stand between a keyword and its value.
 INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-%\\{}")
 BETWEEN = frozenset(" \"':")
-_CARRIED = INNER | BETWEEN
+#: Ends of what no find, and no encoded part of one, lies across: a character of neither set, or a space with no sign beside it.
+_CUT = re.compile(r"""[^\s%\\:=]\x20(?=[^\s%\\:="'])|[^A-Za-z0-9+/_.=%\\{}\x20"':-]""")
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]+")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
@@ -170,10 +171,10 @@ def _texts(blocks: Iterator[bytes]) -> Iterator[str]:
         text = decoder.decode(block)
         if 20 * sum(map(len, _ODD.findall(text))) > len(text):
             return
-        held += text
-        at = len(held)
-        while at and held[at - 1] in _CARRIED:
-            at -= 1
+        fresh, held, size, at = max(len(held) - 2, 0), held + text, 4096, 0
+        while not at and size < 2 * (len(held) - fresh):
+            low = max(fresh, len(held) - size)
+            at, size = max((m.end() for m in _CUT.finditer(held, low)), default=0), 2 * size
         if at:
             yield held[:at]
             held = held[at:]
