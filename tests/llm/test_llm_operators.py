@@ -425,15 +425,65 @@ def test_html_main_text(spark, sf_dir):
 
 
 def test_html_of_other_shapes():
-    import numpy as np
-
-    weights = np.zeros(len(html_text.NAMES) + 1)
+    model = html_text.train([])
     page = '<body><div class="cookie-notice">We use cookies.</div><nav><a>Home</a></nav><main><h1>T &amp; x</h1><p>One<br>two <b>three</b>&nbsp;four<p>Five</main><section id="comments"><p>Nice!</section><form><label>Mail</label></form><script>if(a<b){"</p>"}</script><footer>(c)</footer>'
-    assert html_text.main_text(page, weights) == "T & x\nOne two three four\nFive"
-    assert html_text.main_text(None, weights) == html_text.main_text("<p></p><!-- x", weights) == ""
+    assert html_text.main_text(page, model) == "T & x\nOne two three four\nFive"
+    assert html_text.main_text(None, model) == html_text.main_text("<p></p><!-- x", model) == ""
     assert len(html_text.blocks("<div>" * 3000 + "deep")) == 1
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article title="The hidden cost of x"><p>Body text.</p></article>', "Body text."),
+        ('<article><span title="a hidden gem">A gem.</span><p hidden>no</p><p style="color:red; display: none">no</p></article>', "A gem."),
+        ('<article><h2 id="discussion">Discussion</h2><p>One.</p><h2 id="related-work">Related</h2><section id="discussion"><p>Kept.</p></section></article>', "Discussion\nOne.\nRelated\nKept."),
+        ("<article><p title=it's>Words.</p><a href=/x/>link</a> on</article>", "Words.\nlink on"),
+        ('<article class="post"><header class="entry-header"><h1>T</h1></header><p>A b c.</p><aside>no</aside><div class="share-buttons">no</div><section id="comments"><article class="comment">no</article></section></article>', "T\nA b c."),
+        ('<body class="has-sidebar"><div class="sidebar-layout header"><article><p>A b c.</p></article></div><div class="ad">Buy this, now.</div></body>', "A b c."),
+    ],
+)
+def test_html_signs(page, want):
+    assert html_text.main_text(page, html_text.train([])) == want
+
+
+def test_html_cut_is_the_least_by_brute_force():
+    import numpy as np
+
+    rng = random.Random(12)
+    changed = 0
+    for _ in range(60):
+        n = rng.randint(2, 9)
+        page = "".join(rng.choice(["<div>", "</div>", ""]) + f"<p>text {i}</p>" for i in range(n))
+        found = html_text.blocks(page)
+        odds = np.array([rng.uniform(-1.5, 1.5) for _ in found])
+        edges = html_text.ties(found, 0.8)
+
+        def cost(labels, odds=odds, edges=edges):
+            return sum(x if not y and x > 0 else -x if y and x < 0 else 0.0 for x, y in zip(odds, labels, strict=True)) + sum(w for i, j, w in edges if labels[i] != labels[j])
+
+        least = min(cost([k >> i & 1 for i in range(len(found))]) for k in range(1 << len(found)))
+        got = html_text.labelled(found, odds, 0.8)
+        assert cost(got) == pytest.approx(least)
+        changed += got != [x > 0 for x in odds]
+    assert changed > 10
+
+
+def test_html_without_containers(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").orderBy("page_id").collect()]
+    model = html_text.train(pages[:100])
+    whole = 0
+    for page in pages[100:]:
+        bare = re.sub(r"<(/?)(?:article|nav|footer|div)\b[^>]*>", r"<\1div>", page)
+        whole += html_text.main_text(bare, model) == html_text.main_text(page, model)
+    assert whole >= 0.95 * len(pages[100:])
+
+
+def test_html_of_a_long_page():
+    page = "<nav><a>Home</a></nav><article>" + "".join(f"<p>Paragraph number {i}, with some words in it.</p>" for i in range(20_000)) + "</article>"
+    assert html_text.main_text(page, html_text.train([])).count("\n") == 19_999
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, sf_dir, name):
     for table in ("documents", "pages", "benchmark", "labels"):

@@ -1,17 +1,22 @@
 """HTML main text by minimum cut.
 
-A page's html is cut into text blocks, each with its DOM path. A logistic classifier (text length, link density,
-punctuation, place, tag) and the containers on the path give each block its log odds of being content; these
-become capacities to the source or the sink. Neighbouring blocks, and blocks under one parent, are tied by smoothness
-edges that grow with the share of the path they have in common. Max-flow (Dinic) separates content from
-boilerplate at least cost.
-
-The classifier is trained on at most ``TRAIN_PAGES`` pages (those of least hash): blocks in an article or main
-element are content, those in menus, headers, footers, asides and forms are not.
+A page's html is cut into text blocks, each with its DOM path. A logistic classifier gives each block its log odds of
+being content, from its text (length, link density, punctuation, place, tag) and from signs of its containers
+(elements and words of class, role and id that speak for content or against it, and being outside of the article that the
+page has). The log odds become capacities to the source or the sink; neighbouring blocks, and blocks under one parent, are
+tied by smoothness edges that grow with the share of the path they have in common. Max-flow (Dinic) separates content
+from boilerplate at least cost, and nothing but the cut decides.
+
+The classifier is trained on at most ``TRAIN_PAGES`` pages of at most ``TRAIN_PAGE_BYTES`` each that have an article or main
+element (those of least hash): blocks in it, but not in a menu, header, footer, aside, form or the like, are content,
+all others aren't. First the weights of the text are learned, without any sign and half of them without tags, so that
+they can tell alone; then those of the signs, beside what the text says. Both are drawn towards ``PRIOR``, so signs that the training pages don't have
+keep its values.
 
 Cases: a null or empty html, or one without text, gives an empty text; broken markup is read as far as it goes (a tag
 left open at the end of the html is text); rows are independent, so repeated ids and rows stay; a page without any
-known container is decided by the classifier and its ties alone; only ``page_id``, ``url`` and ``html`` are read.
+known container is decided by its texts and ties alone; very long pages are read whole (ties are a few for each block); only
+``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .kernel import map_batches, table
 
-TRAIN_PAGES = 400
+TRAIN_PAGES, TRAIN_PAGE_BYTES = 300, 1 << 17
+#: Weight of a tie of two blocks that share their whole path, in log odds.
+SMOOTH = 0.6
 #: Elements and words of class, id and role by what they say of the text inside.
 CONTENT = frozenset(["article", "main"])
 CHROME = frozenset(["nav", "header", "footer", "aside", "form", "button", "select", "option", "label", "dialog", "menu", "fieldset"])
@@ -35,43 +42,79 @@ HIDDEN = frozenset(["script", "style", "noscript", "template", "iframe", "svg",
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 BLOCKS = frozenset(["address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul"])
-CHROME_WORDS = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "discussion", "disqus", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"])
+CHROME_WORDS = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"])
+COMMENT_WORDS = frozenset(["comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"])
 CONTENT_WORDS = frozenset(["article", "content", "entry", "main", "post", "story"])
-NAMES = ["log_chars", "log_words", "link_share", "stops", "commas", "capital", "paragraph", "heading", "item", "depth", "place", "short"]
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_GONE = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Elements whose id is a name of a part of the page; those of headings and the like are made from their text.
+NAMED = frozenset(["article", "aside", "div", "dl", "footer", "form", "header", "main", "nav", "ol", "section", "table", "ul"])
+TEXT = ["log_chars", "log_words", "link_share", "stops", "commas", "capital", "paragraph", "heading", "item", "loose", "depth", "place", "short", "constant"]
+SIGNS = ["content", "chrome", "content_word", "chrome_word", "outside"]
+#: Weights before any page has been seen.
+PRIOR = {"link_share": -3.0, "log_words": 0.5, "stops": 0.8, "paragraph": 0.8, "heading": 0.8, "short": -0.8, "constant": -1.0, "content": 5.0, "chrome": -6.0, "content_word": 1.5, "chrome_word": -4.0, "outside": -3.0}
+
+_ATTRIBUTES = r"""(?:[\s/]*+[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)?+)*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?=[\s/>]){_ATTRIBUTES})[\s/]*+>|<[!?/][^>]*>""", re.S)
+_ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+))?+)?+""")
+_NONE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_SOME = re.compile(r"class|id\b|role|hidden|style", re.I)
 _WORD = re.compile(r"[^a-z]+")
 
 
 class Block:
-    __slots__ = ("bias", "chars", "links", "order", "path", "tag", "text")
+    """``element`` and ``word``: what the innermost telling element, and class, role or id, say: above 0 content, below 0 not."""
+
+    __slots__ = ("chars", "element", "links", "path", "tag", "text", "word")
+
+    def __init__(self, text: str, links: int, path: tuple, tag: str, element: int, word: int):
+        self.text, self.chars, self.links, self.path, self.tag, self.element, self.word = text, len(text), links, path, tag, element, word
 
-    def __init__(self, text: str, links: int, path: tuple, tag: str, bias: int):
-        self.text, self.chars, self.links, self.path, self.tag, self.bias = text, len(text), links, path, tag, bias
 
+def _attributes(source: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
 
-def _says(tag: str, attributes: str, outer: int) -> int:
-    """1 if the element is content, -1 if it isn't, 0 if it doesn't say; ``outer`` is what its parents say."""
+
+def _chrome(token: str, inside: bool) -> bool:
+    """Whether a name like main-navigation speaks against content: by its first or last word, or by any if none speaks for it."""
+    words = [w for w in _WORD.split(token) if w]
+    against = [w in CHROME_WORDS and not (inside and w in ("header", "banner")) for w in words]
+    return any(against) and (against[0] or against[-1] or CONTENT_WORDS.isdisjoint(words))
+
+
+def _says(tag: str, source: str, element: int, word: int) -> tuple[int, int] | None:
+    """What an element and its names say, from what those around it say; None if it isn't shown."""
     if tag in HIDDEN:
-        return -2
-    if attributes and _GONE.search(attributes):
-        return -2
-    words = {w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.split((m[2] or m[3] or m[4] or "").lower())} if attributes else ()
-    if tag in CHROME and not (tag == "header" and outer > 0):
-        return -1
-    if words and words & CHROME_WORDS and not (words & CONTENT_WORDS and outer <= 0 and not words & {"comment", "comments", "ad", "ads"}):
-        return -1
-    if tag in CONTENT or words and words & CONTENT_WORDS:
-        return 1
-    return 0
+        return None
+    given = _attributes(source) if source and _SOME.search(source) else {}
+    if given and ("hidden" in given or given.get("aria-hidden", "").lower() == "true" or _NONE.search(given.get("style", ""))):
+        return None
+    if tag in CHROME and not (tag == "header" and element > 0):
+        element = -1
+    elif tag in CONTENT and element >= 0:
+        # a part of the page's frame may hold its article; its comments don't
+        element, word = 1, word if word == -2 else 0
+    if given and tag not in ("html", "body"):
+        inside = element > 0 or word > 0
+        names = f"{given.get('class', '')} {given.get('role', '')}".lower().split()
+        named = given.get("id", "").lower() if tag in NAMED else ""
+        own = {w for w in _WORD.split(named) if w}
+        words = {w for n in names for w in _WORD.split(n)}
+        if words & COMMENT_WORDS or own & COMMENT_WORDS and (not inside or own <= COMMENT_WORDS):
+            word = -2
+        elif word != -2 and (any(_chrome(n, inside) for n in names) or named and not inside and _chrome(named, False)):
+            word = -1
+        elif word >= 0 and (words | own) & CONTENT_WORDS:
+            word = 1
+    return element, word
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; hidden text is left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, number of the element, what it and its parents say
+    # tag, number of the element, what it and its parents say, None if they aren't shown
+    stack: list[tuple[str, int, tuple[int, int] | None]] = []
     parts: list[str] = []
     links, number, in_link, at = 0, 0, 0, 0
 
@@ -79,9 +122,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
-        if text and not (stack and stack[-1][2] == -2):
+        says = stack[-1][2] if stack else (0, 0)
+        if text and says is not None:
             tag = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "")
-            out.append(Block(text, min(links, len(text)), tuple(n for t, n, _ in stack if t in BLOCKS), tag, stack[-1][2] if stack else 0))
+            out.append(Block(text, min(links, len(text)), tuple(n for t, n, _ in stack if t in BLOCKS), tag, *says))
         links = 0
 
     def close(upto: int) -> None:
@@ -123,12 +167,11 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID:
             continue
         number += 1
-        outer = stack[-1][2] if stack else 0
-        says = -2 if outer == -2 else _says(tag, m[3], outer)
-        stack.append((tag, number, outer if outer < 0 and says >= 0 else says or outer))
+        outer = stack[-1][2] if stack else (0, 0)
+        stack.append((tag, number, None if outer is None else _says(tag, m[3], *outer)))
         in_link += tag == "a"
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
@@ -137,39 +180,66 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def features(found: list[Block]) -> np.ndarray:
+def features(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``TEXT`` and rows of ``SIGNS``."""
     n = max(len(found) - 1, 1)
-    rows = []
+    has, paged = any(b.element > 0 for b in found), any(b.tag == "p" for b in found)
+    text, signs = [], []
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
-        rows.append((math.log1p(b.chars), math.log1p(words), b.links / b.chars, (b.text[-1] in ".!?:;\"'”»"), b.text.count(",") / words, b.text[:1].isupper(), b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("li", "td", "th", "dd", "dt"), min(len(b.path), 12) / 12, i / n, words < 6))
-    return np.array(rows, float).reshape(-1, len(NAMES))
+        text.append((math.log1p(b.chars), math.log1p(words), b.links / b.chars, b.text[-1] in ".!?:;\"'”»", b.text.count(",") / words, b.text[:1].isupper(), b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("li", "td", "th", "dd", "dt"), paged and b.tag != "p" and b.tag[:1] != "h", min(len(b.path), 12) / 12, i / n, words < 6, 1))
+        signs.append((b.element > 0 and b.word >= 0, b.element < 0, b.word > 0 and b.element >= 0, b.word < 0, has and b.element <= 0))
+    return np.array(text, float).reshape(-1, len(TEXT)), np.array(signs, float).reshape(-1, len(SIGNS))
 
 
-def train(pages: list[str]) -> np.ndarray:
-    """Weights of the features, and a last one of their constant; zeros if one kind of block is lacking."""
-    xs, ys = [], []
-    for page in pages:
-        found = blocks(page)
-        said = [i for i, b in enumerate(found) if b.bias]
-        if said:
-            xs.append(features(found)[said])
-            ys += [found[i].bias > 0 for i in said]
-    if len(set(ys)) < 2:
-        return np.zeros(len(NAMES) + 1)
-    x, y = np.concatenate(xs), np.array(ys, float)
-    x = np.column_stack([x, np.ones(len(x))])
+def _prior(names: list[str]) -> np.ndarray:
+    return np.array([PRIOR.get(k, 0.0) for k in names])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, offset: np.ndarray, prior: np.ndarray, ridge: float = 5.0) -> np.ndarray:
+    """Weights by Newton's steps, drawn towards the prior; both kinds of rows weigh alike in all."""
     share = y.mean()
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
-    w = np.zeros(x.shape[1])
-    for _ in range(25):  # Newton's steps with a ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + 5.0 * w
-        h = (x.T * (weight * p * (1 - p))) @ x + 5.0 * np.eye(len(w))
+    w = prior.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + offset, -30, 30)))
+        g = x.T @ (weight * (p - y)) + ridge * (w - prior)
+        h = (x.T * (weight * p * (1 - p))) @ x + ridge * np.eye(len(w))
         w -= np.linalg.solve(h, g)
     return w
 
 
+#: What a block's text may say at most, so that signs have the last word where there are any.
+TEXT_ODDS = 3.0
+
+
+class Model:
+    def __init__(self, text: np.ndarray, signs: np.ndarray):
+        self.text, self.signs = text, signs
+
+    def odds(self, found: list[Block]) -> np.ndarray:
+        text, signs = features(found)
+        return np.clip(text @ self.text, -TEXT_ODDS, TEXT_ODDS) + signs @ self.signs
+
+
+def train(pages: list[str]) -> Model:
+    """The model from pages that have an article or main element; the prior, if one kind of block is lacking."""
+    texts, signs, ys = [], [], []
+    for page in pages:
+        found = blocks(page)
+        if any(b.element > 0 for b in found):
+            for rows, x in zip((texts, signs), features(found), strict=True):
+                rows.append(x)
+            ys += [b.element > 0 and b.word >= 0 for b in found]
+    if len(set(ys)) < 2:
+        return Model(_prior(TEXT), _prior(SIGNS))
+    y, text = np.array(ys, float), np.concatenate(texts)
+    # each block once more without its own tag, so that pages of divisions alone can be told too
+    bare = text * [k not in ("paragraph", "heading", "item", "loose") for k in TEXT]
+    w = _logistic(np.concatenate([text, bare]), np.append(y, y), np.zeros(2 * len(y)), _prior(TEXT))
+    return Model(w, _logistic(np.concatenate(signs), y, np.clip(text @ w, -TEXT_ODDS, TEXT_ODDS), _prior(SIGNS)))
+
+
 def _max_flow(n: int, arcs: list[tuple[int, int, float, float]], source: int, sink: int) -> list[bool]:
     """Whether each node is on the source's side of a minimum cut. An arc: from, to, capacity there, capacity back."""
     ends: list[list[int]] = [[] for _ in range(n)]
@@ -222,43 +292,47 @@ def _max_flow(n: int, arcs: list[tuple[int, int, float, float]], source: int, si
                 a = to[path.pop() ^ 1]
 
 
-def main_text(page: str | None, weights: np.ndarray, smooth: float = 0.6) -> str:
-    found = blocks(page) if page else []
-    if not found:
-        return ""
-    odds = np.clip(features(found) @ weights[:-1] + weights[-1], -3, 3)
-    # what the containers say outweighs any tie: at most four ties of a block, each under smooth
-    odds = odds + np.array([9.0 * np.sign(b.bias) for b in found])
-    n = len(found)
-    arcs = [(n, i, max(x, 0.0), 0.0) if x > 0 else (i, n + 1, -x, 0.0) for i, x in enumerate(odds.tolist())]
-    last: dict[tuple, int] = {}
+def ties(found: list[Block], smooth: float) -> list[tuple[int, int, float]]:
+    """Smoothness edges: of neighbours by their common path, and of the nearest blocks under one parent."""
+    out, last = [], {}
     for i, b in enumerate(found):
         if i:
             a = found[i - 1].path
             common = next((k for k, (p, q) in enumerate(zip(a, b.path, strict=False)) if p != q), min(len(a), len(b.path)))
-            w = smooth * (0.2 + 0.8 * common / max(len(a), len(b.path), 1))
-            arcs.append((i - 1, i, w, w))
+            out.append((i - 1, i, smooth * (0.2 + 0.8 * common / max(len(a), len(b.path), 1))))
         above = b.path[:-1]
         if above in last and last[above] < i - 1:
-            arcs.append((last[above], i, smooth / 2, smooth / 2))
+            out.append((last[above], i, smooth / 2))
         last[above] = i
-    side = _max_flow(n + 2, arcs, n, n + 1)
-    return "\n".join(b.text for b, content in zip(found, side, strict=False) if content)
+    return out
+
+
+def labelled(found: list[Block], odds: np.ndarray, smooth: float = SMOOTH) -> list[bool]:
+    """Whether each block is content, by the minimum cut."""
+    n = len(found)
+    arcs = [(n, i, x, 0.0) if x > 0 else (i, n + 1, -x, 0.0) for i, x in enumerate(odds.tolist())]
+    return _max_flow(n + 2, arcs + [(i, j, w, w) for i, j, w in ties(found, smooth)], n, n + 1)[:n]
+
+
+def main_text(page: str | None, model: Model) -> str:
+    found = blocks(page) if page else []
+    return "\n".join(b.text for b, content in zip(found, labelled(found, model.odds(found)), strict=True) if content) if found else ""
 
 
-def fit(pages: DataFrame, rows: int = TRAIN_PAGES) -> np.ndarray:
-    total = pages.count()
-    rate = int((1 << 30) * min(1.0, 2 * rows / max(total, 1)))
-    few = pages.where((F.pmod(F.xxhash64(F.lit(8), "page_id"), F.lit(1 << 30)) <= rate) & F.col("html").isNotNull()).limit(rows).select("html").collect()
-    return train([r.html for r in few])
+def fit(pages: DataFrame, rows: int = TRAIN_PAGES, page_bytes: int = TRAIN_PAGE_BYTES) -> Model:
+    fair = pages.where(F.octet_length("html") <= page_bytes).where(F.rlike("html", F.lit("(?i)<(?:article|main)[\\s>]")))
+    draw = F.pmod(F.xxhash64(F.lit(8), "page_id", "url"), F.lit(1 << 30))
+    # pages under a rate that leaves about twice what is needed, so that tasks don't send their own best to one place
+    rate = int((1 << 30) * min(1.0, 2 * rows / max(fair.count(), 1)))
+    return train([r.html for r in fair.where(draw <= rate).orderBy(draw, "page_id", "url", F.md5("html")).limit(rows).select("html").collect()])
 
 
-def extract(pages: DataFrame, weights: np.ndarray) -> DataFrame:
+def extract(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
 
     def make():
         def work(rows):
-            texts = [main_text(h, weights) for h in rows.column(2).to_pylist()]
+            texts = [main_text(h, model) for h in rows.column(2).to_pylist()]
             return {"page_id": rows.column(0), "url": rows.column(1), "text": texts, "n_chars": [len(t) for t in texts]}
 
         return work
