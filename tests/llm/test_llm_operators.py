@@ -392,14 +392,51 @@ def test_exact_upper_bound():
     assert quality_rules.upper_bound(3, 50, 0.05) == pytest.approx(0.14784, abs=1e-4)
 
 
+MEASURED = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint"
+
+
 def test_risk_controlled_cutoffs(spark):
     rows = [(i, "en", 100, 500, 0 if i < 9000 else 90, 5, 0, 0) for i in range(10000)]
-    measured = spark.createDataFrame(rows, "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint")
+    measured = spark.createDataFrame(rows, MEASURED)
     labels = spark.createDataFrame([(i, int(i < 9000)) for i in range(10000)], "doc_id bigint, quality int")
     cutoffs = quality_rules.thresholds(measured, labels)
-    assert ("en", "symbols") in cutoffs and ("en", "few_words") not in cutoffs
-    kept = quality_rules.verdicts(measured, cutoffs).where("kept").count()
-    assert kept == 9000
+    assert set(cutoffs) == {("en", "symbols")}
+    assert quality_rules.verdicts(measured, cutoffs).where("kept").count() == 9000
+    # two of a hundred good ones have symbols too: the bound forbids every cutoff that catches them
+    more = spark.createDataFrame([(*r[:4], 90 if r[0] % 50 == 0 else r[4], *r[5:]) for r in rows], MEASURED)
+    assert quality_rules.thresholds(more, labels) == {}
+
+
+def test_small_strata_are_pooled(spark):
+    rows = [(i, ("a", "b", "c", None)[i % 4], 100, 500, 0 if i % 5 else 90, 5, 0, 0) for i in range(1600)]
+    measured = spark.createDataFrame(rows, MEASURED)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(1600)], "doc_id bigint, quality int")
+    assert {s for s, _ in quality_rules.thresholds(measured, labels)} == {"a", "b", "c", ""}
+    assert quality_rules.thresholds(measured, labels.where("doc_id < 400")) == {}
+
+
+def test_quality_verdicts_by_brute_force(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    measured = quality_rules.shared(quality_rules.measure(docs, ["doc_id", "lang"]))
+    cutoffs = quality_rules.thresholds(measured, labels)
+    assert {s for s, _ in cutoffs} == {"de", "en", "es", "fr"}
+
+    def figure(r, rule):
+        words, lines = max(r.n_words, 1), max(r.n_lines, 1)
+        return {"symbols": r.n_symbols / words, "dup_lines": r.n_dup_lines / lines, "repeats": r.n_repeat_words / words, "long_words": r.word_chars / words, "short_words": -r.word_chars / words, "few_words": -r.n_words}[rule]
+
+    quality = {}
+    for r in labels.collect():
+        quality[r.doc_id] = min(quality.get(r.doc_id, 1), r.quality)
+    good, bad = [0, 0], [0, 0]
+    for r in quality_rules.verdicts(measured, cutoffs).collect():
+        base = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        fails = any(s == (r.lang or "") and figure(r, rule) > c for (s, rule), c in cutoffs.items())
+        assert (r.base_failed, r.kept) == (base, not base and not fails)
+        if not base and r.doc_id in quality:
+            (good if quality[r.doc_id] else bad)[r.kept] += 1
+    assert good[0] <= 0.01 * sum(good) and bad[0] >= 0.5 * sum(bad)
 
 
 def test_url_rules(spark):
