@@ -122,6 +122,43 @@ def test_pii_thresholds_see_rare_failures_of_large_tables(spark):
     assert found.a == "ip:5:19"
 
 
+def test_pii_adds_what_a_failing_match_holds(spark):
+    rng = random.Random(6)
+
+    def card(ok=True):
+        head = "".join(rng.choice("123456789") for _ in range(15))
+        good = next(d for d in "0123456789" if base_pii(head + d))
+        return head + (good if ok else str((int(good) + 1) % 10))
+
+    def phone():
+        return f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+
+    texts = [f"paid with {card(i % 3 > 0)} and " + (f"call {phone()}" if i % 2 else f"from {rng.randint(100, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)} on") for i in range(900)]
+    two, lone = f"{card()} {card()}", phone()
+    got = pii_table(spark, [*texts, f"see {two} x", f"x {lone} 170.106.47.218 y"])
+    assert got[900] == ("", "card:4:20,card:21:37")
+    assert got[901] == ("ip:20:34", "phone:5:19,ip:20:34")
+    assert all(got[i][0] == base_pii(t) and got[i][1] == got[i][0] for i, t in enumerate(texts))
+
+
+def test_pii_overlaps_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        cut = lambda n: sorted({(a := rng.randint(0, 3000), a + rng.randint(1, 9)) for _ in range(n)})
+        rows.append((i, cut(rng.randint(0, 400)), cut(rng.randint(0, 400))))
+    frame = spark.createDataFrame(rows, "id int, a array<struct<s: int, e: int>>, b array<struct<s: int, e: int>>")
+    for r in pii._free(frame, "a", "b", "f").collect():
+        _, a, b = rows[r.id]
+        assert [tuple(x) for x in r.f] == [x for x in a if not any(y[0] < x[1] and x[0] < y[1] for y in b)]
+
+
+def test_pii_of_a_long_text(spark):
+    text = "1.2.3.4 a@b.cd " * 20_000
+    got = pii_table(spark, [text, "x" * 3_000_000])
+    assert got[0][0] == base_pii(text) and got[1] == ("", "")
+
+
 def test_pii_runs_no_python(spark, sf_dir):
     plan = pii.query(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)
