@@ -380,6 +380,63 @@ def test_language_id_on_held_out_documents(spark, sf_dir):
     assert sum(r.lang_pred == want[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
+def grams_of(text: str, lengths: tuple[int, ...]) -> Counter:
+    """Character n-grams of the words between two marks."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return Counter(w[i : i + n] for w in (f"\x01{w}\x02" for w in words) for n in lengths for i in range(len(w) - n + 1))
+
+
+def test_character_grams(texts):
+    import pyarrow as pa
+
+    from tidewire.llm.features import Vocabulary
+    from tidewire.llm.kernel import utf8
+
+    for text in filter(None, texts):
+        v = Vocabulary(*utf8(pa.array([text])))
+        words, buckets = v.grams((2, 3), 40)
+        times = Counter()
+        for b, n in zip(buckets.tolist(), [v.inverse.tolist().count(w) if v.size < 50 else 0 for w in words.tolist()], strict=True):
+            times[b] += n
+        if v.size < 50:
+            assert sorted(times.values()) == sorted(grams_of(text, (2, 3)).values())
+        else:
+            assert len(times) == len(grams_of(text, (2, 3)))
+
+
+def test_quality_scores_by_a_plain_sum(docs, texts):
+    import numpy as np
+
+    from tidewire.llm.features import sparse_counts
+
+    rng = np.random.default_rng(2)
+    q = quality_classifier
+    model = q.Model(rng.normal(size=3 << q.BITS), 0.25)
+    got = {r.doc_id: r.score for r in q.score(docs, model, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        _, buckets, counts = sparse_counts([t or ""], q.LENGTHS, q.BITS, words=True)
+        z = 0.25 + (model.table[buckets] * counts).sum() / max(counts.sum(), 1)
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_language_scores_by_a_plain_sum(docs, texts):
+    import numpy as np
+
+    from tidewire.llm.features import sparse_counts
+    from tidewire.llm.kernel import LOWER as lower
+
+    m = language_id.train(["the of and in"] * 20 + ["le la des un"] * 20 + ["der die das ein"] * 20, ["en"] * 20 + ["fr"] * 20 + ["de"] * 20)
+    got = {r.doc_id: r for r in language_id.predict(docs, m, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        _, buckets, counts = sparse_counts([t or ""], language_id.LENGTHS, language_id.BITS, words=False, table=lower)
+        x = counts * m.idf[buckets]
+        z = (m.table[buckets, :-1].T @ counts / max(x.sum(), 1e-12) + m.bias) / m.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        if any(c.isalpha() for c in t or ""):
+            assert got[i].score == pytest.approx(p.max(), abs=1e-9) and p[m.languages.index(got[i].lang_pred)] == pytest.approx(p.max(), abs=1e-9)
+
+
 def test_language_id_without_letters(docs, texts):
     got = {r.doc_id: r for r in language_id.predict(docs, language_id.train(["the of and", "le la des"], ["en", "fr"]), ["doc_id"]).collect()}
     for i, t in enumerate(texts):

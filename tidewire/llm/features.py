@@ -7,11 +7,11 @@ import pyarrow as pa
 
 from .kernel import Batch, mix, utf8
 
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
-    """Distinct words of a batch, the word number of every occurrence, and the bytes of all distinct words."""
+    """Distinct words of a batch, the word number of every occurrence, and the characters of all distinct words."""
 
     def __init__(self, raw: np.ndarray, off: np.ndarray, table: bytes | None = None):
         b = self.batch = Batch(raw, off, table)
@@ -24,37 +24,41 @@ class Vocabulary:
         at = np.arange(self.off[-1]) - np.repeat(self.off[:-1], lens + 2)
         last = np.repeat(lens, lens + 2)
         take = np.clip(at - 1, 0, np.maximum(last - 1, 0)) + np.repeat(starts, lens + 2)
-        self.bytes = np.where(at == 0, 1, np.where(at == last + 1, 2, b.buf[take] if len(b.buf) else 0)).astype(np.uint64)
-        self.left = (last + 2 - at).astype(np.int64)
-        self.word = np.repeat(np.arange(self.size), lens + 2)
+        data = np.where(at == 0, 1, np.where(at == last + 1, 2, b.buf[take] if len(b.buf) else 0)).astype(np.uint64)
+        # a character is the number that its UTF-8 bytes make
+        lead = (data & np.uint64(0xC0)) != np.uint64(0x80)
+        first_byte = np.flatnonzero(lead)
+        self.chars = data[first_byte]
+        for j in (1, 2, 3):
+            more = first_byte + j < np.append(first_byte[1:], len(data))
+            self.chars[more] = self.chars[more] << np.uint64(8) | data[first_byte[more] + j]
+        self.word = np.repeat(np.arange(self.size), lens + 2)[first_byte]
+        ends = np.cumsum(np.bincount(self.word, minlength=self.size))
+        self.left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(self.chars))
 
     def grams(self, lengths: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Word number and bucket of each byte n-gram of the distinct words, in no particular order."""
+        """Word number and bucket of each character n-gram of the distinct words, in no particular order."""
         words, buckets = [], []
         for n in lengths:
-            m = len(self.bytes) - n + 1
+            m = len(self.chars) - n + 1
             if m <= 0:
                 continue
-            code = self.bytes[:m]
+            code = self.chars[:m]
             for j in range(1, n):
-                code = code * np.uint64(257) + self.bytes[j : j + m]
+                code = code * _STEP + self.chars[j : j + m]
             at = np.flatnonzero(self.left[:m] >= n)
             words.append(self.word[at])
-            buckets.append(((code[at] + np.uint64(n)) * _MUL >> np.uint64(64 - bits)).astype(np.int64))
+            buckets.append((mix(code[at] + np.uint64(n)) >> np.uint64(64 - bits)).astype(np.int64))
         return (np.concatenate(words), np.concatenate(buckets)) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def word_buckets(self, bits: int) -> np.ndarray:
         return (mix(self.hashes) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def repeats(self) -> np.ndarray:
-        """By document, the word pairs that hold one word twice."""
-        h, b = self.batch.hashes, self.batch
-        same = np.zeros(len(h) + 1, np.int64)
-        if len(h):
-            again = h[1:] == h[:-1]
-            again[np.setdiff1d(b.word_off[1:-1], [0, len(h)]) - 1] = False
-            same[2:] = np.cumsum(again)
-        return same[b.word_off[1:]] - same[np.minimum(b.word_off[:-1], len(h))]
+    def pairs(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Document and bucket of each pair of neighbouring words, hashed by the difference of their hashes: pairs of one word twice share a bucket."""
+        h, doc = self.batch.hashes, self.batch.doc_of_word()
+        at = np.flatnonzero(doc[1:] == doc[:-1])
+        return doc[at], (mix(h[at + 1] - h[at]) >> np.uint64(64 - bits)).astype(np.int64)
 
     def document_sums(self, per_word: np.ndarray) -> np.ndarray:
         """Sums over all words of each document of a figure (or row of figures) of the distinct words."""
@@ -64,7 +68,7 @@ class Vocabulary:
 
 
 def sparse_counts(texts: list[str], lengths: tuple[int, ...], bits: int, words: bool, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of bucket counts: row offsets, sorted buckets, counts. Word buckets follow the n-grams' buckets, then the bucket of repeated words."""
+    """Rows of bucket counts: row offsets, sorted buckets, counts. Word buckets follow the n-grams' buckets, then those of word pairs."""
     rows = [0]
     buckets, counts = [], []
     for text in texts:
@@ -74,10 +78,12 @@ def sparse_counts(texts: list[str], lengths: tuple[int, ...], bits: int, words:
         w, g = v.grams(lengths, bits)
         if words:
             w, g = np.concatenate([w, np.arange(v.size)]), np.concatenate([g, v.word_buckets(bits) + (1 << bits)])
+        number = times[w]
+        if words:
+            pairs = v.pairs(bits)[1] + (2 << bits)
+            g, number = np.concatenate([g, pairs]), np.concatenate([number, np.ones(len(pairs), np.int64)])
         u, inv = np.unique(g, return_inverse=True)
-        c = np.bincount(inv, weights=times[w], minlength=len(u))
-        if words and (again := int(v.repeats()[0])):
-            u, c = np.append(u, 2 << bits), np.append(c, again)
+        c = np.bincount(inv, weights=number, minlength=len(u))
         buckets.append(u)
         counts.append(c)
         rows.append(rows[-1] + len(u))

@@ -214,8 +214,8 @@ def unpacked(df: DataFrame, columns: list[str], **changed: str) -> DataFrame:
 
 
 def fold(column: str, n: int):
-    """crc32 of an id's text, modulo ``n``."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of an id's text, modulo ``n``; a null id has the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def shared_folder(spark) -> str:

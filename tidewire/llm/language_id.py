@@ -1,6 +1,6 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed byte n-grams of the words (with their bounds), ASCII letters in lower case; a
+Features are hashed character n-grams of the words (with their bounds), ASCII letters in lower case; a
 document's row is its n-gram counts times inverse document frequency, divided by the sum of that row. Training follows the regularised
 leader (FTRL-proximal) with elastic-net penalties, which leaves most weights exactly zero. A temperature, fitted
 on a fifth of the sample that the weights have not seen, calibrates the probabilities.
