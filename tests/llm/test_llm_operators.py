@@ -544,6 +544,29 @@ def test_url_rules(spark):
     assert url_filter.judge(frame.limit(0), url_filter.fit(frame.limit(0))).count() == 0
 
 
+def test_url_trees_do_not_learn_their_own_hosts():
+    rng = random.Random(3)
+    urls = [f"http://h{i}.s{i}/p/{rng.randint(0, 9)}" for i in range(600)]
+    labels = [rng.randint(0, 1) for _ in urls]
+    judge = url_filter.Judge(urls, labels)
+    # labels by chance can't be foretold: the hosts' own statistics must not give them away
+    assert judge.held_out[0] < 0.65
+    told = [f"http://h{i}.{'bad' if i % 2 else 'good'}/{'x' * (i % 7)}" for i in range(400)]
+    judge = url_filter.Judge(told, [i % 2 for i in range(400)])
+    assert judge.held_out[0] > 0.95
+    p = judge.block(["https://new.bad/y", "https://new.good/y", "https://new.other/y", None, "x" * 100_000])
+    assert p[0] > 0.9 > 0.1 > p[1] and all(0 <= v <= 1 for v in p)
+
+
+def test_benchmark_windows_are_packed():
+    import pickle
+
+    rng = random.Random(5)
+    items = [(str(i), " ".join(f"w{rng.randrange(50_000)}" for _ in range(2000))) for i in range(200)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate.Windows(items), protocol=5)) < 6 * size + (1 << 20)
+
+
 def test_html_main_text(spark, sf_dir):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     import html

@@ -2,7 +2,8 @@
 
 A rule names a host and the start of a path; it fits the host and all its subdomains, and the longest fitting rule
 gives the verdict. URLs that a rule fits are the labelled ones; trees trained on at most ``TRAIN_ROWS`` of them (those
-of least hash) judge the others by length, depth, digit ratio, entropy, parameters and suffix statistics.
+of least hash) judge the others by length, depth, digit ratio, entropy, parameters and suffix statistics. The statistics of
+a learned URL are those of other folds of hosts, so a suffix says no more than it does of hosts that were not seen.
 
 Cases: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the trees on those
 empty parts; an empty table gives no rows; without labelled URLs, or with labels of one kind, the trees are a
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +26,8 @@ from .kernel import LOWER, map_batches, table
 #: Rule, verdict.
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 TRAIN_ROWS = 5000
+#: Folds of hosts, and how many urls a suffix statistic needs to count for half.
+FOLDS, STRENGTH = 5, 10.0
 NAMES = ["length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "fragment", "secure", "suffix", "suffix2"]
 _LOWER = {i: chr(b) for i, b in enumerate(LOWER) if i < 128}
 
@@ -71,15 +75,39 @@ def lexical(url: str | None, suffixes: dict[str, float]) -> list[float]:
     return [len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(c.isdigit() for c in url) / n, entropy, query.count("=") + query.count("&"), host.count("-"), "#" in url, url[:6] == "https:", suffixes.get(last, 0.0), suffixes.get(two, 0.0)]
 
 
+def _statistics(suffixes: list[tuple[str, str]], labels: np.ndarray) -> dict[str, float]:
+    """By suffix, log odds of block beyond the whole's, drawn to 0 as if ``STRENGTH`` urls of the whole had been seen too."""
+    share = (labels.sum() + 0.5) / (len(labels) + 1)
+    good, bad = Counter(), Counter()
+    for two, y in zip(suffixes, labels.tolist(), strict=True):
+        (bad if y else good).update(set(two))
+    return {s: float(np.log((bad[s] + STRENGTH * share) / (good[s] + STRENGTH * (1 - share)) * (1 - share) / share)) for s in good.keys() | bad.keys()}
+
+
 class Judge:
+    """Trees and suffix statistics. Urls are learned from with statistics of other hosts only, as unknown ones will be judged.
+
+    ``held_out``: accuracy on the last fold of hosts by trees that have not seen it, and the larger label's share there.
+    """
+
     def __init__(self, urls: list[str | None], labels: list[int]):
-        good, bad = Counter(), Counter()
-        for url, y in zip(urls, labels, strict=True):
-            (bad if y else good).update(set(_suffixes(split_url(url)[0])))
-        self.suffixes = {s: float(np.log((bad[s] + 1) / (good[s] + 1))) for s in good.keys() | bad.keys()}
-        x = np.array([lexical(u, self.suffixes) for u in urls], float).reshape(-1, len(NAMES))
-        self.trees = boosting.fit(x, np.array(labels), NAMES)
+        y = np.array(labels, int)
+        hosts = [split_url(u)[0] for u in urls]
+        pairs = [_suffixes(h) for h in hosts]
+        fold = np.array([crc32(h.encode()) % FOLDS for h in hosts], int)
+        x = np.zeros((len(urls), len(NAMES)))
+        for f in range(FOLDS):
+            others = _statistics([p for p, k in zip(pairs, fold, strict=True) if k != f], y[fold != f])
+            for i in np.flatnonzero(fold == f).tolist():
+                x[i] = lexical(urls[i], others)
+        self.suffixes = _statistics(pairs, y)
+        self.trees = boosting.fit(x, y, NAMES)
         self.known = bool(labels)
+        last = fold == FOLDS - 1
+        self.held_out = (float("nan"), float("nan"))
+        if last.any() and not last.all():
+            right = (boosting.fit(x[~last], y[~last], NAMES).probability(x[last]) >= 0.5) == y[last]
+            self.held_out = float(right.mean()), float(max(y[last].mean(), 1 - y[last].mean()))
 
     def block(self, urls: list[str | None]) -> np.ndarray:
         """Probability that a url is to be blocked."""
