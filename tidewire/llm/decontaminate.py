@@ -14,9 +14,6 @@ they are gathered; more blocks are further passes in the same task.
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,42 +29,55 @@ SEPARATORS = np.array([not (48 <= b <= 57 or 97 <= b <= 122 or b >= 128) for b i
 
 
 class Windows:
-    """The distinct windows of some items: by length a sorted hash array, a bitmap in front of it, and the words."""
+    """The windows of some items, packed: by length sorted hashes, a bitmap in front of them, and the word each begins at.
+
+    The items' words stay as the bytes of their texts and two numbers each, so a block takes about six times its text.
+    """
 
     BITS = 22
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        by_length: dict[int, dict[int, dict[tuple, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for name, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            batch = Batch(raw, np.array([0, len(raw)]), LOWER, SEPARATORS)
-            words = batch.words(0)
-            if not words:
-                continue
-            k = min(window, len(words))
-            for at, h in zip(*(x.tolist() for x in batch.windows(k)), strict=True):
-                by_length[k][h][tuple(words[at : at + k])].add(name)
+        self.names = [name for name, _ in items]
+        raws = [(text or "").encode() for _, text in items]
+        batch = Batch(np.frombuffer(b"".join(raws), np.uint8), np.append(0, np.cumsum([len(r) for r in raws], dtype=np.int64)), LOWER, SEPARATORS)
+        self.data, self.starts, self.ends, self.word_off = batch.data, batch.starts.astype(np.uint32), batch.ends.astype(np.uint32), batch.word_off
         self.lengths = []
-        for k, found in sorted(by_length.items()):
+        for k in np.unique(np.minimum(batch.counts, window)).tolist():
+            if not k:
+                continue
+            at, h = batch.windows(k)
+            if k < window:
+                # only items of just so many words have windows of that length
+                own = np.isin(at, batch.word_off[:-1][batch.counts == k])
+                at, h = at[own], h[own]
+            order = np.argsort(h, kind="stable")
+            keys = h[order]
             bitmap = np.zeros(1 << self.BITS, bool)
-            keys = np.array(sorted(found), np.uint64)
             bitmap[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
-            self.lengths.append((k, bitmap, {h: [(w, sorted(n)) for w, n in x.items()] for h, x in found.items()}))
+            self.lengths.append((k, np.packbits(bitmap, bitorder="little"), keys, at[order].astype(np.uint32)))
+
+    def _word(self, i: int) -> bytes:
+        return self.data[self.starts[i] : self.ends[i]]
 
     def scan(self, batch: Batch) -> tuple[list, list, list]:
         """By document: spans of hit words (start, end of the word numbers) and the items they are from."""
         spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.n)]
         items: list[set[str]] = [set() for _ in range(batch.n)]
-        for k, bitmap, found in self.lengths:
+        for k, bitmap, keys, places in self.lengths:
             at, h = batch.windows(k)
-            maybe = np.flatnonzero(bitmap[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
-            for p, key in zip(at[maybe].tolist(), h[maybe].tolist(), strict=True):
-                for words, names in found.get(key, ()):
-                    if all(batch.data[batch.starts[p + i] : batch.ends[p + i]] == w for i, w in enumerate(words)):
-                        d = int(np.searchsorted(batch.word_off, p, "right")) - 1
-                        first = p - int(batch.word_off[d])
-                        spans[d].append((first, first + k))
-                        items[d].update(names)
+            bucket = h >> np.uint64(64 - self.BITS)
+            maybe = np.flatnonzero(bitmap[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1)
+            at, h = at[maybe], h[maybe]
+            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            hit = np.flatnonzero(high > low)
+            for p, a, b in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), strict=True):
+                words = [batch.data[batch.starts[p + i] : batch.ends[p + i]] for i in range(k)]
+                same = [q for q in places[a:b].tolist() if all(self._word(q + i) == w for i, w in enumerate(words))]
+                if same:
+                    d = int(np.searchsorted(batch.word_off, p, "right")) - 1
+                    first = p - int(batch.word_off[d])
+                    spans[d].append((first, first + k))
+                    items[d].update(self.names[j] for j in (np.searchsorted(self.word_off, same, "right") - 1).tolist())
         return batch.counts, spans, items
 
 
