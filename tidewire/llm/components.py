@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import Tables
+from .kernel import Tables, tidy
 
 #: Parts of a hub's links.
 SALTS = 256
 #: Links that a task merges at a time.
-MERGED = 1 << 20
+MERGED = 1 << 18
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -64,7 +64,7 @@ def _with_least(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, into: Tables | None = None) -> DataFrame:
     """``node`` and ``root``, the least node of its component, of every node of ``links`` (columns a and b, long): a table of ``into``."""
     tables = Tables()
-    edges = tables.shared(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").mapInArrow(_forest, "u bigint, v bigint"))
+    edges = tables.shared(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").mapInArrow(tidy(_forest), "u bigint, v bigint"))
     mark = None
     while True:
         both = edges.union(edges.select("v", "u"))

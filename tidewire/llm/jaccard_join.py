@@ -192,14 +192,14 @@ class _Close:
         for k in np.unique(self.length[i]).tolist():
             for other, source in ((k, self.own), (2 * k, self.folded)):
                 at = np.flatnonzero((self.length[i] == k) & (self.length[j] == other))
-                for lo in range(0, len(at), step := max(1, (8 << 20) // k)):
+                for lo in range(0, len(at), step := max(1, (2 << 20) // k)):
                     x = at[lo : lo + step]
                     least = np.bitwise_count(self.own[k][self.rows[i[x]]] ^ source[other][self.rows[j[x]]]).sum(1, dtype=np.int64)
                     near[x] = (100 + self.percent) * least <= (100 - self.percent) * (self.n[i[x]] + self.n[j[x]])
         return i[near], j[near]
 
 
-def _ranges(rows: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int = 1 << 20):
+def _ranges(rows: np.ndarray, low: np.ndarray, high: np.ndarray, limit: int = 1 << 17):
     """All (row, j) with j from low up to high of the row, some ``limit`` at a time."""
     count = np.maximum(high - low, 0)
     total = np.append(0, np.cumsum(count))
@@ -244,7 +244,10 @@ def _close_pairs(percent: int):
             # two wide rows meet in every block of their list, and count in the first
             keep &= ~wide[j] | ((salt[i] == 0) & (i < j))
             i, j = close.among(own[i[keep]], own[j[keep]])
-            found.append(np.unique(np.sort(np.stack([node[first[i]], node[first[j]]], 1), 1), axis=0) if len(i) else found[0])
+            if len(i):
+                found.append(np.unique(np.sort(np.stack([node[first[i]], node[first[j]]], 1), 1), axis=0))
+            if len(found) > 64:
+                found = [np.unique(np.concatenate(found), axis=0)]
         pairs = np.unique(np.concatenate(found), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
