@@ -57,4 +57,4 @@ def test_entry_module():
 def test_prompts_hold_the_whole_title(spark, tmp_path):
     docs = [(i, "a" * 300 + tail + ". Rest", "s", "en") for i, tail in enumerate("xy")]
     spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert len({r.prompt_md5 for r in QUERIES["prompt_render_whole"](spark, str(tmp_path)).collect()}) == 2
+    assert len({r.prompt_md5 for r in QUERIES["prompt_render"](spark, str(tmp_path)).collect()}) == 2

@@ -39,6 +39,10 @@ def test_smoothing_both_ways(spark):
     frame = spark.createDataFrame(rows, "ticker int, date date, close double")
     a, b = ({(r.ticker, r.date): r.e for r in market.smoothed(frame, {"e": ("close", 0.3)}, native_rows=n).collect()} for n in (5000, 0))
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+    gaps = spark.createDataFrame([(0, DAY + datetime.timedelta(i), x) for i, x in enumerate([None, 1.0, None, 2.0, None, None, 4.0])], "ticker int, date date, close double")
+    for n in (5000, 0):
+        got = [r.e for r in market.smoothed(gaps, {"e": ("close", 0.5)}, native_rows=n).orderBy("date").collect()]
+        assert (got[0] is None or np.isnan(got[0])) and got[1:] == [1, 1, 1.5, 1.5, 1.5, 2.75]
     few = spark.createDataFrame([(0, DAY + datetime.timedelta(i), float(i + 1)) for i in range(3)], "ticker int, date date, close double")
     assert [r.e for r in market.smoothed(few, {"e": ("close", market.span(3))}).orderBy("date").collect()] == [1, 1.5, 2.25]
     rising = spark.createDataFrame([(0, DAY + datetime.timedelta(i), float(i + 1)) for i in range(30)], "ticker int, date date, close double")

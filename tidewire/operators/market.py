@@ -92,10 +92,14 @@ def volatility(value: Column, n: int, key: str = "ticker") -> Column:
 
 
 def scan(values: Column, alpha: float) -> Column:
-    """y0 = x0, y = alpha * x + (1 - alpha) * y, over an array of numbers without nulls."""
+    """y0 = x0, y = alpha * x + (1 - alpha) * y, over an array of numbers; a null leaves y as it was."""
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.array_append(acc, F.when(x.isNull(), last).when(last.isNull(), x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * last))
+
     start = F.slice(values, 1, 1)
     rest = F.when(F.size(values) > 1, F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(1)))).otherwise(F.slice(values, 1, 0))
-    return F.reduce(rest, start, lambda acc, x: F.array_append(acc, F.lit(alpha) * x + F.lit(1 - alpha) * F.element_at(acc, -1)))
+    return F.reduce(rest, start, step)
 
 
 def smoothed(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "ticker", order: str = "date", native_rows: int = 5000) -> DataFrame:
@@ -113,7 +117,7 @@ def smoothed(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "tic
         def run(frame):
             frame = frame.sort_values(order)
             for name, (column, alpha) in specs.items():
-                frame[name] = frame[column].astype(float).ewm(alpha=alpha, adjust=False).mean()
+                frame[name] = frame[column].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
             return frame
 
         return df.groupBy(key).applyInPandas(run, schema)

@@ -71,10 +71,10 @@ def _two_years(spark, d):
     return parts[0].union(parts[1]).groupBy("year", "month").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-def _prompts(spark, d, title="title"):
+def _prompts(spark, d):
     """A training prompt of each title."""
     head = "Instruction: What is the sentiment of this news? Answer negative, neutral or positive.\nInput: "
-    return articles(spark, d).select("doc_id", F.md5(F.concat(F.lit(head), title, F.lit("\nAnswer: "))).alias("prompt_md5"))
+    return articles(spark, d).select("doc_id", F.md5(F.concat(F.lit(head), "title", F.lit("\nAnswer: "))).alias("prompt_md5"))
 
 
 def _suggestions(spark, d):
@@ -98,8 +98,7 @@ QUERIES = {
     "merged_market": lambda s, d: rounded(signals.merged(s, d).select("ticker", "date", "article_count", "sentiment_score_mean", "close", "return_tplus0_1d", "return_tplus1_1d")),
     "prediction_stock_pairs": _pairs,
     "two_year_sample_counts": _two_years,
-    "prompt_render": lambda s, d: _prompts(s, d, F.substring("title", 1, 200)),
-    "prompt_render_whole": _prompts,
+    "prompt_render": _prompts,
     "name_suggestions": _suggestions,
     "feature_ablation": _ablation,
     "row_slice": lambda s, d: table(s, d, "events").orderBy("event_id").offset(100).limit(50).select("event_id", "event_type"),
@@ -117,13 +116,12 @@ QUERIES = {
 
 _ROOT = r"'^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)'"
 _YEARS = [f"SELECT {y} AS year, month, doc_id FROM (SELECT doc_id, month, row_number() OVER (PARTITION BY month ORDER BY md5('{y}|' || doc_id)) AS r FROM am WHERE y = {y}) JOIN (SELECT month, count(*) AS q FROM (SELECT month, row_number() OVER (PARTITION BY month) AS r FROM am WHERE y = {y} ORDER BY r, month LIMIT {n}) GROUP BY month) USING (month) WHERE r <= q" for y, n in ((2023, 100), (2024, 200))]
-_PROMPT = "'Instruction: What is the sentiment of this news? Answer negative, neutral or positive.' || chr(10) || 'Input: ' || substr(title, 1, 200) || chr(10) || 'Answer: '"
+_PROMPT = "'Instruction: What is the sentiment of this news? Answer negative, neutral or positive.' || chr(10) || 'Input: ' || title || chr(10) || 'Answer: '"
 ORACLES = {
     "merged_market": f"WITH {signals._MERGED}, n AS (SELECT ticker, market_date AS date, count(*) AS article_count FROM al GROUP BY ALL) SELECT ticker, date, article_count, round(signal, 6) AS sentiment_score_mean, round(close, 6) AS close, round(r0, 6) AS return_tplus0_1d, round(r1, 6) AS return_tplus1_1d FROM m JOIN n USING (ticker, date) JOIN px USING (ticker, date)",
     "prediction_stock_pairs": f"WITH {signals._MERGED}, j AS (SELECT d.ticker AS pred_id, r.ticker AS stock_id, d.signal, r.r0 AS ret FROM daily d JOIN rets r USING (date) WHERE r.r0 IS NOT NULL) SELECT pred_id, stock_id, count(*) AS n_rows, round({signals._R}, 6) AS pearson_r, round(regr_intercept(ret, signal), 6) AS intercept, round(regr_slope(ret, signal), 6) AS slope, round(regr_r2(ret, signal), 6) AS r2, {signals._DIR} FROM j GROUP BY ALL",
     "two_year_sample_counts": f"WITH {_ARTICLES}, am AS (SELECT doc_id, strftime(date, '%Y-%m') AS month, year(date) AS y FROM articles), a AS ({_YEARS[0]} UNION ALL {_YEARS[1]}) SELECT CAST(year AS INT) AS year, month, count(*) AS n, min(doc_id) AS first_id FROM a GROUP BY ALL",
     "prompt_render": f"WITH {_ARTICLES} SELECT doc_id, md5({_PROMPT}) AS prompt_md5 FROM articles",
-    "prompt_render_whole": f"WITH {_ARTICLES} SELECT doc_id, md5({_PROMPT.replace('substr(title, 1, 200)', 'title')}) AS prompt_md5 FROM articles",
     "name_suggestions": "WITH x AS (SELECT c_mktsegment, p_type, levenshtein(lower(c_mktsegment), lower(p_type)) AS distance FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT DISTINCT p_type FROM part)), r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY distance, p_type) AS rank FROM x) SELECT * FROM r WHERE rank <= 3",
     "row_slice": "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 50 OFFSET 100",
     "date_window_filter": f"WITH {_ARTICLES} SELECT source, count(*) AS n, min(date) AS first, max(date) AS last FROM articles WHERE date BETWEEN DATE '2023-03-01' AND DATE '2023-12-31' GROUP BY source",

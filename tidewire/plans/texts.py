@@ -62,7 +62,7 @@ def _boiler(spark, d):
 
 def _datelined(spark, d):
     heads = F.array(*[F.lit(x) for x in ("KUALA LUMPUR: ", "home | KUALA LUMPUR (Jan 31): ", "TOKYO (Reuters) - ", "ALOR SETAR, Jan 1 — ", "Plain. ")])
-    return table(spark, d, "documents").select("doc_id", F.concat(F.element_at(heads, (F.col("doc_id") % 5 + 1).cast("int")), F.lit("tail "), F.col("doc_id").cast("string")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.element_at(heads, (F.col("doc_id") % 5 + 1).cast("int")), F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def _links(spark, d):
@@ -208,7 +208,7 @@ ORACLES = {
     "literal_replacements": f"SELECT doc_id, {_nested('text', T.REPLACEMENTS)} AS text FROM {_SEEDED}",
     "strip_tags": "SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages",
     "boilerplate_strip": f"SELECT doc_id, {_collapse(_boiled())} AS text FROM {_BOILED}",
-    "dateline_strip": "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'Plain. ' ELSE '' END || 'tail ' || doc_id AS text FROM documents",
+    "dateline_strip": "SELECT doc_id, trim(CASE WHEN doc_id % 5 = 4 THEN 'Plain. ' ELSE '' END || coalesce(text, '')) AS text FROM documents",
     "canonical_url": f"SELECT page_id, url FROM {_CANON}",
     "url_host": "SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS host FROM pages",
     "slugify": "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand || ' ' || p_type), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM part",
