@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 
@@ -70,7 +72,8 @@ class Vocabulary:
 def sparse_counts(texts: list[str], lengths: tuple[int, ...], bits: int, words: bool, table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of bucket counts: row offsets, sorted buckets, counts. Word buckets follow the n-grams' buckets, then those of word pairs."""
     rows = [0]
-    buckets, counts = [], []
+    # one growing buffer each, of half the width: thousands of small arrays would leave the driver's memory in pieces
+    buckets, counts = array("i"), array("i")
     for text in texts:
         raw, off = utf8(pa.array([text], pa.string()))
         v = Vocabulary(raw, off, table)
@@ -83,11 +86,10 @@ def sparse_counts(texts: list[str], lengths: tuple[int, ...], bits: int, words:
             pairs = v.pairs(bits)[1] + (2 << bits)
             g, number = np.concatenate([g, pairs]), np.concatenate([number, np.ones(len(pairs), np.int64)])
         u, inv = np.unique(g, return_inverse=True)
-        c = np.bincount(inv, weights=number, minlength=len(u))
-        buckets.append(u)
-        counts.append(c)
+        buckets.frombytes(u.astype(np.int32).tobytes())
+        counts.frombytes(np.bincount(inv, weights=number, minlength=len(u)).astype(np.int32).tobytes())
         rows.append(rows[-1] + len(u))
-    return np.array(rows), np.concatenate(buckets) if buckets else np.zeros(0, np.int64), np.concatenate(counts) if counts else np.zeros(0)
+    return np.array(rows), np.frombuffer(buckets, np.int32), np.frombuffer(counts, np.int32)
 
 
 def sample(frame, n: int, max_bytes: int, text_col: str = "text"):
