@@ -210,3 +210,18 @@ def test_pipeline_steps(spark, tmp_path, sf_dir):
     assert len(paths) == 4 and spark.read.json(paths[0]).count() == 3
     with pytest.raises(ValueError, match="no step"):
         pipeline.run(spark, sf_dir, str(tmp_path), ["what"])
+
+
+def test_company_selection():
+    specs = [corpus.Company("1155", "Malayan Banking", ("maybank",)), corpus.Company("1023", "CIMB Group", ("cimb",))]
+    names = lambda *w: [c.ticker for c in corpus.select_companies(specs, list(w))]
+    assert names() == ["1155", "1023"] and names("cimb group") == ["1023"] and names("malayan_banking,1023") == ["1155", "1023"]
+    with pytest.raises(ValueError):
+        names("other")
+
+
+def test_price_errors(spark):
+    rows = [("a", 10.0, 11.0, 12.0), ("a", 10.0, 9.0, 10.5), ("a", 10.0, 0.0, 9.0), ("a", 10.0, 10.0, 11.0)]
+    got = stats.regression_metrics(spark.createDataFrame(rows, "k string, now double, actual double, predicted double"), "k", current="now").first()
+    assert got.mape == pytest.approx(100 * (1 / 11 + 1.5 / 9 + 0.1) / 3)
+    assert got.directional_accuracy == pytest.approx(2 / 3) and got.directional_coverage == 0.75

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.resolve import ordered_unique, slug
 from .market import lookup
 
 
@@ -39,6 +40,15 @@ class Company:
     aliases: tuple[str, ...]
 
 
+def select_companies(specs: list[Company], selectors: list[str]) -> list[Company]:
+    """those named by ticker, name or the name's slug, in any case; all without selectors, an error if none fits."""
+    wanted = {s.lower() for s in ordered_unique(selectors)}
+    chosen = [c for c in specs if not selectors or wanted & {c.ticker.lower(), c.name.lower(), slug(c.name)}]
+    if not chosen:
+        raise ValueError("no company fits; there are " + ", ".join(f"{c.ticker} ({c.name})" for c in specs))
+    return chosen
+
+
 def alias_pattern(alias: str) -> str:
     """One token has bounds, several have none but any white space between them."""
     quoted = r"\s+".join("".join(c if c.isalnum() else "\\" + c for c in part) for part in alias.strip().split(" "))

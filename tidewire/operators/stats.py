@@ -112,8 +112,14 @@ def granger_best(tests: DataFrame, key: str = "ticker") -> DataFrame:
     return tests.groupBy(key, "direction").agg(F.min_by("lag", F.struct("p_value", "lag")).alias("best_lag"), F.min("p_value").alias("best_p_value")).withColumn("significant", F.col("best_p_value") < 0.05)
 
 
-def regression_metrics(df: DataFrame, *keys: str, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """Error figures, and direction over rows where both signs count."""
+def regression_metrics(df: DataFrame, *keys: str, actual: str = "actual", predicted: str = "predicted", current: str | None = None) -> DataFrame:
+    """Error figures, and direction over rows where both signs count.
+
+    With ``current``, the two are prices: directions are moves from that price, and ``mape`` (per cent, over actual
+    prices other than 0) is given; returns, close to 0, have no such figure.
+    """
     a, p = F.col(actual), F.col(predicted)
-    both = F.sign(a) * F.sign(p) != 0
-    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sqrt(F.avg((a - p) ** 2)).alias("rmse"), F.avg(F.abs(a - p)).alias("mae"), (1 - F.try_divide(F.sum((a - p) ** 2), F.var_pop(a) * F.count(a))).alias("r2"), F.avg(F.when(both, (F.sign(a) == F.sign(p)).cast("double"))).alias("directional_accuracy"), F.avg(both.cast("double")).alias("directional_coverage"))
+    up, thought = (F.sign(a - F.col(current)), F.sign(p - F.col(current))) if current else (F.sign(a), F.sign(p))
+    both = up * thought != 0
+    priced = [(100 * F.avg(F.when(F.abs(a) > 1e-8, F.abs((a - p) / a)))).alias("mape")] if current else []
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sqrt(F.avg((a - p) ** 2)).alias("rmse"), F.avg(F.abs(a - p)).alias("mae"), *priced, (1 - F.try_divide(F.sum((a - p) ** 2), F.var_pop(a) * F.count(a))).alias("r2"), F.avg(F.when(both, (up == thought).cast("double"))).alias("directional_accuracy"), F.avg(both.cast("double")).alias("directional_coverage"))

@@ -78,9 +78,17 @@ def _targets(spark, d):
     return prices(spark, d).select("ticker", "date", "close", F.lead("date", 1).over(w).alias("target_date"), (M.ratio(F.lead("close", 1).over(w), F.col("close")) - 1).alias("target"))
 
 
+def _price_errors(spark, d):
+    """Next close foretold as this close plus its last move."""
+    w = M.series("ticker")
+    df = prices(spark, d).select("ticker", "close", (2 * F.col("close") - F.lag("close").over(w)).alias("predicted"), F.lead("close").over(w).alias("actual"))
+    return rounded(S.regression_metrics(df.where("actual is not null and predicted is not null"), "ticker", current="close"))
+
+
 def _persistence(spark, d):
-    df = _targets(spark, d).where("target is not null").select("ticker", (F.col("close") * (1 + F.col("target"))).alias("actual"), F.col("close").alias("predicted"))
-    return rounded(S.regression_metrics(df, "ticker"))
+    """This close as forecast of the next: no move is foretold, so no direction counts."""
+    df = prices(spark, d).select("ticker", "close", F.col("close").alias("predicted"), F.lead("close").over(M.series("ticker")).alias("actual")).where("actual is not null")
+    return rounded(S.regression_metrics(df, "ticker", current="close").drop("directional_accuracy"))
 
 
 def _regression(spark, d):
@@ -145,6 +153,7 @@ QUERIES = {
     "train_scaled_features": _scaled,
     "sequence_windows": _sequences,
     "persistence_metrics": _persistence,
+    "price_error_metrics": _price_errors,
     "regression_metrics": _regression,
     "normalized_close": lambda s, d: rounded(prices(s, d).select("ticker", "date", (F.col("close") / F.first("close").over(M.series("ticker"))).alias("normalized_close"))),
 }
@@ -191,6 +200,7 @@ def _recursive(name: str, source: str, value: str, alphas: dict[str, float], ext
 
 _NUMBERED = f"nm AS (SELECT *, row_number() OVER w AS rn FROM px {_W})"
 _ERR = "count(*) AS n_rows, round(sqrt(avg((actual - predicted) ** 2)), 6) AS rmse, round(avg(abs(actual - predicted)), 6) AS mae, round(1 - sum((actual - predicted) ** 2) / nullif(var_pop(actual) * count(actual), 0), 6) AS r2, round(avg(CASE WHEN sign(actual) * sign(predicted) <> 0 THEN (sign(actual) = sign(predicted))::INT END), 6) AS directional_accuracy, round(avg((sign(actual) * sign(predicted) <> 0)::INT), 6) AS directional_coverage"
+_PRICE_ERR = "count(*) AS n_rows, round(sqrt(avg((actual - predicted) ** 2)), 6) AS rmse, round(avg(abs(actual - predicted)), 6) AS mae, round(100 * avg(CASE WHEN abs(actual) > 1e-8 THEN abs((actual - predicted) / actual) END), 6) AS mape, round(1 - sum((actual - predicted) ** 2) / nullif(var_pop(actual) * count(actual), 0), 6) AS r2"
 
 ORACLES = {
     "daily_sentiment_calendar": f"WITH {_SCORED} SELECT calendar_date AS day, {_DAILY} FROM scored GROUP BY calendar_date",
@@ -217,7 +227,8 @@ ORACLES = {
     "chronological_split": f"WITH {_SPLIT} SELECT ticker, n, train_end, val_end, split, count(*) AS n_sequences FROM sp GROUP BY ALL",
     "train_scaled_features": f"WITH {_SPLIT}, f AS (SELECT ticker, avg(close) AS cm, stddev_pop(close) AS cs, avg(volume) AS vm, stddev_pop(volume) AS vs FROM sp WHERE pos < train_end GROUP BY ticker) SELECT ticker, date, round((close - cm) / CASE WHEN cs = 0 THEN 1 ELSE cs END, 6) AS close_z, round((volume - vm) / CASE WHEN vs = 0 THEN 1 ELSE vs END, 6) AS volume_z FROM sp JOIN f USING (ticker)",
     "sequence_windows": f"WITH {_SPLIT} SELECT ticker, date, split, n_steps, round(first_close, 2) AS first_close, round(total, 2) AS total FROM (SELECT ticker, date, split, CAST(count(*) OVER x AS INT) AS n_steps, first(close) OVER x AS first_close, sum(close + volume) OVER x AS total FROM sp WINDOW x AS (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING)) WHERE n_steps = 10",
-    "persistence_metrics": f"WITH {_PX}, t AS (SELECT ticker, close, lead(close) OVER w / nullif(close, 0) - 1 AS target FROM px {_W}), p AS (SELECT ticker, close * (1 + target) AS actual, close AS predicted FROM t WHERE target IS NOT NULL) SELECT ticker, {_ERR} FROM p GROUP BY ticker",
+    "persistence_metrics": f"WITH {_PX}, p AS (SELECT ticker, close AS predicted, lead(close) OVER w AS actual FROM px {_W}) SELECT ticker, {_PRICE_ERR}, 0.0::DOUBLE AS directional_coverage FROM p WHERE actual IS NOT NULL GROUP BY ticker",
+    "price_error_metrics": f"WITH {_PX}, p AS (SELECT ticker, close, 2 * close - lag(close) OVER w AS predicted, lead(close) OVER w AS actual FROM px {_W}) SELECT ticker, {_PRICE_ERR}, round(avg(CASE WHEN sign(actual - close) * sign(predicted - close) <> 0 THEN (sign(actual - close) = sign(predicted - close))::INT END), 6) AS directional_accuracy, round(avg((sign(actual - close) * sign(predicted - close) <> 0)::INT), 6) AS directional_coverage FROM p WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY ticker",
     "regression_metrics": f"WITH {_PX}, {_RETS}, p AS (SELECT ticker, ret AS actual, lag(ret) OVER w AS predicted FROM rt {_W}) SELECT ticker, {_ERR} FROM p WHERE actual IS NOT NULL AND predicted IS NOT NULL GROUP BY ticker",
     "normalized_close": f"WITH {_PX} SELECT ticker, date, round(close / first(close) OVER w, 6) AS normalized_close FROM px {_W}",
 }
