@@ -135,7 +135,7 @@ QUERIES = {
     "lag_metrics_pearson_ols": lag_metrics,
     "lag_metrics_spearman": lambda s, d: rounded(S.spearman(_by_lag(merged(s, d)), "ticker", "lag")),
     "directional_accuracy": lambda s, d: rounded(S.lag_metrics(_by_lag(merged(s, d)), "lag").select("lag", "n_rows", "directional_accuracy", "directional_coverage")),
-    "lag_p_values": lambda s, d: S.with_p(S.lag_metrics(_by_lag(merged(s, d)), "ticker", "lag")).select("ticker", "lag", "n_rows", "pearson_r", "p_value"),
+    "lag_p_values": lambda s, d: rounded(S.with_p(S.lag_metrics(_by_lag(merged(s, d)), "ticker", "lag")).select("ticker", "lag", "n_rows", "pearson_r", "p_value")),
     "lag_heatmap": _heatmap,
     "granger_f_stats": _granger,
     "granger_best_lag": lambda s, d: S.granger_best(_granger(s, d)),
@@ -211,6 +211,11 @@ ORACLES = {
     "article_count_summary": f"WITH {_SCORED}, d AS (SELECT count(*) AS c FROM scored GROUP BY calendar_date) SELECT round(avg(c), 6) AS mean, round(median(c)::DOUBLE, 6) AS median, min(c) AS min, max(c) AS max FROM d",
     "returns_lead_lag": f"WITH {_PX}, {_RETS} SELECT ticker, date, round(close, 6) AS close, round(ret, 6) AS return_tplus0_1d, round(lead(ret, 1) OVER w, 6) AS return_tplus1_1d, round(lead(ret, 2) OVER w, 6) AS return_tplus2_1d FROM rt {_W}",
     "lag_metrics_pearson_ols": f"WITH {_MERGED}, {_LAGGED} SELECT * FROM lm",
+    # Student's t in closed form for whole degrees of freedom v = n - 2, where the angle's sine is |r|
+    "lag_p_values": f"""WITH {_MERGED}, c AS (SELECT ticker, lag, count(*) AS n_rows, CASE WHEN count(*) >= 5 THEN {_R} END AS r FROM pairs GROUP BY ticker, lag)
+SELECT ticker, lag, n_rows, round(r, 6) AS pearson_r, round(CASE WHEN n_rows % 2 = 0
+THEN 1 - abs(r) * list_sum(list_transform(range(0, (n_rows - 2) // 2), lambda k: pow(1 - r * r, k) * exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi())))
+ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * list_sum(list_transform(range(0, (n_rows - 3) // 2), lambda k: pow(1 - r * r, k + 0.5) * sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5))))) END, 6) AS p_value FROM c""",
     "lag_metrics_spearman": f"WITH {_MERGED}, {_RANKED} SELECT * FROM sp",
     "directional_accuracy": f"WITH {_MERGED} SELECT lag, count(*) AS n_rows, {_DIR} FROM pairs GROUP BY lag",
     "lag_heatmap": f"WITH {_MERGED}, {_LAGGED}, {_RANKED}, j AS (SELECT ticker, lag, pearson_r, spearman_r, directional_accuracy FROM lm JOIN sp USING (ticker, lag)) SELECT ticker, lag, 'pearson_r' AS metric, pearson_r AS value FROM j UNION ALL SELECT ticker, lag, 'spearman_r', spearman_r FROM j UNION ALL SELECT ticker, lag, 'directional_accuracy', directional_accuracy FROM j",
