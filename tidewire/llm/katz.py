@@ -21,6 +21,7 @@ ids are in no held-out fold (the empty text's crc32 is 0); columns beyond ``doc_
 
 from __future__ import annotations
 
+import contextlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import LOWER, SPACES, Batch, Tables, arrow_schema, bound_batches, chunks, fold, mix, table, utf8
+from .kernel import LOWER, SPACES, Batch, Tables, arrow_schema, bound_batches, chunks, fold, mix, table, tidy, utf8
 
 #: Bytes of text of a chunk, and of the texts whose n-grams a bucket holds; buckets at least.
-CHUNK, BUCKET, BUCKETS = 16 << 20, 32 << 20, 64
+CHUNK, BUCKET, BUCKETS = 6 << 20, 32 << 20, 64
 #: Counts up to this are discounted.
 LARGE = 5
 _END, _START = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -40,6 +41,24 @@ _GRAMS = "gram int, bucket int, chunk bigint, keys binary, counts binary"
 _TOLD = "kind int, chunk bigint, idx bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, key bigint, lower double, spare double, n bigint"
 
 
+@contextlib.contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Within it, a written table's shuffles are deleted when it has been written: nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _lean(work, *given) -> pa.Table:
+    """The result of a group's work, with the memory that it took given back."""
+    (result,) = tidy(lambda groups: (work(*g) for g in groups))([given])
+    return result
+
+
 def packed(values: np.ndarray) -> bytes:
     """64-bit numbers by byte planes: small ones leave planes of zeros, which compress to nothing."""
     return np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -203,8 +222,8 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         told += [(gram, bucket, c, None, packed(back[i:j]), None, None, None) for c, i, j in zip(rows["chunk"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*told, strict=True), out, strict=True)], schema=out)
 
-    rows = docs.groupBy("chunk").applyInArrow(ask, _GRAMS)
-    return rows.groupBy("gram", "bucket").applyInArrow(answer, _GRAMS + ", seen array<bigint>, types bigint, tokens bigint")
+    rows = docs.groupBy("chunk").applyInArrow(lambda key, rows: _lean(ask, key, rows), _GRAMS)
+    return rows.groupBy("gram", "bucket").applyInArrow(lambda key, rows: _lean(answer, key, rows), _GRAMS + ", seen array<bigint>, types bigint, tokens bigint")
 
 
 def model(grams: DataFrame, documents: int) -> Model:
@@ -264,7 +283,7 @@ def _scored(docs: DataFrame, grams: DataFrame, m: Model) -> DataFrame:
         return pa.concat_tables(told)
 
     answers = grams.where("chunk >= 0").select("chunk", "gram", "bucket", "counts")
-    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, _TOLD)
+    return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda key, rows, told: _lean(score, key, rows, told), _TOLD)
 
 
 def weights(told: DataFrame) -> DataFrame:
@@ -278,11 +297,12 @@ def scores(docs: DataFrame) -> DataFrame:
     spark, tables = docs.sparkSession, Tables()
     bound_batches(spark)
     docs, buckets = _chunked(docs)
-    grams = tables.shared(counted(docs, buckets))
-    m = model(grams, docs.where("not held_out").count())
-    told = tables.shared(_scored(docs, grams, m))
+    with _shuffles_dropped(spark):
+        grams = tables.shared(counted(docs, buckets))
+        m = model(grams, docs.where("not held_out").count())
+        told = tables.shared(_scored(docs, grams, m))
+        backed = tables.shared(weights(told))
     asked = told.where("kind = 2").select("key", "chunk", "idx", "n")
-    backed = tables.shared(weights(told))
     total = asked.count()
     heavy = F.broadcast(asked.groupBy("key").count().where(F.col("count") * 1024 > total).select("key"))
     few = F.broadcast(backed.join(heavy, "key", "left_semi"))
