@@ -30,7 +30,7 @@ from .kernel import arrow_schema, bound_batches, table, tidy
 
 SPAN = 256
 #: A bucket has about so many turns (more only where one conversation has more).
-BUCKET_ROWS = 1 << 15
+BUCKET_ROWS = 1 << 13
 KEEP, REROLE, DELETE, INSERT, CUT_OFF = 0, 1, 2, 5, 5
 _FAR = 1 << 50
 #: States: nothing yet, after s, after u, after a; and where the next user or assistant leads.
