@@ -5,6 +5,8 @@ Everything is keyed by series, so many tickers run side by side; nothing is orde
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,55 +93,104 @@ def volatility(value: Column, n: int, key: str = "ticker") -> Column:
     return full(value, series(key).rowsBetween(1 - n, 0), n, F.stddev_samp)
 
 
-def scan(values: Column, alpha: float) -> Column:
-    """y0 = x0, y = alpha * x + (1 - alpha) * y, over an array of numbers; a null leaves y as it was."""
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.array_append(acc, F.when(x.isNull(), last).when(last.isNull(), x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * last))
+def smoothed(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "ticker", order: str = "date") -> DataFrame:
+    """Adds, by name, the exponential mean of a column with a given alpha: y0 = x0, y = alpha * x + (1 - alpha) * y.
 
-    start = F.slice(values, 1, 1)
-    rest = F.when(F.size(values) > 1, F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(1)))).otherwise(F.slice(values, 1, 0))
-    return F.reduce(rest, start, step)
+    Null until the first value; a null leaves the mean as it was. Values are numbered in blocks of a series. A mean is
+    its block's own weighted sum plus what is left of the mean at the block's beginning, and that comes from the sums of as many
+    blocks before as still count in double precision. So no row waits for the one before, and windows spill.
+    """
+    for column in dict.fromkeys(c for c, _ in specs.values()):
+        own = {n: a for n, (c, a) in specs.items() if c == column}
+        df = _smoothed(df, column, own, key, order)
+    return df
+
+
+def _horner(values: Column, factor: float) -> Column:
+    """The last value, plus ``factor`` times the one before it, and so on."""
+    return F.reduce(values, F.lit(0.0), lambda acc, x: acc * F.lit(factor) + x)
+
+
+def _smoothed(df: DataFrame, column: str, alphas: dict[str, float], key: str, order: str) -> DataFrame:
+    steady = {n: 1 - a for n, a in alphas.items() if a < 1}
+    value, w = F.col(column).cast("double"), series(key, order=order)
+    df = df.withColumns({n: F.last(value, ignorenulls=True).over(w) for n in alphas if n not in steady})
+    if not steady:
+        return df
+    # within a block the least weight is at least 1e-4 of the largest
+    size = max(1, int(math.log(1e4) / -math.log(min(steady.values()))))
+    nth = F.count(value).over(w)
+    df = df.withColumn("_n", nth).withColumn("_block", F.floor((F.col("_n") - 1) / size)).withColumn("_i", (F.col("_n") - 1) % size)
+    # the first value has the whole weight
+    weighted = {n: value * F.when(F.col("_n") == 1, 1.0).otherwise(1 - q) * F.pow(F.lit(q), -F.col("_i")) for n, q in steady.items()}
+    inside = Window.partitionBy(key, "_block").orderBy(order)
+    sums = df.groupBy(key, "_block").agg(*[F.sum(x).alias(f"_s_{n}") for n, x in weighted.items()])
+    ends = {n: F.col(f"_s_{n}") * q ** (size - 1) for n, q in steady.items()}
+    before: dict[str, Column] = {}
+    for n, q in steady.items():
+        count = max(1, math.ceil(math.log(1e-18) / (size * math.log(q))))
+        earlier = F.collect_list(ends[n]).over(Window.partitionBy(key).orderBy("_block").rowsBetween(-count, -1))
+        before[f"_b_{n}"] = _horner(earlier, q**size)
+    carried = sums.where("_block >= 0").withColumns(before).select(F.col(key).alias("_key"), F.col("_block").alias("_at"), *before)
+    rows = df.withColumns({f"_s_{n}": F.sum(x).over(inside) for n, x in weighted.items()})
+    rows = rows.join(carried, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_block") == F.col("_at")), "left")
+    out = {n: F.when(F.col("_n") > 0, F.col(f"_s_{n}") * F.pow(F.lit(q), F.col("_i")) + F.col(f"_b_{n}") * F.pow(F.lit(q), F.col("_i") + 1)) for n, q in steady.items()}
+    return rows.withColumns(out).drop("_n", "_block", "_i", "_key", "_at", *[f"_{x}_{n}" for n in steady for x in "sb"])
 
 
-def smoothed(df: DataFrame, specs: dict[str, tuple[str, float]], key: str = "ticker", order: str = "date", native_rows: int = 5000) -> DataFrame:
-    """Adds, by name, the exponential mean of a column with a given alpha.
+def span(n: int) -> float:
+    return 2 / (n + 1)
 
-    A series' rows are gathered into one array (a few thousand market days); where a series is longer than
-    ``native_rows`` the same recursion runs in a grouped pandas function instead of copying arrays.
-    """
-    longest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if longest > native_rows:
-        from pyspark.sql.types import DoubleType, StructField, StructType
 
-        schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in specs]])
+def rsi(df: DataFrame, n: int = 14, key: str = "ticker") -> DataFrame:
+    """Wilder's index; 50 while warming up and where there was no loss."""
+    w = series(key)
+    moved = df.withColumn("_delta", F.col("close") - F.lag("close").over(w))
+    moved = moved.withColumns({"_gain": F.greatest("_delta", F.lit(0.0)), "_loss": F.greatest(-F.col("_delta"), F.lit(0.0))})
+    # greatest skips nulls: no move, no gain
+    moved = moved.withColumns({c: F.when(F.col("_delta").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
+    means = smoothed(moved, {"_up": ("_gain", 1 / n), "_down": ("_loss", 1 / n)}, key).withColumn("_seen", F.count("_delta").over(w))
+    value = F.when((F.col("_seen") < n) | F.col("_delta").isNull() | (F.col("_down") == 0), 50.0).otherwise(100 - 100 / (1 + ratio(F.col("_up"), F.col("_down"))))
+    return means.withColumn("rsi", value).drop("_delta", "_gain", "_loss", "_up", "_down", "_seen")
 
-        def run(frame):
-            frame = frame.sort_values(order)
-            for name, (column, alpha) in specs.items():
-                frame[name] = frame[column].astype(float).ewm(alpha=alpha, adjust=False, ignore_na=True).mean()
-            return frame
 
-        return df.groupBy(key).applyInPandas(run, schema)
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (key, order)]))).alias("rows"))
-    for name, (column, alpha) in specs.items():
-        rows = rows.withColumn(name, scan(F.transform(F.col("rows")[column], lambda x: x.cast("double")), alpha))
-    zipped = rows.select(key, F.explode(F.arrays_zip("rows", *specs)).alias("z"))
-    return zipped.select(key, "z.rows.*", *[f"z.{n}" for n in specs])
+PRICE_FEATURES = ("close", "return_1d", "log_return_1d", "volume_log1p", "volume_change_1d", "sma_5_gap", "sma_10_gap", "ema_5_gap", "ema_10_gap", "volatility_5", "volatility_10", "rsi_14", "macd", "macd_signal", "macd_hist")
+SENTIMENT_FEATURES = ("sentiment_score_mean", "sentiment_score_std", "article_count_log1p", "positive_ratio", "negative_ratio", "neutral_ratio", "source_day_count")
 
 
-def span(n: int) -> float:
-    return 2 / (n + 1)
+def macd(df: DataFrame, key: str = "ticker") -> DataFrame:
+    """Adds macd, macd_signal and macd_hist of ``close``."""
+    df = smoothed(df, {"_fast": ("close", span(12)), "_slow": ("close", span(26))}, key).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    return smoothed(df, {"macd_signal": ("macd", span(9))}, key).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
-def rsi(df: DataFrame, n: int = 14, key: str = "ticker") -> DataFrame:
-    """Wilder's index; 50 while warming up and where there was no loss."""
+def engineered(prices: DataFrame, key: str = "ticker") -> DataFrame:
+    """Daily bars with all price features, and article_count_log1p where article_count is there."""
+    w = series(key)
+    df = prices.withColumns({
+        "return_1d": change("close", w),
+        "log_return_1d": F.ln("close") - F.lag(F.ln("close")).over(w),
+        "open_close_pct": ratio(F.col("close") - F.col("open"), F.col("open")),
+        "high_low_pct": ratio(F.col("high") - F.col("low"), F.col("close")),
+        "volume_log1p": F.log1p(F.greatest(F.col("volume").cast("double"), F.lit(0.0))),
+        "volume_change_1d": change("volume", w),
+        "sma_5_gap": sma_gap(5, key),
+        "sma_10_gap": sma_gap(10, key),
+    })
+    df = df.withColumns({f"volatility_{n}": volatility(F.col("return_1d"), n, key) for n in (5, 10)})
+    df = smoothed(df, {f"_e{n}": ("close", span(n)) for n in (5, 10)}, key)
+    df = df.withColumns({f"ema_{n}_gap": ratio(F.col("close"), F.col(f"_e{n}")) - 1 for n in (5, 10)}).drop("_e5", "_e10")
+    df = macd(rsi(df, key=key).withColumnRenamed("rsi", "rsi_14"), key)
+    return df.withColumn("article_count_log1p", F.log1p("article_count")) if "article_count" in prices.columns else df
+
+
+def targets(df: DataFrame, horizon: int = 1, mode: str = "next_return", key: str = "ticker") -> DataFrame:
+    """Adds ``target``, the close or the return ``horizon`` rows ahead, and its date."""
+    if mode not in ("next_close", "next_return"):
+        raise ValueError(f"no target mode {mode}")
     w = series(key)
-    moved = df.withColumn("delta", F.col("close") - F.lag("close").over(w))
-    some = moved.where("delta is not null").select(key, "date", F.greatest("delta", F.lit(0.0)).alias("gain"), F.greatest(-F.col("delta"), F.lit(0.0)).alias("loss"))
-    means = smoothed(some, {"avg_gain": ("gain", 1 / n), "avg_loss": ("loss", 1 / n)}, key).withColumn("seen", F.row_number().over(w))
-    value = F.when((F.col("seen") < n) | (F.col("avg_loss") == 0), 50.0).otherwise(100 - 100 / (1 + ratio(F.col("avg_gain"), F.col("avg_loss"))))
-    return df.join(means.select(key, "date", value.alias("rsi")), [key, "date"], "left").withColumn("rsi", F.coalesce("rsi", F.lit(50.0)))
+    ahead = F.lead("close", horizon).over(w)
+    return df.withColumns({"target_date": F.lead("date", horizon).over(w), "target": ahead if mode == "next_close" else ratio(ahead, F.col("close")) - 1})
 
 
 def split_points(n: Column, length: int) -> tuple[Column, Column]:

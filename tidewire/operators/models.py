@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .recurrent import VERSION, Forecaster, Settings
+
 POSITIVE = ("gain", "rise", "profit", "growth", "beat", "strong", "record", "up")
 NEGATIVE = ("loss", "fall", "decline", "weak", "miss", "drop", "risk", "down")
 
@@ -48,86 +50,69 @@ def text_classifier(df: DataFrame, text: str, label: str, features: int = 1 << 1
     return Pipeline(stages=stages).fit(df)
 
 
-class Recurrent:
-    """ML5, ML6: a gated recurrent layer and a linear head in numpy, trained by Adam with early stopping."""
-
-    def __init__(self, features: int, hidden: int = 16, seed: int = 0):
-        rng = np.random.default_rng(seed)
-        self.p = {"w": rng.normal(0, 1 / np.sqrt(features + hidden), (3, features + hidden, hidden)), "b": np.zeros((3, hidden)), "o": rng.normal(0, 0.1, hidden), "c": np.zeros(1)}
-        self.hidden = hidden
-
-    def forward(self, x: np.ndarray):
-        h, trace = np.zeros((len(x), self.hidden)), []
-        w, b = self.p["w"], self.p["b"]
-        for t in range(x.shape[1]):
-            both = np.concatenate([x[:, t], h], 1)
-            z, r = (1 / (1 + np.exp(-(both @ w[i] + b[i]))) for i in (0, 1))
-            gated = np.concatenate([x[:, t], r * h], 1)
-            n = np.tanh(gated @ w[2] + b[2])
-            trace.append((both, gated, h, z, r, n))
-            h = (1 - z) * n + z * h
-        return h @ self.p["o"] + self.p["c"][0], h, trace
-
-    def gradients(self, x: np.ndarray, y: np.ndarray):
-        out, last, trace = self.forward(x)
-        d = 2 * (out - y) / len(y)
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["o"], g["c"][0] = last.T @ d, d.sum()
-        dh, f, w = np.outer(d, self.p["o"]), x.shape[2], self.p["w"]
-        for both, gated, h, z, r, n in reversed(trace):
-            dn, dz = dh * (1 - z) * (1 - n * n), dh * (h - n) * z * (1 - z)
-            back = dn @ w[2].T
-            dr = back[:, f:] * h * r * (1 - r)
-            for i, (into, by) in enumerate(((both, dz), (both, dr), (gated, dn))):
-                g["w"][i] += into.T @ by
-                g["b"][i] += by.sum(0)
-            dh = dh * z + back[:, f:] * r + (dz @ w[0].T + dr @ w[1].T)[:, f:]
-        return g, float(((out - y) ** 2).mean())
-
-    def fit(self, x, y, xv, yv, epochs: int = 60, rate: float = 5e-3, decay: float = 1e-5, patience: int = 15, clip: float = 1.0):
-        m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        best, kept, since = np.inf, {k: a.copy() for k, a in self.p.items()}, 0
-        for step in range(1, epochs + 1):
-            g, _ = self.gradients(x, y)
-            size = np.sqrt(sum((a * a).sum() for a in g.values()))
-            for k in self.p:
-                a = g[k] * min(1.0, clip / max(size, 1e-12)) + decay * self.p[k]
-                m[k], v[k] = 0.9 * m[k] + 0.1 * a, 0.999 * v[k] + 0.001 * a * a
-                self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-            loss = float(((self.forward(xv)[0] - yv) ** 2).mean()) if len(yv) else 0.0
-            if loss < best:
-                best, kept, since = loss, {k: a.copy() for k, a in self.p.items()}, 0
-            elif (since := since + 1) >= patience:
-                break
-        self.p = kept
-        return self
-
-
-def forecast(sequences: DataFrame, key: str = "ticker", kind: str = "recurrent") -> DataFrame:
-    """ML5-ML8: by series, a forecast of ``target`` for the test rows, from ``steps`` (a list of feature lists) and ``split``.
-
-    A series is a few thousand market days. Features and target are scaled by the training rows only.
+_FITTED = "kind string, version int, best_epoch int, history array<struct<epoch:int,train_loss:double,val_loss:double>>, model binary"
+
+
+def _windows(frame: pd.DataFrame) -> np.ndarray:
+    return np.array([[list(step) for step in steps] for steps in frame["steps"]], float)
+
+
+def trained(sequences: DataFrame, key: str = "ticker", kinds: tuple[str, ...] = ("lstm", "gru"), settings: Settings = Settings()) -> DataFrame:
+    """ML5, ML6: a fitted forecaster for each series and kind, with its errors by epoch; a frame that can be saved.
+
+    ``sequences`` has ``steps`` (a list of feature lists), ``target`` and ``split``. A task holds one series, a few thousand
+    market days; series without training rows have no model.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.dropna(subset=["target"]).sort_values("date")
-        x = np.array([[list(s) for s in steps] for steps in frame["steps"]], float)
-        y, split = frame["target"].to_numpy(float), frame["split"].to_numpy()
-        train, val, test = (split == s for s in ("train", "val", "test"))
-        out = frame.loc[test, [key, "date", "target"]].rename(columns={"target": "actual"})
-        if not train.any() or not test.any():
-            return out.assign(predicted=np.nan)
-        mean, std = x[train].mean((0, 1)), x[train].std((0, 1))
-        x = (x - mean) / np.where(std == 0, 1, std)
-        my, sy = y[train].mean(), y[train].std() or 1.0
-        if kind == "recurrent":
-            predicted = Recurrent(x.shape[2]).fit(x[train], (y[train] - my) / sy, x[val], (y[val] - my) / sy).forward(x[test])[0]
-        else:
-            flat = x.reshape(len(x), -1)
-            a = flat[train]
-            w = np.linalg.solve(a.T @ a + 10 * np.eye(a.shape[1]), a.T @ ((y[train] - my) / sy))
-            predicted = flat[test] @ w
-        return out.assign(predicted=predicted * sy + my)
-
-    schema = f"{key} {dict(sequences.dtypes)[key]}, date date, actual double, predicted double"
-    return sequences.select(key, "date", "steps", "split", F.col("target").cast("double").alias("target")).groupBy(key).applyInPandas(run, schema)
+        frame = frame.sort_values("date")
+        split = frame["split"].to_numpy()
+        if not (split == "train").any():
+            return pd.DataFrame(columns=[key, "kind", "version", "best_epoch", "history", "model"])
+        kind = frame["kind"].iloc[0]
+        fitted, history = Forecaster.fitted(kind, _windows(frame), frame["target"].to_numpy(float), split, settings)
+        told = [{"epoch": e, "train_loss": t, "val_loss": v} for e, t, v in history]
+        return pd.DataFrame({key: [frame[key].iloc[0]], "kind": [kind], "version": [VERSION], "best_epoch": [fitted.network.best_epoch], "history": [told], "model": [fitted.dumps()]})
+
+    rows = sequences.select(key, "date", "steps", "split", F.col("target").cast("double").alias("target")).where("target is not null and split in ('train', 'val')")
+    # a fit takes long for its few bytes: a given number of partitions isn't coalesced by size
+    parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds]))).repartition(parts, key, "kind")
+    return each.groupBy(key, "kind").applyInPandas(run, f"{key} {dict(sequences.dtypes)[key]}, {_FITTED}")
+
+
+def forecasts(sequences: DataFrame, fitted: DataFrame, key: str = "ticker") -> DataFrame:
+    """Forecasts of the test rows' ``target`` by each of the series' models: key, kind, date, actual, predicted."""
+
+    def run(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame(columns=[key, "kind", "date", "actual", "predicted"])]
+        if len(frame):
+            x = _windows(frame)
+            parts = [frame[[key, "date"]].assign(kind=r.kind, actual=frame["target"], predicted=Forecaster.loads(r.model).predict(x)) for r in own.itertuples()] or parts
+        return pd.concat(parts)[[key, "kind", "date", "actual", "predicted"]]
+
+    rows = sequences.select(key, "date", "steps", F.col("target").cast("double").alias("target"), "split").where("target is not null and split = 'test'").drop("split")
+    return rows.groupBy(key).cogroup(fitted.select(key, "kind", "model").groupBy(key)).applyInPandas(run, f"{key} {dict(sequences.dtypes)[key]}, kind string, date date, actual double, predicted double")
+
+
+def history(fitted: DataFrame, key: str = "ticker") -> DataFrame:
+    """Errors by epoch, a row each."""
+    return fitted.select(key, "kind", F.inline("history")).withColumnRenamed("col", "epoch")
+
+
+def forecast(sequences: DataFrame, key: str = "ticker", kinds: tuple[str, ...] = ("gru",), settings: Settings = Settings()) -> DataFrame:
+    """ML5-ML8: train and forecast in one plan."""
+    return forecasts(sequences, trained(sequences, key, kinds, settings), key)
+
+
+def save(fitted: DataFrame, path: str) -> None:
+    """K7: fitted models as a table, wherever Spark can write."""
+    fitted.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Saved models; an error if any is of another version."""
+    fitted = spark.read.parquet(path)
+    if others := [r.version for r in fitted.select("version").distinct().collect() if r.version != VERSION]:
+        raise ValueError(f"models of version {others}; this reads {VERSION}")
+    return fitted

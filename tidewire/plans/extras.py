@@ -15,13 +15,35 @@ from .tables import rounded, table
 from .texts import _ARTICLES, articles
 
 
-def _forecast(kind: str):
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        w = M.series("ticker")
-        df = signals._split(spark, d).withColumn("volume_log", F.log1p("volume")).withColumn("target", F.lead("ret", 1).over(w)).where("ret is not null")
-        return rounded(S.regression_metrics(ML.forecast(M.sequences(df, ["ret", "volume_log"]), kind=kind), "ticker"))
+#: The networks of the queries are as wide and deep as by default, and trained for so many epochs at most.
+EPOCHS = 6
 
-    return run
+
+def _sequences(spark: SparkSession, d: str, features: tuple[str, ...]) -> DataFrame:
+    """Windows of ten trading days with all their features, and the next day's return."""
+    df = M.targets(signals.features(spark, d))
+    known = df.where(" and ".join(f"{f} is not null" for f in features))
+    return M.sequences(M.chronological(known), list(features))
+
+
+def _errors(forecasts: DataFrame, *keys: str) -> DataFrame:
+    return rounded(S.regression_metrics(forecasts, *keys))
+
+
+def _recurrent(spark, d):
+    """ML5, ML6: both recurrent kinds on all 22 features."""
+    df = _sequences(spark, d, M.PRICE_FEATURES + M.SENTIMENT_FEATURES)
+    return _errors(ML.forecast(df, kinds=("lstm", "gru"), settings=ML.Settings(epochs=EPOCHS)), "ticker", "kind")
+
+
+def _history(spark, d):
+    """Errors by epoch of small networks on the price features."""
+    df = _sequences(spark, d, M.PRICE_FEATURES)
+    return rounded(ML.history(ML.trained(df, settings=ML.Settings(hidden=16, layers=1, epochs=EPOCHS))))
+
+
+def _linear(spark, d):
+    return _errors(ML.forecast(_sequences(spark, d, M.PRICE_FEATURES), kinds=("linear",)), "ticker")
 
 
 def _scores(spark, d):
@@ -87,11 +109,12 @@ def _suggestions(spark, d):
 
 
 def _ablation(spark, d):
-    """ML8: the same forecaster with and without the sentiment stand-in (volume), as one frame of metrics."""
-    w = M.series("ticker")
-    df = signals._split(spark, d).withColumn("volume_log", F.log1p("volume")).withColumn("target", F.lead("ret", 1).over(w)).where("ret is not null")
-    parts = [S.regression_metrics(ML.forecast(M.sequences(df, features), kind="linear"), "ticker").withColumn("feature_set", F.lit(name)) for name, features in (("price_only", ["ret"]), ("price_plus", ["ret", "volume_log"]))]
-    return rounded(parts[0].unionByName(parts[1]).select("feature_set", "ticker", "n_rows", "rmse", "r2", "directional_accuracy"))
+    """ML8: the same forecasters with the 15 price features and with the 7 of sentiment too, as one frame of metrics."""
+    parts = []
+    for name, features in (("price_only", M.PRICE_FEATURES), ("price_plus_sentiment", M.PRICE_FEATURES + M.SENTIMENT_FEATURES)):
+        made = ML.forecast(_sequences(spark, d, features), kinds=("linear", "gru"), settings=ML.Settings(hidden=16, layers=1, epochs=EPOCHS))
+        parts.append(S.regression_metrics(made, "ticker", "kind").withColumn("feature_set", F.lit(name)))
+    return rounded(parts[0].unionByName(parts[1]).select("feature_set", "ticker", "kind", "n_rows", "rmse", "r2", "directional_accuracy"))
 
 
 QUERIES = {
@@ -110,8 +133,9 @@ QUERIES = {
     "crawl_stop": _crawl,
     "sitemap_months": lambda s, d: table(s, d, "pages").select("page_id", W.sitemap_month(F.concat(F.lit("http://x/sitemap.2024"), F.lpad((F.col("page_id") % 15).cast("string"), 2, "0"), F.lit(".xml.gz"))).alias("month")),
     "lexicon_scores": _scores,
-    "forecast_recurrent": _forecast("recurrent"),
-    "forecast_linear": _forecast("linear"),
+    "forecast_recurrent": _recurrent,
+    "forecast_history": _history,
+    "forecast_linear": _linear,
 }
 
 _ROOT = r"'^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)'"

@@ -50,23 +50,26 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
     return M.bars(table(spark, d, "lineitem"), F.to_date("l_shipdate"), F.col("l_suppkey") % 4)
 
 
-def months(spark: SparkSession, d: str) -> DataFrame:
-    return M.bars(table(spark, d, "lineitem"), F.to_date(F.trunc(F.to_date("l_shipdate"), "month")), F.col("l_suppkey") % 4)
+def _ema(spark, d):
+    df = M.smoothed(prices(spark, d), {f"e{n}": ("close", M.span(n)) for n in (5, 10, 12, 26)})
+    return rounded(df.select("ticker", "date", *[(M.ratio(F.col("close"), F.col(f"e{n}")) - 1).alias(f"ema_gap_{n}") for n in (5, 10, 12, 26)]))
 
 
-def _indicators(spark: SparkSession, d: str) -> DataFrame:
-    df = M.smoothed(months(spark, d), {f"e{n}": ("close", M.span(n)) for n in (5, 10, 12, 26)})
-    return df
+def _macd(spark, d):
+    return rounded(M.macd(prices(spark, d)).select("ticker", "date", "macd", F.col("macd_signal").alias("signal"), F.col("macd_hist").alias("hist")))
 
 
-def _ema(spark, d):
-    return rounded(_indicators(spark, d).select("ticker", "date", *[(M.ratio(F.col("close"), F.col(f"e{n}")) - 1).alias(f"ema_gap_{n}") for n in (5, 10)]))
+def opinions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as scored articles, on the dates that prices have: urgent ones are bad news, low ones good."""
+    score = F.when(F.col("o_orderpriority") == "1-URGENT", -1.0).when(F.col("o_orderpriority") == "5-LOW", 1.0).otherwise(0.0)
+    return table(spark, d, "orders").select(F.to_date("o_orderdate").alias("calendar_date"), score.alias("score"), (F.col("o_custkey") % 4).alias("ticker"))
 
 
-def _macd(spark, d):
-    df = _indicators(spark, d).select("ticker", "date", (F.col("e12") - F.col("e26")).alias("macd"))
-    df = M.smoothed(df, {"signal": ("macd", M.span(9))})
-    return rounded(df.select("ticker", "date", "macd", "signal", (F.col("macd") - F.col("signal")).alias("hist")))
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """Daily bars of each ticker with the 15 price features and, by trading day, the 7 of sentiment."""
+    bars = prices(spark, d)
+    daily = M.daily_sentiment(M.align(opinions(spark, d), bars.select(F.col("date").alias("market_date")).distinct(), "same_or_next"), "market_date", "ticker").withColumnRenamed("market_date", "date")
+    return M.engineered(bars.join(daily.drop("first_calendar_date", "last_calendar_date"), ["ticker", "date"]))
 
 
 def _split(spark, d):
@@ -78,6 +81,15 @@ def _targets(spark, d):
     return prices(spark, d).select("ticker", "date", "close", F.lead("date", 1).over(w).alias("target_date"), (M.ratio(F.lead("close", 1).over(w), F.col("close")) - 1).alias("target"))
 
 
+def _horizons(spark, d):
+    """Both kinds of target, 1, 5 and 20 rows ahead."""
+    parts = [M.targets(prices(spark, d), h, mode).select("ticker", "date", F.lit(h).alias("horizon"), F.lit(mode).alias("mode"), "target_date", "target") for h in (1, 5, 20) for mode in ("next_close", "next_return")]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _price_errors(spark, d):
     """Next close foretold as this close plus its last move."""
     w = M.series("ticker")
@@ -143,7 +155,9 @@ QUERIES = {
     "sma_gaps": lambda s, d: rounded(prices(s, d).select("ticker", "date", M.sma_gap(5).alias("sma_gap_5"), M.sma_gap(10).alias("sma_gap_10"))),
     "rolling_volatility": lambda s, d: rounded(prices(s, d).withColumn("ret", M.change("close", M.series("ticker"))).select("ticker", "date", M.volatility(F.col("ret"), 5).alias("vol_5"), M.volatility(F.col("ret"), 10).alias("vol_10"))),
     "ema_gaps": _ema,
-    "rsi_14": lambda s, d: rounded(M.rsi(months(s, d)).select("ticker", "date", "rsi")),
+    "rsi_14": lambda s, d: rounded(M.rsi(prices(s, d)).select("ticker", "date", "rsi")),
+    "engineered_features": lambda s, d: rounded(features(s, d).select("ticker", "date", *M.PRICE_FEATURES, *M.SENTIMENT_FEATURES)),
+    "targets_by_horizon": lambda s, d: rounded(_horizons(s, d)),
     "macd": _macd,
     "volume_features": lambda s, d: rounded(prices(s, d).select("ticker", "date", F.log1p(F.greatest("volume", F.lit(0.0))).alias("volume_log"), M.change("volume", M.series("ticker")).alias("volume_change"))),
     "intraday_ratios": lambda s, d: rounded(prices(s, d).select("ticker", "date", M.ratio(F.col("close") - F.col("open"), F.col("open")).alias("open_close_pct"), M.ratio(F.col("high") - F.col("low"), F.col("close")).alias("high_low_pct"))),
@@ -182,7 +196,6 @@ def _bars(day: str) -> str:
 
 
 _PX = _bars("CAST(l_shipdate AS DATE)")
-_MX = _bars("CAST(date_trunc('month', l_shipdate) AS DATE)")
 _W = "WINDOW w AS (PARTITION BY ticker ORDER BY date)"
 _RETS = f"rt AS (SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS ret FROM px {_W})"
 _SPLIT = f"""{_PX}, {_RETS}, b AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n FROM rt {_W}),
@@ -199,6 +212,11 @@ def _recursive(name: str, source: str, value: str, alphas: dict[str, float], ext
 
 
 _NUMBERED = f"nm AS (SELECT *, row_number() OVER w AS rn FROM px {_W})"
+_MACD = f"{_recursive('e2', 'nm', 'close', {'e12': 2 / 13, 'e26': 2 / 27})}, mc AS (SELECT ticker, rn, e12 - e26 AS macd FROM e2), {_recursive('sg', 'mc', 'macd', {'sig': 2 / 10})}"
+_RSI = f"dl AS (SELECT ticker, date, close - lag(close) OVER w AS delta FROM px {_W}), gl AS (SELECT ticker, date, greatest(delta, 0) AS gain, greatest(-delta, 0) AS loss, row_number() OVER w AS rn FROM dl WHERE delta IS NOT NULL {_W}), {_recursive('ag', 'gl', 'gain', {'g': 1 / 14})}, {_recursive('ls', 'gl', 'loss', {'l': 1 / 14})}, rs AS (SELECT px.ticker, px.date, CASE WHEN rn IS NULL OR rn < 14 OR l = 0 THEN 50 ELSE 100 - 100 / (1 + g / l) END::DOUBLE AS rsi FROM px LEFT JOIN (SELECT gl.ticker, gl.date, rn, g, l FROM gl JOIN ag USING (ticker, rn) JOIN ls USING (ticker, rn)) x USING (ticker, date))"
+_BARS = _PX.replace("px AS", "bars AS", 1)
+_CAL = "cal AS (SELECT DISTINCT date AS market_date FROM bars)"
+_OPINIONS = f"sc AS (SELECT CAST(o_orderdate AS DATE) AS calendar_date, CASE o_orderpriority WHEN '1-URGENT' THEN -1.0 WHEN '5-LOW' THEN 1.0 ELSE 0.0 END::DOUBLE AS score, o_custkey % 4 AS ticker FROM orders), op AS (SELECT ticker, market_date AS date, {_DAILY} FROM sc ASOF JOIN cal ON calendar_date <= market_date GROUP BY ticker, market_date)"
 _ERR = "count(*) AS n_rows, round(sqrt(avg((actual - predicted) ** 2)), 6) AS rmse, round(avg(abs(actual - predicted)), 6) AS mae, round(1 - sum((actual - predicted) ** 2) / nullif(var_pop(actual) * count(actual), 0), 6) AS r2, round(avg(CASE WHEN sign(actual) * sign(predicted) <> 0 THEN (sign(actual) = sign(predicted))::INT END), 6) AS directional_accuracy, round(avg((sign(actual) * sign(predicted) <> 0)::INT), 6) AS directional_coverage"
 _PRICE_ERR = "count(*) AS n_rows, round(sqrt(avg((actual - predicted) ** 2)), 6) AS rmse, round(avg(abs(actual - predicted)), 6) AS mae, round(100 * avg(CASE WHEN abs(actual) > 1e-8 THEN abs((actual - predicted) / actual) END), 6) AS mape, round(1 - sum((actual - predicted) ** 2) / nullif(var_pop(actual) * count(actual), 0), 6) AS r2"
 
@@ -222,9 +240,17 @@ ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * list_sum(list_transform(range(0, (n
     "ohlcv_daily": f"WITH {_PX} SELECT * FROM px",
     "sma_gaps": f"WITH {_PX} SELECT ticker, date, round(CASE WHEN count(*) OVER w5 = 5 THEN close / avg(close) OVER w5 - 1 END, 6) AS sma_gap_5, round(CASE WHEN count(*) OVER w10 = 10 THEN close / avg(close) OVER w10 - 1 END, 6) AS sma_gap_10 FROM px WINDOW w5 AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING), w10 AS (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING)",
     "rolling_volatility": f"WITH {_PX}, {_RETS} SELECT ticker, date, round(CASE WHEN count(ret) OVER w5 = 5 THEN stddev_samp(ret) OVER w5 END, 6) AS vol_5, round(CASE WHEN count(ret) OVER w10 = 10 THEN stddev_samp(ret) OVER w10 END, 6) AS vol_10 FROM rt WINDOW w5 AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING), w10 AS (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING)",
-    "ema_gaps": f"WITH RECURSIVE {_MX}, {_NUMBERED}, {_recursive('em', 'nm', 'close', {'e5': 2 / 6, 'e10': 2 / 11})} SELECT ticker, date, round(close / e5 - 1, 6) AS ema_gap_5, round(close / e10 - 1, 6) AS ema_gap_10 FROM em JOIN nm USING (ticker, rn)",
-    "macd": f"WITH RECURSIVE {_MX}, {_NUMBERED}, {_recursive('em', 'nm', 'close', {'e12': 2 / 13, 'e26': 2 / 27})}, mc AS (SELECT ticker, rn, e12 - e26 AS macd FROM em), {_recursive('sg', 'mc', 'macd', {'sig': 2 / 10})} SELECT ticker, date, round(macd, 6) AS macd, round(sig, 6) AS signal, round(macd - sig, 6) AS hist FROM nm JOIN mc USING (ticker, rn) JOIN sg USING (ticker, rn)",
-    "rsi_14": f"WITH RECURSIVE {_MX}, dl AS (SELECT ticker, date, close - lag(close) OVER w AS delta FROM px {_W}), gl AS (SELECT ticker, date, greatest(delta, 0) AS gain, greatest(-delta, 0) AS loss, row_number() OVER w AS rn FROM dl WHERE delta IS NOT NULL {_W}), {_recursive('ag', 'gl', 'gain', {'g': 1 / 14})}, {_recursive('ls', 'gl', 'loss', {'l': 1 / 14})} SELECT px.ticker, px.date, round(CASE WHEN rn IS NULL OR rn < 14 OR l = 0 THEN 50 ELSE 100 - 100 / (1 + g / l) END::DOUBLE, 6) AS rsi FROM px LEFT JOIN (SELECT gl.ticker, gl.date, rn, g, l FROM gl JOIN ag USING (ticker, rn) JOIN ls USING (ticker, rn)) x USING (ticker, date)",
+    "ema_gaps": f"WITH RECURSIVE {_PX}, {_NUMBERED}, {_recursive('em', 'nm', 'close', {'e5': 2 / 6, 'e10': 2 / 11, 'e12': 2 / 13, 'e26': 2 / 27})} SELECT ticker, date, round(close / e5 - 1, 6) AS ema_gap_5, round(close / e10 - 1, 6) AS ema_gap_10, round(close / e12 - 1, 6) AS ema_gap_12, round(close / e26 - 1, 6) AS ema_gap_26 FROM em JOIN nm USING (ticker, rn)",
+    "macd": f"WITH RECURSIVE {_PX}, {_NUMBERED}, {_MACD} SELECT ticker, date, round(macd, 6) AS macd, round(sig, 6) AS signal, round(macd - sig, 6) AS hist FROM nm JOIN mc USING (ticker, rn) JOIN sg USING (ticker, rn)",
+    "rsi_14": f"WITH RECURSIVE {_PX}, {_RSI} SELECT ticker, date, round(rsi, 6) AS rsi FROM rs",
+    "engineered_features": f"""WITH RECURSIVE {_BARS}, {_CAL}, {_OPINIONS}, px AS (SELECT b.*, o.* EXCLUDE (ticker, date) FROM bars b JOIN op o USING (ticker, date)), {_NUMBERED}, {_RETS}, {_recursive('em', 'nm', 'close', {'e5': 2 / 6, 'e10': 2 / 11})}, {_MACD}, {_RSI}
+SELECT ticker, date, round(close, 6) AS close, round(ret, 6) AS return_1d, round(ln(close) - lag(ln(close)) OVER w, 6) AS log_return_1d, round(ln(1 + greatest(volume, 0)), 6) AS volume_log1p, round(volume / nullif(lag(volume) OVER w, 0) - 1, 6) AS volume_change_1d,
+round(CASE WHEN count(*) OVER w5 = 5 THEN close / avg(close) OVER w5 - 1 END, 6) AS sma_5_gap, round(CASE WHEN count(*) OVER w10 = 10 THEN close / avg(close) OVER w10 - 1 END, 6) AS sma_10_gap, round(close / e5 - 1, 6) AS ema_5_gap, round(close / e10 - 1, 6) AS ema_10_gap,
+round(CASE WHEN count(ret) OVER w5 = 5 THEN stddev_samp(ret) OVER w5 END, 6) AS volatility_5, round(CASE WHEN count(ret) OVER w10 = 10 THEN stddev_samp(ret) OVER w10 END, 6) AS volatility_10, round(rsi, 6) AS rsi_14, round(macd, 6) AS macd, round(sig, 6) AS macd_signal, round(macd - sig, 6) AS macd_hist,
+sentiment_score_mean, sentiment_score_std, round(ln(1 + article_count), 6) AS article_count_log1p, positive_ratio, negative_ratio, neutral_ratio, source_day_count
+FROM nm JOIN (SELECT ticker, date, ret FROM rt) USING (ticker, date) JOIN em USING (ticker, rn) JOIN mc USING (ticker, rn) JOIN sg USING (ticker, rn) JOIN rs USING (ticker, date)
+WINDOW w AS (PARTITION BY ticker ORDER BY date), w5 AS (PARTITION BY ticker ORDER BY date ROWS 4 PRECEDING), w10 AS (PARTITION BY ticker ORDER BY date ROWS 9 PRECEDING)""",
+    "targets_by_horizon": f"WITH {_PX} " + " UNION ALL ".join(f"SELECT ticker, date, CAST({h} AS INT) AS horizon, '{mode}' AS mode, lead(date, {h}) OVER w AS target_date, round(lead(close, {h}) OVER w{div}, 6) AS target FROM px {_W}" for h in (1, 5, 20) for mode, div in (("next_close", ""), ("next_return", " / nullif(close, 0) - 1"))),
     "volume_features": f"WITH {_PX} SELECT ticker, date, round(ln(1 + greatest(volume, 0)), 6) AS volume_log, round(volume / nullif(lag(volume) OVER w, 0) - 1, 6) AS volume_change FROM px {_W}",
     "intraday_ratios": f"WITH {_PX} SELECT ticker, date, round((close - open) / nullif(open, 0), 6) AS open_close_pct, round((high - low) / nullif(close, 0), 6) AS high_low_pct FROM px",
     "log_returns": f"WITH {_PX} SELECT ticker, date, round(ln(close) - lag(ln(close)) OVER w, 6) AS log_return FROM px {_W}",
