@@ -124,18 +124,17 @@ def _smoothed(df: DataFrame, column: str, alphas: dict[str, float], key: str, or
     # the first value has the whole weight
     weighted = {n: value * F.when(F.col("_n") == 1, 1.0).otherwise(1 - q) * F.pow(F.lit(q), -F.col("_i")) for n, q in steady.items()}
     inside = Window.partitionBy(key, "_block").orderBy(order)
-    sums = df.groupBy(key, "_block").agg(*[F.sum(x).alias(f"_s_{n}") for n, x in weighted.items()])
-    ends = {n: F.col(f"_s_{n}") * q ** (size - 1) for n, q in steady.items()}
-    before: dict[str, Column] = {}
+    rows = df.withColumns({f"_s_{n}": F.sum(x).over(inside) for n, x in weighted.items()})
+    # a block's last value stands for it; nulls aren't collected
+    last = value.isNotNull() & (F.col("_i") == size - 1)
+    before = {}
     for n, q in steady.items():
         count = max(1, math.ceil(math.log(1e-18) / (size * math.log(q))))
-        earlier = F.collect_list(ends[n]).over(Window.partitionBy(key).orderBy("_block").rowsBetween(-count, -1))
-        before[f"_b_{n}"] = _horner(earlier, q**size)
-    carried = sums.where("_block >= 0").withColumns(before).select(F.col(key).alias("_key"), F.col("_block").alias("_at"), *before)
-    rows = df.withColumns({f"_s_{n}": F.sum(x).over(inside) for n, x in weighted.items()})
-    rows = rows.join(carried, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_block") == F.col("_at")), "left")
+        ends = F.collect_list(F.when(last, F.col(f"_s_{n}") * q ** (size - 1))).over(Window.partitionBy(key).orderBy("_block").rangeBetween(-count, -1))
+        before[f"_b_{n}"] = _horner(ends, q**size)
+    rows = rows.withColumns(before)
     out = {n: F.when(F.col("_n") > 0, F.col(f"_s_{n}") * F.pow(F.lit(q), F.col("_i")) + F.col(f"_b_{n}") * F.pow(F.lit(q), F.col("_i") + 1)) for n, q in steady.items()}
-    return rows.withColumns(out).drop("_n", "_block", "_i", "_key", "_at", *[f"_{x}_{n}" for n in steady for x in "sb"])
+    return rows.withColumns(out).drop("_n", "_block", "_i", *[f"_{x}_{n}" for n in steady for x in "sb"])
 
 
 def span(n: int) -> float:
