@@ -172,11 +172,12 @@ def slug(c: str | Column) -> Column:
 def distinct_sentences(df: DataFrame, name: str) -> DataFrame:
     """White space collapsed, texts that begin with "related" emptied, sentences once each in any case, in order."""
     df = df.withColumn(name, collapse(name)).withColumn("_s", F.filter(F.split(name, r"(?<=[.!?])\s+"), lambda s: s != ""))
-    df = df.withColumn("_k", F.transform("_s", F.lower))
-    # the distinct keys come in the order of their first sentences, whose places are then looked up
-    df = df.withColumn("_k", F.transform(F.array_distinct("_k"), lambda k: F.element_at("_s", F.array_position("_k", k).cast("int"))))
+    # sorted by key and place, a sentence is the first of its key if the one before has another
+    df = df.withColumn("_k", F.array_sort(F.transform("_s", lambda s, i: F.struct(F.lower(s).alias("k"), i.alias("i"), s.alias("s")))))
+    df = df.withColumn("_f", F.filter("_k", lambda x, i: (i == 0) | (x["k"] != F.get("_k", i - 1)["k"])))
+    df = df.withColumn("_k", F.transform(F.array_sort(F.transform("_f", lambda x: F.struct(x["i"], x["s"].alias("s")))), lambda x: x["s"]))
     low = F.lower(F.substring(name, 1, 9))
-    return df.withColumn(name, F.when((low == "related") | F.startswith(low, F.lit("related ")), "").otherwise(F.array_join("_k", " "))).drop("_s", "_k")
+    return df.withColumn(name, F.when((low == "related") | F.startswith(low, F.lit("related ")), "").otherwise(F.array_join("_k", " "))).drop("_s", "_k", "_f")
 
 
 def match_text(c: str | Column) -> Column:

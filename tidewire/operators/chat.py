@@ -8,10 +8,11 @@ import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from .corpus import positions
 
 _FENCE = re.compile(r"`{3}[\w+-]*[^\S\n]*\n(.*?)`{3}", re.S | re.A)
 _PAIR = re.compile(r"(row_[\w-]+)\s*[:,-]\s*([A-Za-z]+)", re.A)
@@ -19,13 +20,13 @@ _PAIR = re.compile(r"(row_[\w-]+)\s*[:,-]\s*([A-Za-z]+)", re.A)
 
 def row_ids(df: DataFrame, order: str, *partition: str) -> DataFrame:
     """P21."""
-    return df.withColumn("row_id", F.format_string("row_%05d", F.row_number().over(Window.partitionBy(*partition).orderBy(order))))
+    return positions(df, order, *partition).withColumn("row_id", F.format_string("row_%05d", F.col("pos") + 1)).drop("pos")
 
 
 def batches(df: DataFrame, key: str, order: str, text: str, size: int = 20) -> DataFrame:
-    """Numbered batches of ``size`` rows of each key, with the prompt's lines."""
-    numbered = df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).withColumn("batch", F.floor(F.col("pos") / size) + 1)
-    line = F.concat(F.format_string("row_%05d", (F.col("pos") + 1).cast("int")), F.lit(","), F.regexp_replace(text, "[,\\s]+", " "))
+    """Numbered batches of ``size`` rows of each key, with the prompt's lines; a task gathers one batch at a time."""
+    numbered = positions(df, order, key).withColumn("batch", F.floor(F.col("pos") / size) + 1)
+    line = F.concat(F.format_string("row_%05d", F.col("pos") + 1), F.lit(","), F.regexp_replace(text, "[,\\s]+", " "))
     return numbered.groupBy(key, "batch").agg(F.count("*").alias("n_rows"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("prompt"))
 
 

@@ -61,6 +61,25 @@ def _sentiment_month(spark, d):
     return ranked.groupBy("label", "day").agg(F.count("*").alias("quota"))
 
 
+#: Rows asked of each year.
+TARGETS = {2023: 60, 2024: 90}
+
+
+def _opinions(spark, d):
+    """Articles of two years, some of them with an opinion, in raw words."""
+    told = F.when(F.col("toxic") == 1, "Neutral").when(F.col("quality") == 1, "POS").when(F.col("quality") == 0, " negative ")
+    labels = table(spark, d, "labels").select("doc_id", told.alias("raw"))
+    docs = table(spark, d, "documents").select("doc_id", F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 37 % 731).cast("int")).alias("date"))
+    return docs.join(labels, "doc_id", "left")
+
+
+def _year_samples(spark, d):
+    """The three strategies: no labels, labels none of which is valid, and labels of some rows."""
+    rows = _opinions(spark, d)
+    parts = [K.sample_years(rows, TARGETS, "date", "doc_id", label) for label in (None, L.corpus(F.lit("unsure")), L.corpus("raw"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "sample_strategy", "sample_target_year", "sample_month", "sample_sentiment_bucket")
+
+
 def _train_set(spark, d):
     a = _labelled(spark, d).where(F.col("raw").isin("-1", "1")).withColumn("text", F.concat(F.lit(" t"), (F.col("event_id") % 500).cast("string"), F.lit(" ")))
     a = a.withColumn("text", F.trim("text")).where("text <> ''").withColumn("label_id", L.training("raw"))
@@ -96,7 +115,7 @@ def _walk(spark, d):
 
 QUERIES = {
     "exclude_exact_anti": lambda s, d: K.exclude_exact(_dated(s, d), _held(s, d)).select("doc_id", "date"),
-    "exclude_loose_anti": lambda s, d: K.exclude_loose(_dated(s, d), _held(s, d), "doc_id", "held_id").select("doc_id", "date"),
+    "exclude_loose_anti": lambda s, d: K.exclude_loose(_dated(s, d), _held(s, d), "doc_id").select("doc_id", "date"),
     "already_matched_semi": lambda s, d: _held(s, d).join(_dated(s, d), ["date", "text"], "left_semi").select("held_id", "date"),
     "company_alias_match": lambda s, d: _matched(s, d).select("p_partkey", "ticker", "matched_aliases", "match_in_title", "match_in_body", "match_in_text"),
     "company_summary": lambda s, d: K.company_summary(_matched(s, d), SPECS),
@@ -104,6 +123,7 @@ QUERIES = {
     "month_balanced_sample_counts": lambda s, d: _month_sample(s, d).groupBy("month").agg(F.count("*").alias("n")),
     "month_balanced_sample": _month_sample,
     "sentiment_month_sample_counts": _sentiment_month,
+    "year_samples": _year_samples,
     "split_80_10_10": lambda s, d: K.exact_split(table(s, d, "documents").select("doc_id"), K.hashed(7, "doc_id")),
     "train_set_prep": _train_set,
     "confusion_matrix": lambda s, d: X.confusion(_predicted(s, d), "gold", "pred", LABELS),
@@ -142,7 +162,27 @@ _CLASSES = f"{_PRED}, lb AS (SELECT unnest(['negative', 'neutral', 'positive'])
 _REPLY = "rp AS (SELECT event_id, printf('row_%05d', event_id % 400) AS row_id, ['one', 'two', 'three'][user_id % 3 + 1] AS provider, ['pos', 'neg', 'neut'][event_id % 7 % 3 + 1] AS label FROM events), mg AS (SELECT row_id, " + ", ".join(f"coalesce(arg_max(label, event_id) FILTER (provider = '{p}'), '') AS {p}_label" for p in PROVIDERS) + " FROM rp GROUP BY row_id)"
 _ACC = f"{_PRED}, ac AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN 'price' ELSE 'price_sentiment' END AS variant, avg((gold = pred)::INT) AS accuracy FROM pr GROUP BY ALL)"
 
+
+
+def _dealt(sizes: str, group: str, n: str, outer: str) -> str:
+    """SQL: quotas by rounds: the ``n`` first of a key's rows, taken from its groups in turn."""
+    return f"SELECT {outer}, {group}, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY {outer} ORDER BY r, {group}) AS k FROM (SELECT *, unnest(range(1, size + 1)) AS r FROM {sizes})) WHERE k <= {n} GROUP BY {outer}, {group}"
+
+
+def _year_sample(strategy: str, bucket: str) -> str:
+    return f"""SELECT * FROM (WITH o AS (SELECT doc_id, CAST(DATE '2023-01-01' + CAST(doc_id * 37 % 731 AS INT) AS DATE) AS date, CASE WHEN toxic = 1 THEN 'neutral' WHEN quality = 1 THEN 'positive' WHEN quality = 0 THEN 'negative' ELSE '' END AS b FROM documents LEFT JOIN labels USING (doc_id)),
+t AS (SELECT doc_id, year(date) AS y, strftime(date, '%Y-%m') AS m, {bucket} AS b, CASE year(date) WHEN 2023 THEN {TARGETS[2023]} WHEN 2024 THEN {TARGETS[2024]} END AS asked FROM o WHERE year(date) IN (2023, 2024)),
+s1 AS (SELECT y, b, count(*) AS size, any_value(asked) AS asked FROM t WHERE b <> '' GROUP BY y, b), q1 AS ({_dealt('s1', 'b', 'asked', 'y')}),
+s2 AS (SELECT y, b, m, count(*) AS size, any_value(quota) AS n FROM t JOIN q1 USING (y, b) GROUP BY y, b, m), q2 AS ({_dealt('s2', 'm', 'n', 'y, b')}),
+p AS (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY y, b, m ORDER BY md5('42|' || doc_id)) AS k FROM t WHERE b <> '') JOIN q2 USING (y, b, m) WHERE k <= quota),
+r AS (SELECT t.* FROM t WHERE doc_id NOT IN (SELECT doc_id FROM p)),
+s3 AS (SELECT y, m, count(*) AS size, any_value(asked) - (SELECT count(*) FROM p WHERE p.y = r.y) AS n FROM r GROUP BY y, m), q3 AS ({_dealt('s3', 'm', 'n', 'y')}),
+a AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY y, m ORDER BY md5('819|' || doc_id)) AS k FROM r) JOIN q3 USING (y, m) WHERE k <= quota)
+SELECT doc_id, '{strategy}' AS sample_strategy, CAST(y AS INT) AS sample_target_year, m AS sample_month, b AS sample_sentiment_bucket FROM (SELECT doc_id, y, m, b FROM p UNION ALL SELECT doc_id, y, m, b FROM a))"""
+
+
 ORACLES = {
+    "year_samples": " UNION ALL ".join(_year_sample(*x) for x in ((K.BY_MONTH, "''"), (K.UNLABELLED, "''"), (K.BY_LABEL, "b"))),
     "exclude_exact_anti": f"WITH {_EXACT} SELECT doc_id, date FROM lft",
     "exclude_loose_anti": f"WITH {_EXACT}, rest AS (SELECT * FROM held h WHERE length(text) >= 120 AND NOT EXISTS (SELECT 1 FROM dated c WHERE h.date = c.date AND h.text = c.text)), o AS (SELECT min(c.doc_id) AS doc_id FROM lft c JOIN rest h ON c.date = h.date AND length(c.text) >= 120 AND {_NEAR} GROUP BY held_id) SELECT doc_id, date FROM lft WHERE doc_id NOT IN (SELECT doc_id FROM o)",
     "already_matched_semi": f"WITH {_ARTICLES}, {_DATED} SELECT held_id, date FROM held h WHERE EXISTS (SELECT 1 FROM dated c WHERE c.date = h.date AND c.text = h.text)",
