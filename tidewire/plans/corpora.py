@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..operators import chat as C
 from ..operators import corpus as K
 from ..operators import market as M
 from ..operators import metrics as X
+from ..operators import web as W
 from .tables import rounded, table
 from .texts import _ARTICLES, _labelled, articles
 
@@ -109,8 +112,28 @@ def _lift(spark, d):
 
 def _walk(spark, d):
     edges = table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("child")).union(table(spark, d, "region").select(F.lit("root"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))))
-    edges.createOrReplaceTempView("sitemap_edges")
-    return C.sitemap_walk(spark, "sitemap_edges", "root")
+    return W.frontier_walk(edges.withColumn("kind", F.lit("sitemap")), ["root"])[0].withColumnRenamed("steps", "depth")
+
+
+SITE = "https://x.example/"
+
+
+def _site(spark, d):
+    """A site's sitemaps by order dates: years in a chain, their months, which list pages and lead back to the root."""
+    day = F.to_date("o_orderdate")
+    o = table(spark, d, "orders").select(day.alias("day"), F.col("o_orderkey").cast("string").alias("id"))
+    year, month = (lambda c: F.concat(F.lit(SITE + "y"), F.year(c).cast("string"), F.lit(".xml"))), F.concat(F.lit(SITE + "sitemap."), F.date_format("day", "yyyyMM"), F.lit(".xml"))
+    page = F.concat(F.lit(SITE), F.date_format("day", "yyyy/MM/dd"), F.lit("/"), "id")
+    parts = [("sitemap", year(F.col("day")), year(F.add_months("day", 12))), ("sitemap", year(F.col("day")), month), ("url", month, page), ("url", F.lit(SITE + "root.xml"), page), ("sitemap", F.lit(SITE + "root.xml"), F.lit(SITE + "y1995.xml")), ("sitemap", F.lit(SITE + "y1999.xml"), F.lit(SITE + "root.xml"))]
+    out = None
+    for kind, parent, child in parts:
+        part = o.select(parent.alias("parent"), child.alias("child"), F.lit(kind).alias("kind"))
+        out = part if out is None else out.union(part)
+    return out.distinct()
+
+
+def _crawled(spark, d):
+    return W.frontier_walk(_site(spark, d), [SITE + "root.xml"], bad="199903\\.xml$", since=datetime.date(1998, 6, 15), allow="^https://", block=("7$",))[1]
 
 
 QUERIES = {
@@ -139,6 +162,7 @@ QUERIES = {
     "metric_pivot": lambda s, d: rounded(_lift(s, d).groupBy("o_orderpriority").pivot("variant", ["price", "price_sentiment"]).agg(F.max("accuracy"))),
     "recall_grid": lambda s, d: rounded(X.by_class(_predicted(s, d), "gold", "pred", LABELS).groupBy().pivot("label", LABELS).agg(F.max("recall"))),
     "sitemap_walk": _walk,
+    "frontier_links": _crawled,
 }
 
 _DATED = "dated AS (SELECT doc_id, date, body AS text FROM articles), held AS (SELECT doc_id AS held_id, date, CASE doc_id % 10 WHEN 0 THEN text WHEN 5 THEN substr(text, 1, 150) ELSE substr(text, 1, 100) END AS text FROM dated WHERE doc_id % 10 IN (0, 5, 7))"
@@ -205,5 +229,9 @@ ORACLES = {
     "sentiment_lift": f"WITH {_ACC} SELECT o_orderpriority, round(max(accuracy) FILTER (variant = 'price_sentiment') - max(accuracy) FILTER (variant = 'price'), 6) AS lift FROM ac GROUP BY o_orderpriority",
     "metric_pivot": f"WITH {_ACC} SELECT o_orderpriority, round(max(accuracy) FILTER (variant = 'price'), 6) AS price, round(max(accuracy) FILTER (variant = 'price_sentiment'), 6) AS price_sentiment FROM ac GROUP BY o_orderpriority",
     "recall_grid": f"WITH {_CLASSES} SELECT " + ", ".join(f"round(max(recall) FILTER (label = '{x}'), 6) AS {x}" for x in LABELS) + " FROM cl",
+    "frontier_links": f"""WITH RECURSIVE o AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderkey FROM orders), ys AS (SELECT DISTINCT year(day) AS y FROM o),
+w AS (SELECT 1995 AS y, 1 AS steps UNION ALL SELECT y + 1, steps + 1 FROM w WHERE y IN (SELECT y FROM ys)),
+m AS (SELECT DISTINCT strftime(day, '%Y%m') AS m, steps + 1 AS steps FROM o JOIN w ON w.y = year(day) WHERE strftime(day, '%Y%m') >= '199806' AND strftime(day, '%Y%m') <> '199903')
+SELECT '{SITE}' || strftime(day, '%Y/%m/%d') || '/' || o_orderkey AS link, CAST(steps AS INT) AS steps FROM o JOIN m ON m = strftime(day, '%Y%m') WHERE day >= DATE '1998-06-15' AND o_orderkey % 10 <> 7""",
     "sitemap_walk": "WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION ALL SELECT 'root', 'r' || r_regionkey FROM region), w AS (SELECT 'root' AS node, 0 AS depth UNION ALL SELECT child, depth + 1 FROM w JOIN e ON parent = node WHERE depth < 10) SELECT node, min(depth) AS depth FROM w GROUP BY node",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import labels as L
 from ..functions import text as T
+from ..operators import web as W
 from .tables import table
 
 
@@ -43,6 +44,36 @@ def _dated(spark, d):
     return table(spark, d, "orders").select("o_orderkey", shown.alias("raw"))
 
 
+#: Forms of an order's date (as Spark and SQL expressions of day), and the day that each means.
+def _forms(day):
+    f = lambda p: F.date_format(day, p)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    week = text(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), "-W", F.lpad(F.weekofyear(day).cast("string"), 2, "0"), "-", (F.weekday(day) + 1).cast("string"))
+    return [
+        f("yyyyMMdd"), text(f("yyyy-MM-dd"), "T23:10:05.5+08:00"), week, f("yyyy-DDD"), f("d MMMM yyyy"), f("MMM d, yyyy"), text(f("EEE, dd MMM yyyy"), " 10:20:30 GMT"), text(f("EEEE, MMMM d"), "th, ", f("yyyy"), " at 9:05 PM"),
+        f("dd-MMM-yy"), f("MM.dd.yyyy"), f("MMMM yyyy"), f("yyyy"), text(f("yyyy-MM"), "-32"), text("on ", f("yyyy-MM-dd")), f("d/M/yyyy"), f("yyyy MMM dd"),
+    ]
+
+
+def _mixed(spark, d):
+    forms = _forms(F.to_date("o_orderdate"))
+    raw = F.element_at(F.array(*forms), (F.col("o_orderkey") % len(forms) + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", D.normalised(raw).alias("day"))
+
+
+def _probed(spark, d):
+    """Pages with tags that tell a date, in every way, and with some that don't."""
+    when = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 300).cast("int"))
+    iso, words = F.concat(F.date_format(when, "yyyy-MM-dd"), F.lit("T08:00:00Z")), F.date_format(when, "d MMM yyyy")
+    tags = [
+        ('<meta property="article:published_time" content="', iso, '">'), ("<META content='", words, "' name='pubdate'/>"), ('<meta name=date content="soon"><meta itemprop="datePublished" content="', iso, '">'), ('<p><time class="x" datetime="', iso, '">'),
+        ('<meta name="article:published_time" content="', words, '">'), ('<meta property="og:published_time" content="', iso, '"><meta property="article:published_time" content="">'), ('<meta name="publish-date" content="', words, '">'), ('<meta name="dates" content="', words, '">'), ("<time>", words, "</time>"),
+        ('<time datetime="2020-02-02"></time><meta name="date" content="', iso, '">'),
+    ]
+    told = F.element_at(F.array(*[F.concat(F.lit(a), b, F.lit(c)) for a, b, c in tags]), (F.col("page_id") % len(tags) + 1).cast("int"))
+    return W.published_date(table(spark, d, "pages").select("page_id", F.concat(told, F.coalesce("html", F.lit(""))).alias("html"))).select("page_id", "published")
+
+
 def _epochs(spark, d):
     e = table(spark, d, "events")
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
@@ -132,6 +163,8 @@ QUERIES = {
     "corpus_clean_filter": _cleaned,
     "year_split_counts": lambda s, d: articles(s, d).groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources")),
     "month_buckets": lambda s, d: articles(s, d).groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n")),
+    "mixed_dates": _mixed,
+    "published_dates": _probed,
     "multi_format_dates": lambda s, d: _dated(s, d).select("o_orderkey", D.parsed("raw").alias("day")),
     "epoch_parse": _epochs,
     "url_dates": lambda s, d: table(s, d, "pages").select("page_id", D.url_date(F.concat("url", F.lit("/2024/"), F.lpad((F.col("page_id") % 14).cast("string"), 2, "0"), F.lit("/15/x"))).alias("day")),
@@ -203,6 +236,8 @@ array_to_string(list_transform(list_filter(string_split(regexp_extract(whole, {_
 FROM (SELECT page_id, split_part(trim(coalesce(url, '')), '#', 1) AS whole FROM pages)))"""
 
 ORACLES = {
+    "mixed_dates": "SELECT o_orderkey, CAST(CASE o_orderkey % 16 WHEN 10 THEN date_trunc('month', o_orderdate) WHEN 11 THEN date_trunc('year', o_orderdate) WHEN 12 THEN NULL WHEN 13 THEN NULL ELSE o_orderdate END AS DATE) AS day FROM orders",
+    "published_dates": "SELECT page_id, CASE WHEN page_id % 10 NOT IN (7, 8) THEN CAST(DATE '2024-01-01' + CAST(page_id % 300 AS INT) AS DATE) END AS published FROM pages",
     "clean_whitespace": f"SELECT doc_id, {_collapse('text')} AS text FROM documents",
     "mojibake_score": f"SELECT doc_id, CAST({' + '.join(f'(length(text) - length(replace(text, {_quote(m)}, {_quote(str())}))) / {len(m)}' for m in T.MARKERS)} AS BIGINT) AS score FROM {_SEEDED}",
     "literal_replacements": f"SELECT doc_id, {_nested('text', T.REPLACEMENTS)} AS text FROM {_SEEDED}",

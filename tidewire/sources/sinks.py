@@ -38,3 +38,21 @@ def bundle(df: DataFrame, path: str, title: str, slug: str) -> None:
     meta = spark.createDataFrame([(title, slug, ["CC0-1.0"])], "title string, id string, licenses array<string>")
     meta.coalesce(1).write.mode("overwrite").json(f"{path}/dataset-metadata")
     spark.createDataFrame([(f"# {title}\n\nColumns: {', '.join(df.columns)}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/README")
+
+
+def counted(df: DataFrame, counters, path: str) -> dict[str, int]:
+    """The rows and, beside them, a report of the stages' counts, which come from the same pass."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/rows")
+    told = counters.report()
+    df.sparkSession.createDataFrame([told], ", ".join(f"{k} bigint" for k in told)).coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    return told
+
+
+def ordered(df: DataFrame, path: str, *order: str, partitions: int | None = None) -> None:
+    """O1: files that, one after the other, are in order; rows alike in ``order`` go by their other columns.
+
+    Rows are dealt by ranges and sorted within them: no task sorts all. Nulls come first.
+    """
+    keys = [*order, *[c for c in df.columns if c not in order]]
+    dealt = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
