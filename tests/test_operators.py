@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -98,25 +98,43 @@ def test_loose_exclusion_removes_one_row_each(spark):
     assert sorted(r.id for r in corpus.exclude_loose(rows, held, "id").collect()) == [1, 2, 9]
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=200))
-def test_any_reply_parses(text):
-    assert all(k and v in ("pos", "neg", "neut") for k, v in chat.parse_reply(text).items())
-
-
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ('x\n```json\n{"rows": [{"row_id": "row_1", "label": "bullish"}]}\n```', {"row_1": "pos"}),
-        ('[["row_1", "neg"], ["row_2"]]', {"row_1": "neg"}),
-        ("Sure:\nrow_id,label\nrow_1,pos", {"row_1": "pos"}),
-        ("row_1: neutral", {"row_1": "neut"}),
-        ("| row_1 | mixed |\n|---|---|", {"row_1": "neut"}),
-        ("nothing here", {}),
-    ],
-)
-def test_replies(text, want):
-    assert chat.parse_reply(text) == want
+REPLIES = {
+    'x\n```json\n{"rows": [{"row_id": "row_1", "label": "bullish"}]}\n```': {"row_1": "pos"},
+    '[["row_1", "neg"], ["row_2"]]': {"row_1": "neg"},
+    '[{"row_id": "row_1", "label": "neg"}, 3, "x", {"label": "pos"}]': {"row_1": "neg"},
+    '{"row_1": "negative", "row_2": 5, "row_3": {"label": "pos"}}': {"row_1": "neg", "row_3": "pos"},
+    "Sure:\nrow_id,label\nrow_1,pos": {"row_1": "pos"},
+    'Note, that\n```csv\nn,LABEL,row_id\n1,"It is, in all, positive",row_7\n```': {"row_7": "pos"},
+    "row_1: neutral": {"row_1": "neut"},
+    "row_1 - neg\nrow_2:pos\nrow_1: pos": {"row_1": "pos", "row_2": "pos"},
+    "| row_1 | mixed |\n|---|---|": {"row_1": "neut"},
+    "row_1\tbearish\n\n'row_2'\tpos": {"row_1": "neg", "row_2": "pos"},
+    "```\nnothing here\n```\nrow_9: neg": {"row_9": "neg"},
+    "```\nrow_1: pos\n```\n```\nrow_1: neg\n```": {"row_1": "pos"},
+    "a,b\nc": {},
+    "```": {},
+    "[[]]": {},
+    "{": {},
+    "": {},
+    None: {},
+    "long text, of " * 20_000 + "\nrow_1: pos": {"row_1": "pos"},
+}
+
+
+def test_replies(spark):
+    df = spark.createDataFrame(list(enumerate(REPLIES)), "id int, content string")
+    got: dict = {i: {} for i in range(len(REPLIES))}
+    for r in chat.parse_replies(df, "content", "id").collect():
+        got[r.id][r.row_id] = r.label
+    for (text, want), told in zip(REPLIES.items(), got.values(), strict=True):
+        assert told == want, text
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.text(alphabet=st.sampled_from('{}[]"\'`,|\t\n: -row_1posneg'), max_size=60), min_size=200, max_size=200))
+def test_any_reply_parses(spark, texts):
+    rows = chat.parse_replies(spark.createDataFrame([(x,) for x in texts], "content string"), "content").collect()
+    assert all(r.row_id and r.label in ("pos", "neg", "neut") for r in rows)
 
 
 def test_consensus(spark):

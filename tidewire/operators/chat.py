@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import json
-import re
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions.text import collapse
 from .corpus import positions
 
-_FENCE = re.compile(r"`{3}[\w+-]*[^\S\n]*\n(.*?)`{3}", re.S | re.A)
-_PAIR = re.compile(r"(row_[\w-]+)\s*[:,-]\s*([A-Za-z]+)", re.A)
+# A fenced block, and a line of an id, a mark and a word.
+_FENCE = r"(?s)`{3}[\w+-]*[^\S\n]*\n(.*?)`{3}"
+_WORD = r"^(row_[\w-]+)\s*[:,-]\s*([A-Za-z]+)$"
 
 
 def row_ids(df: DataFrame, order: str, *partition: str) -> DataFrame:
@@ -43,97 +39,79 @@ def consensus(columns: list[str]) -> Column:
     return F.when(F.size(valid) < len(columns), "").when(F.size(F.array_distinct(valid)) == 1, F.element_at(given, 1)).otherwise("mixed")
 
 
-def label(value: object) -> str:
-    """L4 on one value, for the parser of replies."""
-    text = " ".join(str(value if value is not None else "").split()).lower()
-    if text[:1] == "{" and text[-1:] == "}":
-        try:
-            inner = label(json.loads(text).get("label", ""))
-        except ValueError:
-            inner = ""
-        if inner:
-            return inner
-    for short in ("pos", "neg", "neut"):
-        if re.search(rf"\b{short}\b", text):
-            return short
-    for short, words in (("pos", ("positive", "bullish")), ("neg", ("negative", "bearish")), ("neut", ("neutral", "mixed"))):
-        if any(w in text for w in words):
-            return short
-    return ""
-
-
-def _kept(pairs: Iterator[tuple[object, object]]) -> dict[str, str]:
-    named = ((" ".join(str(k).split()), label(v)) for k, v in pairs)
-    return {k: v for k, v in named if k and v}
-
-
-def _from_json(text: str) -> dict[str, str]:
-    try:
-        payload = json.loads(text)
-    except ValueError:
-        return {}
-    rows = payload
-    if isinstance(payload, dict):
-        rows = payload.get("rows")
-        if not isinstance(rows, list):
-            return _kept(iter(payload.items()))
-    if not isinstance(rows, list):
-        return {}
-    return _kept((r.get("row_id", ""), r.get("label", "")) if isinstance(r, dict) else (r[0], r[1]) for r in rows if isinstance(r, dict) or isinstance(r, list) and len(r) > 1)
-
-
-def _from_csv(text: str) -> dict[str, str]:
-    at = text.lower().find("row_id")
-    for part in [text] if at < 0 else [text, text[at:]]:
-        try:
-            rows = [r for r in csv.reader(io.StringIO(part.strip())) if r]
-        except csv.Error:
-            continue
-        if len(rows) < 2 or len(rows[0]) < 2:
-            continue
-        head = [c.strip().lower() for c in rows[0]]
-        i, j = (head.index("row_id"), head.index("label")) if {"row_id", "label"} <= set(head) else (0, 1)
-        if got := _kept((r[i], r[j]) for r in rows[1:] if len(r) > max(i, j)):
-            return got
-    return {}
-
-
-def _from_lines(text: str) -> dict[str, str]:
-    pairs = []
-    for line in map(str.strip, text.splitlines()):
-        if not line or line.lower().startswith(("```", "row_id")):
-            continue
-        if m := _PAIR.fullmatch(line):
-            pairs.append((m[1], m[2]))
-            continue
-        mark = next((c for c in ",\t|" if c in line), None)
-        cells = [c.strip().strip("\"'") for c in line.split(mark)] if mark else []
-        if mark == "|":
-            cells = [c for c in cells if c]
-        if len(cells) > 1 and set(cells[0]) != {"-"}:
-            pairs.append((cells[0], cells[1]))
-    return _kept(iter(pairs))
-
-
-def parse_reply(text: str | None) -> dict[str, str]:
-    """Labels by row id, from the first fenced block or else the whole text that some format reads."""
-    text = text or ""
-    for part in [*(m.strip() for m in _FENCE.findall(text)), text]:
-        for read in (_from_json, _from_csv, _from_lines):
-            if got := read(part):
-                return got
-    return {}
+def _some(pairs: Column) -> Column:
+    """Pairs of a row id and a raw label as (id, label), without those that lack either; null if none is left."""
+    told = F.transform(pairs, lambda x: F.struct(collapse(x["id"]).alias("id"), L.chat(x["raw"]).alias("label")))
+    kept = F.filter(told, lambda x: (x["id"] != "") & (x["label"] != ""))
+    return F.when(F.size(kept) > 0, kept)
 
 
-def parse_replies(replies: DataFrame, text: str, *keys: str) -> DataFrame:
-    """A row for each label that a reply gives (Arrow-batched: the formats are beyond built-in functions)."""
-    schema = ", ".join([*(f"{k} {dict(replies.dtypes)[k]}" for k in keys), "row_id string, label string"])
+def _pair(id_: Column, raw: Column) -> Column:
+    return F.struct(F.coalesce(id_, F.lit("")).alias("id"), F.coalesce(raw, F.lit("")).alias("raw"))
+
+
+def _objects(part: Column) -> Column:
+    """A JSON object of labels by id, or rows (its own, or under ``rows``) that are objects or pairs."""
+    listed = F.when(F.startswith(part, F.lit("[")), part).otherwise(F.get_json_object(part, "$.rows"))
+    rows = F.from_json(F.when(F.startswith(listed, F.lit("[")), listed), "array<string>")
+    named = lambda e: F.startswith(e, F.lit("{"))
+    pick = lambda e, key, at: F.when(named(e), F.get_json_object(e, f"$.{key}")).otherwise(F.get_json_object(e, f"$[{at}]"))
+    of_rows = F.transform(F.filter(rows, lambda e: F.rlike(e, F.lit(r"^[\[{]"))), lambda e: _pair(pick(e, "row_id", 0), pick(e, "label", 1)))
+    of_map = F.transform(F.map_entries(F.from_json(part, "map<string,string>")), lambda e: _pair(e["key"], e["value"]))
+    return F.when(F.try_parse_json(part).isNotNull(), F.coalesce(of_rows, F.when(F.startswith(part, F.lit("{")), of_map)))
+
+
+def _cells(line: Column) -> Column:
+    """A line's cells at its commas, those in quotes aside, without quotes."""
+    cells = F.when(F.contains(line, F.lit('"')), F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)')).otherwise(F.split(line, ","))
+    return F.transform(cells, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
+
 
-    def run(frames):
-        import pandas as pd
+def _filled(text: Column) -> Column:
+    return F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
 
-        for frame in frames:
-            rows = [(*[r[k] for k in keys], i, x) for r in frame.to_dict("records") for i, x in parse_reply(r[text]).items()]
-            yield pd.DataFrame(rows, columns=[*keys, "row_id", "label"])
 
-    return replies.select(*keys, text).mapInPandas(run, schema)
+def _table(part: Column) -> Column:
+    """Lines of cells below a header that names row_id and label, or else any: then the first two cells count."""
+    lines = _filled(part)
+    head = F.transform(_cells(F.get(lines, F.lit(0))), lambda c: F.lower(c))
+    i, j = (F.array_position(head, c).cast("int") - 1 for c in ("row_id", "label"))
+    named = (i >= 0) & (j >= 0)
+    rows = F.transform(F.slice(lines, F.lit(2), F.size(lines)), _cells)
+    pairs = F.transform(rows, lambda c: _pair(F.get(c, F.when(named, i).otherwise(0)), F.get(c, F.when(named, j).otherwise(1))))
+    return F.when((F.size(lines) > 1) & (F.size(head) > 1), pairs)
+
+
+def _lines(part: Column) -> Column:
+    """Each line by itself: an id, a mark and a word, or two cells at commas, tabs or bars."""
+    lines = F.filter(F.transform(_filled(part), lambda x: F.trim(x)), lambda x: ~F.rlike(x, F.lit("(?i)^(?:```|row_id)")))
+
+    def pair(line: Column) -> Column:
+        bars = F.filter(F.transform(F.split(line, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+        cells = F.when(F.contains(line, F.lit(",")), F.split(line, ",")).when(F.contains(line, F.lit("\t")), F.split(line, "\t")).when(F.contains(line, F.lit("|")), bars)
+        cells = F.transform(cells, lambda c: F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", ""))
+        two = F.when(~F.rlike(F.get(cells, F.lit(0)), F.lit("^-+$")), _pair(F.get(cells, F.lit(0)), F.get(cells, F.lit(1))))
+        return F.when(F.rlike(line, F.lit(_WORD)), _pair(F.regexp_extract(line, _WORD, 1), F.regexp_extract(line, _WORD, 2))).otherwise(two)
+
+    return F.filter(F.transform(lines, pair), lambda x: x.isNotNull())
+
+
+def parse_replies(replies: DataFrame, text: str, *keys: str) -> DataFrame:
+    """A row for each label that a reply gives, by row id; of an id's labels the last.
+
+    Fenced blocks are read in turn, then the whole text; the first that gives any label counts. A part is read as JSON, then as a
+    table (from its first row_id on, if its beginning is none), then line by line. Everything is columns: no shuffle and no Python.
+    """
+    fenced = F.transform(F.regexp_extract_all(text, F.lit(_FENCE), F.lit(1)), lambda b: F.trim(F.regexp_replace(b, r"^\s+|\s+$", "")))
+    parts = F.array_append(fenced, F.regexp_replace(text, r"^\s+|\s+$", ""))
+
+    def read(part: Column) -> Column:
+        below = F.when(F.contains(F.lower(part), F.lit("row_id")), F.substr(part, F.locate("row_id", F.lower(part))))
+        return F.coalesce(_some(_objects(part)), _some(_table(part)), _some(_table(below)), _some(_lines(part)))
+
+    df = replies.select(*keys, F.coalesce(F.col(text), F.lit("")).alias(text))
+    df = df.withColumn("_p", F.get(F.filter(F.transform(parts, read), lambda x: x.isNotNull()), F.lit(0)))
+    # by id and place; the last of an id is the one that another id follows
+    df = df.withColumn("_p", F.array_sort(F.transform("_p", lambda x, i: F.struct(x["id"].alias("id"), i.alias("i"), x["label"].alias("label")))))
+    df = df.withColumn("_p", F.filter("_p", lambda x, i: F.coalesce(F.get("_p", i + 1)["id"] != x["id"], F.lit(True))))
+    return df.select(*keys, F.explode("_p").alias("_x")).select(*keys, F.col("_x.id").alias("row_id"), "_x.label")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -98,10 +98,24 @@ def _consensus(spark, d):
     return merged.select("row_id", C.consensus([f"{p}_label" for p in PROVIDERS]).alias("consensus"))
 
 
+#: Raw labels of replies, and what each means.
+SAID = {"positive": "pos", "neg": "neg", "Bearish": "neg", "mixed": "neut", "bullish": "pos", "Neutral": "neut"}
+
+
 def _reply_texts(spark, d):
-    c = table(spark, d, "conversations").where("role = 'assistant'")
-    shapes = F.array(F.lit('```json\n{"row_00001": "positive", "row_00002": "neg"}\n```'), F.lit("row_id,label\nrow_00003,pos\nrow_00004,bearish"), F.lit("row_00005: neutral\nrow_00006 - neg"), F.lit("| row_00007 | pos |\n|---|---|\n| row_00008 | mixed |"))
-    return c.select("conv_id", "turn", F.concat(F.lit(""), F.element_at(shapes, ((F.col("conv_id") + F.col("turn")) % 4 + 1).cast("int"))).alias("content"))
+    """Assistants' own texts, with up to three labelled rows put into each in one of six shapes."""
+    c = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    c = c.withColumn("rows", F.transform(F.sequence(F.lit(0), (F.col("conv_id") % 3).cast("int")), lambda i: F.struct(F.format_string("row_%05d", (F.col("conv_id") * 10 + i).cast("int")).alias("id"), F.element_at(F.array(*[F.lit(x) for x in SAID]), ((F.col("conv_id") + F.col("turn") + i) % 6 + 1).cast("int")).alias("raw"))))
+    each = lambda sep, *parts: F.array_join(F.transform("rows", lambda r: F.concat(*[p if isinstance(p, Column) else r[p] if p in ("id", "raw") else F.lit(p) for p in parts])), sep)
+    shapes = [
+        F.concat("text", F.lit("\n```json\n{"), each(", ", '"', "id", '": "', "raw", '"'), F.lit("}\n```\n"), "text"),
+        F.concat("text", F.lit('\n```\n{"rows": ['), each(",", '{"row_id": "', "id", '", "label": "', "raw", '"}'), F.lit("]}\n```")),
+        F.concat(F.lit("["), each(",", '["', "id", '", "', "raw", '"]'), F.lit("]")),
+        F.concat("text", F.lit("\n```csv\nn,Label,row_id\n"), each("\n", '1,"', "raw", '",', "id"), F.lit("\n```\n"), "text"),
+        F.concat("text", F.lit("\n"), each("\n", "id", ": ", "raw")),
+        F.concat(F.lit("| id | is |\n|---|---|\n"), each("\n", "| ", "id", " | ", "raw", " |"), F.lit("\n"), "text"),
+    ]
+    return c.select("conv_id", "turn", F.element_at(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int")).alias("content"))
 
 
 def _lift(spark, d):
@@ -226,6 +240,7 @@ ORACLES = {
     "provider_coverage": f"WITH {_REPLY} SELECT " + ", ".join(f"count(*) FILTER ({p}_label <> '') AS {p}" for p in PROVIDERS) + " FROM mg",
     "consensus_label": f"WITH {_REPLY} SELECT row_id, CASE WHEN one_label = '' OR two_label = '' OR three_label = '' THEN '' WHEN one_label = two_label AND two_label = three_label THEN one_label ELSE 'mixed' END AS consensus FROM mg",
     "prompt_batches": "WITH n AS (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id * 100000 + turn) - 1 AS pos FROM conversations) SELECT role, CAST(floor(pos / 20) + 1 AS BIGINT) AS batch, count(*) AS n_rows, md5(string_agg(printf('row_%05d', pos + 1) || ',' || regexp_replace(text, '[,\\s]+', ' ', 'g'), chr(10) ORDER BY pos)) AS prompt_md5 FROM n GROUP BY role, batch",
+    "reply_parse": "SELECT conv_id, turn, printf('row_%05d', conv_id * 10 + i) AS row_id, ['pos', 'neg', 'neg', 'neut', 'pos', 'neut'][(conv_id + turn + i) % 6 + 1] AS label FROM (SELECT conv_id, turn, unnest(range(0, conv_id % 3 + 1)) AS i FROM conversations WHERE role = 'assistant')",
     "sentiment_lift": f"WITH {_ACC} SELECT o_orderpriority, round(max(accuracy) FILTER (variant = 'price_sentiment') - max(accuracy) FILTER (variant = 'price'), 6) AS lift FROM ac GROUP BY o_orderpriority",
     "metric_pivot": f"WITH {_ACC} SELECT o_orderpriority, round(max(accuracy) FILTER (variant = 'price'), 6) AS price, round(max(accuracy) FILTER (variant = 'price_sentiment'), 6) AS price_sentiment FROM ac GROUP BY o_orderpriority",
     "recall_grid": f"WITH {_CLASSES} SELECT " + ", ".join(f"round(max(recall) FILTER (label = '{x}'), 6) AS {x}" for x in LABELS) + " FROM cl",
