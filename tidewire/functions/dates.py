@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: In order: a date that two formats could read is read by the first, so the day comes first.
@@ -30,10 +30,16 @@ def url_date(c: str | Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.regexp_replace(F.regexp_extract(c, r"(\d{4}/\d{2}/\d{2})", 1), "/", "-"), F.lit("yyyy-MM-dd")))
 
 
-def tumbling(spark: SparkSession, first: str, last: str, days: int) -> DataFrame:
-    """Windows of ``days`` days over [first, last]; the last is clipped."""
-    start = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.make_dt_interval(F.lit(days)))).alias("window_start"))
-    return start.select("window_start", F.least(F.date_add("window_start", days - 1), F.to_date(F.lit(last))).alias("window_end"))
+def tumbling(df: DataFrame, day: str, days: int) -> DataFrame:
+    """Windows of ``days`` days over the dates of ``df``, from its first to its last, which clips the last; each with its rows.
+
+    A row's window follows from its distance to the first date, so rows are only counted, by window; empty windows stay.
+    """
+    ends = df.agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    start = ends.select("last", F.explode(F.sequence("first", "last", F.make_dt_interval(F.lit(days)))).alias("window_start"))
+    windows = start.select("window_start", F.least(F.date_add("window_start", days - 1), "last").alias("window_end"))
+    rows = df.join(F.broadcast(ends)).groupBy(F.date_add("first", (F.floor(F.datediff(day, "first") / days) * days).cast("int")).alias("window_start")).agg(F.count("*").alias("n_rows"))
+    return windows.join(rows, "window_start", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
 
 
 # Names of months and week days, in English.

@@ -125,6 +125,13 @@ def clean(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     return df.withColumn(out, repair(out)).withColumn(out, collapse(strip_tags(replaced(out))))
 
 
+def clean_mojibake(df: DataFrame, columns: list[str]) -> DataFrame:
+    """P10: chosen columns repaired, with plain marks for typographic ones and single spaces; entities and tags stay."""
+    for c in columns:
+        df = df.withColumn(c, repair(F.coalesce(F.col(c), F.lit(""))))
+    return df.withColumns({c: collapse(replaced(c)) for c in columns})
+
+
 def without_boilerplate(c: str | Column) -> Column:
     """P12."""
     c = _col(c)

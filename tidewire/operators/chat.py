@@ -32,6 +32,12 @@ def merge_providers(replies: DataFrame, providers: list[str]) -> DataFrame:
     return replies.groupBy("row_id").agg(*[pick(p) for p in providers])
 
 
+def conflicts(replies: DataFrame, *order: str) -> DataFrame:
+    """Ids for which a provider gave different labels: how many, and the one that stays, the last."""
+    told = replies.where("label <> ''").groupBy("provider", "row_id").agg(F.count_distinct("label").alias("n_labels"), F.max_by("label", F.struct(*order)).alias("kept_label"))
+    return told.where("n_labels > 1")
+
+
 def consensus(columns: list[str]) -> Column:
     """The label that all give; mixed if they differ; empty if one gives none."""
     given = F.array(*[L.chat(c) for c in columns])

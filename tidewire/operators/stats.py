@@ -71,6 +71,17 @@ def spearman(pairs: DataFrame, *keys: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.count("*").alias("n_rows"), correlation("rs", "rr").alias("spearman_r"))
 
 
+def full_metrics(pairs: DataFrame, *keys: str) -> DataFrame:
+    """A3-A8 as one frame: Pearson's and Spearman's coefficients and the slope, each with its two-sided p-value.
+
+    With one regressor the slope's t is that of Pearson's r, so is its p. All are null under five rows.
+    """
+    ranks = spearman(pairs, *keys).drop("n_rows")
+    out = lag_metrics(pairs, *keys).join(ranks, list(keys)).withColumn("spearman_r", F.when(F.col("n_rows") >= 5, F.col("spearman_r")))
+    out = with_p(out, name="pearson_p")
+    return with_p(out, r="spearman_r", name="spearman_p").withColumn("slope_p", F.col("pearson_p"))
+
+
 def granger_tests(x: np.ndarray, y: np.ndarray, maxlag: int) -> list[tuple[int, float, float, int, int]]:
     """Whether x helps to foretell y: (lag, F, p, denominator and numerator degrees) for each lag."""
     out = []

@@ -84,15 +84,41 @@ def _year_samples(spark, d):
 
 
 def _train_set(spark, d):
-    a = _labelled(spark, d).where(F.col("raw").isin("-1", "1")).withColumn("text", F.concat(F.lit(" t"), (F.col("event_id") % 500).cast("string"), F.lit(" ")))
-    a = a.withColumn("text", F.trim("text")).where("text <> ''").withColumn("label_id", L.training("raw"))
-    return first_of(a, "text", "event_id").select("event_id", "text", "label_id")
+    """Titles with an opinion, in raw words: trimmed, none empty, each text once."""
+    raw = F.when(F.col("toxic") == 1, " Neutral").when(F.col("quality") == 1, "BULLISH").otherwise("-1")
+    a = articles(spark, d).join(table(spark, d, "labels").select("doc_id", raw.alias("raw")), "doc_id").where(F.col("title").isNotNull() & F.col("raw").isNotNull())
+    a = a.withColumn("text", F.trim("title")).where("text <> ''").withColumn("label_id", L.training("raw"))
+    return first_of(a, "text", "doc_id").select("doc_id", "text", "label_id")
 
 
 def _replies(spark, d):
     return table(spark, d, "events").select("event_id", F.format_string("row_%05d", (F.col("event_id") % 400).cast("int")).alias("row_id"), F.element_at(F.array(*[F.lit(p) for p in PROVIDERS]), (F.col("user_id") % 3 + 1).cast("int")).alias("provider"), F.element_at(F.array(*[F.lit(x) for x in ("pos", "neg", "neut")]), (F.col("event_id") % 7 % 3 + 1).cast("int")).alias("label"), F.col("event_id").alias("pos"))
 
 
+FIVE = ["one", "two", "three", "four", "five"]
+
+
+def _five(spark, d):
+    """Replies of five providers, the same label from all for most ids, some left out and some given twice."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 300).alias("k"), F.element_at(F.array(*[F.lit(p) for p in FIVE]), (F.col("user_id") % 5 + 1).cast("int")).alias("provider"))
+    label = F.element_at(F.array(*[F.lit(x) for x in ("positive", "neg", "neut", "")]), F.when(F.col("event_id") % 41 == 0, 4).otherwise(F.col("k") % 3 + 1).cast("int"))
+    odd = F.when((F.col("k") % 10 == 0) & (F.col("event_id") % 7 == 0), "bearish").otherwise(label)
+    return e.select(F.format_string("row_%05d", F.col("k")).alias("row_id"), "provider", L.chat(odd).alias("label"), F.col("event_id").alias("pos"))
+
+
+def _five_consensus(spark, d):
+    merged = C.merge_providers(_five(spark, d).where("label <> ''"), FIVE)
+    return merged.select("row_id", *[f"{p}_label" for p in FIVE], C.consensus([f"{p}_label" for p in FIVE]).alias("consensus"))
+
+
+def _recalls(spark, d):
+    """R2: recall by class for each model: the predictions as they are, and one that always says the commonest class."""
+    p = _predicted(spark, d)
+    both = p.withColumn("m", F.explode(F.array(F.struct(F.lit("priced").alias("model"), F.col("pred").alias("told")), F.struct(F.lit("constant").alias("model"), F.lit("neutral").alias("told")))))
+    hit = both.groupBy("m.model", "gold").agg(F.avg((F.col("gold") == F.col("m.told")).cast("double")).alias("recall"))
+    return hit.groupBy("model").pivot("gold", LABELS).agg(F.max("recall")).na.fill(0.0)
+
+
 def _consensus(spark, d):
     merged = C.merge_providers(_replies(spark, d), PROVIDERS)
     return merged.select("row_id", C.consensus([f"{p}_label" for p in PROVIDERS]).alias("consensus"))
@@ -170,6 +196,9 @@ QUERIES = {
     "provider_merge": lambda s, d: C.merge_providers(_replies(s, d), PROVIDERS),
     "provider_coverage": lambda s, d: C.merge_providers(_replies(s, d), PROVIDERS).agg(*[F.count_if(F.col(f"{p}_label") != "").alias(p) for p in PROVIDERS]),
     "consensus_label": _consensus,
+    "consensus_of_five": _five_consensus,
+    "provider_conflicts": lambda s, d: C.conflicts(_five(s, d), "pos"),
+    "recall_by_model": lambda s, d: rounded(_recalls(s, d)),
     "prompt_batches": lambda s, d: C.batches(table(s, d, "conversations").withColumn("ord", F.col("conv_id") * 100000 + F.col("turn")), "role", "ord", "text").select("role", "batch", "n_rows", F.md5("prompt").alias("prompt_md5")),
     "reply_parse": lambda s, d: C.parse_replies(_reply_texts(s, d), "content", "conv_id", "turn"),
     "sentiment_lift": lambda s, d: rounded(X.lift(_lift(s, d), ["o_orderpriority"], "variant", "accuracy", "price", "price_sentiment")),
@@ -198,6 +227,7 @@ _PRED = "pr AS (SELECT o_orderkey, o_orderpriority, CASE o_orderstatus WHEN 'F'
 _CM = f"{_PRED}, cm AS (SELECT gold, sum((pred = 'negative')::BIGINT)::BIGINT AS negative, sum((pred = 'neutral')::BIGINT)::BIGINT AS neutral, sum((pred = 'positive')::BIGINT)::BIGINT AS positive FROM pr GROUP BY gold)"
 _CLASSES = f"{_PRED}, lb AS (SELECT unnest(['negative', 'neutral', 'positive']) AS label), k AS (SELECT label, (SELECT count(*) FROM pr WHERE gold = label) AS g, (SELECT count(*) FROM pr WHERE pred = label) AS p, (SELECT count(*) FROM pr WHERE gold = label AND pred = label) AS hit FROM lb), q AS (SELECT label, g, hit, coalesce(hit / nullif(p, 0), 0) AS precision, coalesce(hit / nullif(g, 0), 0) AS recall FROM k), cl AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM q)"
 _REPLY = "rp AS (SELECT event_id, printf('row_%05d', event_id % 400) AS row_id, ['one', 'two', 'three'][user_id % 3 + 1] AS provider, ['pos', 'neg', 'neut'][event_id % 7 % 3 + 1] AS label FROM events), mg AS (SELECT row_id, " + ", ".join(f"coalesce(arg_max(label, event_id) FILTER (provider = '{p}'), '') AS {p}_label" for p in PROVIDERS) + " FROM rp GROUP BY row_id)"
+_FIVE = "e5 AS (SELECT event_id, event_id % 300 AS k, ['one', 'two', 'three', 'four', 'five'][user_id % 5 + 1] AS provider FROM events), r5 AS (SELECT printf('row_%05d', k) AS row_id, provider, CASE WHEN k % 10 = 0 AND event_id % 7 = 0 THEN 'neg' WHEN event_id % 41 = 0 THEN '' ELSE ['pos', 'neg', 'neut'][k % 3 + 1] END AS label, event_id FROM e5)"
 _ACC = f"{_PRED}, ac AS (SELECT o_orderpriority, CASE WHEN o_orderkey % 2 = 0 THEN 'price' ELSE 'price_sentiment' END AS variant, avg((gold = pred)::INT) AS accuracy FROM pr GROUP BY ALL)"
 
 
@@ -231,7 +261,7 @@ ORACLES = {
     "month_balanced_sample": f"WITH {_MONTHS} SELECT doc_id, month FROM (SELECT doc_id, month, row_number() OVER (PARTITION BY month ORDER BY md5('42|' || doc_id)) AS r FROM am) JOIN mq USING (month) WHERE r <= quota",
     "sentiment_month_sample_counts": "WITH e AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN event_type = 'error' THEN 'negative' WHEN event_type IN ('click', 'purchase') THEN 'positive' ELSE 'neutral' END AS label FROM events), lq AS (SELECT label, count(*) AS q FROM (SELECT label, row_number() OVER (PARTITION BY label) AS r FROM e ORDER BY r, label LIMIT 100) GROUP BY label), n AS (SELECT label, day, row_number() OVER (PARTITION BY label, day) AS r FROM e), k AS (SELECT label, day, row_number() OVER (PARTITION BY label ORDER BY r, day) AS i FROM n) SELECT label, day, count(*) AS quota FROM k JOIN lq USING (label) WHERE i <= q GROUP BY ALL",
     "split_80_10_10": "WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id)) - 1 AS pos, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN pos < floor(n * 0.8) THEN 'train' WHEN pos < floor(n * 0.9) THEN 'validation' ELSE 'test' END AS split FROM o",
-    "train_set_prep": "WITH a AS (SELECT event_id, 't' || (event_id % 500) AS text, CASE WHEN event_id % 14 = 4 THEN 0 ELSE 2 END::INT AS label_id FROM events WHERE event_id % 14 IN (4, 5)) SELECT min(event_id) AS event_id, text, arg_min(label_id, event_id) AS label_id FROM a GROUP BY text",
+    "train_set_prep": f"WITH {_ARTICLES}, a AS (SELECT doc_id, trim(title) AS text, CASE WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 ELSE 0 END::INT AS label_id FROM articles JOIN labels USING (doc_id) WHERE trim(title) <> '') SELECT min(doc_id) AS doc_id, text, arg_min(label_id, doc_id) AS label_id FROM a GROUP BY text",
     "confusion_matrix": f"WITH {_CM} SELECT * FROM cm",
     "confusion_matrix_norm": f"WITH {_CM} SELECT gold, round(negative / (negative + neutral + positive), 6) AS negative, round(neutral / (negative + neutral + positive), 6) AS neutral, round(positive / (negative + neutral + positive), 6) AS positive FROM cm",
     "classification_report": f"WITH {_CLASSES} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, g AS support FROM cl",
@@ -239,6 +269,9 @@ ORACLES = {
     "provider_merge": f"WITH {_REPLY} SELECT * FROM mg",
     "provider_coverage": f"WITH {_REPLY} SELECT " + ", ".join(f"count(*) FILTER ({p}_label <> '') AS {p}" for p in PROVIDERS) + " FROM mg",
     "consensus_label": f"WITH {_REPLY} SELECT row_id, CASE WHEN one_label = '' OR two_label = '' OR three_label = '' THEN '' WHEN one_label = two_label AND two_label = three_label THEN one_label ELSE 'mixed' END AS consensus FROM mg",
+    "consensus_of_five": f"WITH {_FIVE}, m5 AS (SELECT row_id, " + ", ".join(f"coalesce(arg_max(label, event_id) FILTER (provider = '{p}'), '') AS {p}_label" for p in FIVE) + " FROM r5 WHERE label <> '' GROUP BY row_id) SELECT *, CASE WHEN '' IN (" + ", ".join(f"{p}_label" for p in FIVE) + ") THEN '' WHEN " + " AND ".join(f"one_label = {p}_label" for p in FIVE[1:]) + " THEN one_label ELSE 'mixed' END AS consensus FROM m5",
+    "provider_conflicts": f"WITH {_FIVE} SELECT provider, row_id, count(DISTINCT label) AS n_labels, arg_max(label, event_id) AS kept_label FROM r5 WHERE label <> '' GROUP BY provider, row_id HAVING count(DISTINCT label) > 1",
+    "recall_by_model": f"WITH {_PRED}, b AS (SELECT 'priced' AS model, gold, pred AS told FROM pr UNION ALL SELECT 'constant', gold, 'neutral' FROM pr) SELECT model, " + ", ".join(f"coalesce(round(avg((told = gold)::INT) FILTER (gold = '{x}'), 6), 0) AS {x}" for x in LABELS) + " FROM b GROUP BY model",
     "prompt_batches": "WITH n AS (SELECT role, text, row_number() OVER (PARTITION BY role ORDER BY conv_id * 100000 + turn) - 1 AS pos FROM conversations) SELECT role, CAST(floor(pos / 20) + 1 AS BIGINT) AS batch, count(*) AS n_rows, md5(string_agg(printf('row_%05d', pos + 1) || ',' || regexp_replace(text, '[,\\s]+', ' ', 'g'), chr(10) ORDER BY pos)) AS prompt_md5 FROM n GROUP BY role, batch",
     "reply_parse": "SELECT conv_id, turn, printf('row_%05d', conv_id * 10 + i) AS row_id, ['pos', 'neg', 'neg', 'neut', 'pos', 'neut'][(conv_id + turn + i) % 6 + 1] AS label FROM (SELECT conv_id, turn, unnest(range(0, conv_id % 3 + 1)) AS i FROM conversations WHERE role = 'assistant')",
     "sentiment_lift": f"WITH {_ACC} SELECT o_orderpriority, round(max(accuracy) FILTER (variant = 'price_sentiment') - max(accuracy) FILTER (variant = 'price'), 6) AS lift FROM ac GROUP BY o_orderpriority",

@@ -57,8 +57,13 @@ def _crawl(spark, d):
 
 
 def _data(spark, d):
-    pages = table(spark, d, "pages").select("page_id", F.concat("html", F.lit('<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"stories":[{"id":'), F.col("page_id").cast("string"), F.lit("}]}}}</script>")).alias("html"))
-    return pages.select("page_id", F.get_json_object(W.stories(W.embedded_json("html")), "$[0].id").alias("story"))
+    """Each page with its own title and links as the data of a script, from which they are read back."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    links = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda x: F.struct(x.alias("url")))
+    data = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.col("page_id").alias("id"), title.alias("title"), links.alias("links"))).alias("stories")).alias("pageProps")).alias("props")))
+    pages = table(spark, d, "pages").select("page_id", F.concat("html", F.lit('<script id="__NEXT_DATA__" type="application/json">'), data, F.lit("</script>")).alias("html"))
+    story = W.stories(W.embedded_json("html"))
+    return pages.select("page_id", F.get_json_object(story, "$[0].id").alias("story"), F.get_json_object(story, "$[0].title").alias("title"), F.get_json_object(story, "$[0].links[0].url").alias("first_link"))
 
 
 def _json(spark, d):
@@ -150,7 +155,7 @@ ORACLES = {
     "row_slice": "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 50 OFFSET 100",
     "date_window_filter": f"WITH {_ARTICLES} SELECT source, count(*) AS n, min(date) AS first, max(date) AS last FROM articles WHERE date BETWEEN DATE '2023-03-01' AND DATE '2023-12-31' GROUP BY source",
     "page_links": f"SELECT page_id, CASE WHEN starts_with(h, '/') THEN regexp_extract(url, {_ROOT}, 1) || h ELSE h END AS link FROM (SELECT page_id, url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=[\"'']([^\"''#]+)', 1))) AS h FROM pages) WHERE NOT regexp_matches(regexp_extract(url, {_ROOT}, 1) || h, '(?i)the')",
-    "embedded_stories": "SELECT page_id, CAST(page_id AS VARCHAR) AS story FROM pages",
+    "embedded_stories": """SELECT page_id, CAST(page_id AS VARCHAR) AS story, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract_all(html, 'href="([^"]*)"', 1)[1] AS first_link FROM pages""",
     "json_navigation": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "crawl_stop": "WITH p AS (SELECT user_id % 5 AS site, event_id AS page, event_type = 'click' AS fresh FROM events), r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY site ORDER BY page) AS run FROM p), s AS (SELECT *, CAST(sum((NOT fresh)::INT) OVER (PARTITION BY site, run ORDER BY page) AS BIGINT) AS stale FROM r), st AS (SELECT site, min(page) AS stop FROM s WHERE stale >= 12 GROUP BY site) SELECT site, count(*) AS n_pages, max(page) AS last_page, max(stale) AS stale FROM s LEFT JOIN st USING (site) WHERE stop IS NULL OR page <= stop GROUP BY site",
     "sitemap_months": "SELECT page_id, CAST(try_strptime('2024' || lpad(CAST(page_id % 15 AS VARCHAR), 2, '0') || '01', '%Y%m%d') AS DATE) AS month FROM pages",

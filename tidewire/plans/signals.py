@@ -148,6 +148,7 @@ QUERIES = {
     "lag_metrics_spearman": lambda s, d: rounded(S.spearman(_by_lag(merged(s, d)), "ticker", "lag")),
     "directional_accuracy": lambda s, d: rounded(S.lag_metrics(_by_lag(merged(s, d)), "lag").select("lag", "n_rows", "directional_accuracy", "directional_coverage")),
     "lag_p_values": lambda s, d: rounded(S.with_p(S.lag_metrics(_by_lag(merged(s, d)), "ticker", "lag")).select("ticker", "lag", "n_rows", "pearson_r", "p_value")),
+    "lag_metrics_full": lambda s, d: rounded(S.full_metrics(_by_lag(merged(s, d)), "ticker", "lag")),
     "lag_heatmap": _heatmap,
     "granger_f_stats": _granger,
     "granger_best_lag": lambda s, d: S.granger_best(_granger(s, d)),
@@ -211,6 +212,13 @@ def _recursive(name: str, source: str, value: str, alphas: dict[str, float], ext
     return f"{name} AS (SELECT ticker, rn, {first} FROM {source} WHERE rn = 1 UNION ALL SELECT s.ticker, s.rn, {more} FROM {name} r JOIN {source} s ON s.ticker = r.ticker AND s.rn = r.rn + 1)"
 
 
+def _p_value(r: str) -> str:
+    """SQL: Student's t in closed form for whole degrees of freedom v = n - 2, where the angle's sine is |r|."""
+    return f"""CASE WHEN n_rows % 2 = 0
+THEN 1 - abs({r}) * list_sum(list_transform(range(0, (n_rows - 2) // 2), lambda k: pow(1 - {r} * {r}, k) * exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi())))
+ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * list_sum(list_transform(range(0, (n_rows - 3) // 2), lambda k: pow(1 - {r} * {r}, k + 0.5) * sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5))))) END"""
+
+
 _NUMBERED = f"nm AS (SELECT *, row_number() OVER w AS rn FROM px {_W})"
 _MACD = f"{_recursive('e2', 'nm', 'close', {'e12': 2 / 13, 'e26': 2 / 27})}, mc AS (SELECT ticker, rn, e12 - e26 AS macd FROM e2), {_recursive('sg', 'mc', 'macd', {'sig': 2 / 10})}"
 _RSI = f"dl AS (SELECT ticker, date, close - lag(close) OVER w AS delta FROM px {_W}), gl AS (SELECT ticker, date, greatest(delta, 0) AS gain, greatest(-delta, 0) AS loss, row_number() OVER w AS rn FROM dl WHERE delta IS NOT NULL {_W}), {_recursive('ag', 'gl', 'gain', {'g': 1 / 14})}, {_recursive('ls', 'gl', 'loss', {'l': 1 / 14})}, rs AS (SELECT px.ticker, px.date, CASE WHEN rn IS NULL OR rn < 14 OR l = 0 THEN 50 ELSE 100 - 100 / (1 + g / l) END::DOUBLE AS rsi FROM px LEFT JOIN (SELECT gl.ticker, gl.date, rn, g, l FROM gl JOIN ag USING (ticker, rn) JOIN ls USING (ticker, rn)) x USING (ticker, date))"
@@ -229,11 +237,10 @@ ORACLES = {
     "article_count_summary": f"WITH {_SCORED}, d AS (SELECT count(*) AS c FROM scored GROUP BY calendar_date) SELECT round(avg(c), 6) AS mean, round(median(c)::DOUBLE, 6) AS median, min(c) AS min, max(c) AS max FROM d",
     "returns_lead_lag": f"WITH {_PX}, {_RETS} SELECT ticker, date, round(close, 6) AS close, round(ret, 6) AS return_tplus0_1d, round(lead(ret, 1) OVER w, 6) AS return_tplus1_1d, round(lead(ret, 2) OVER w, 6) AS return_tplus2_1d FROM rt {_W}",
     "lag_metrics_pearson_ols": f"WITH {_MERGED}, {_LAGGED} SELECT * FROM lm",
-    # Student's t in closed form for whole degrees of freedom v = n - 2, where the angle's sine is |r|
     "lag_p_values": f"""WITH {_MERGED}, c AS (SELECT ticker, lag, count(*) AS n_rows, CASE WHEN count(*) >= 5 THEN {_R} END AS r FROM pairs GROUP BY ticker, lag)
-SELECT ticker, lag, n_rows, round(r, 6) AS pearson_r, round(CASE WHEN n_rows % 2 = 0
-THEN 1 - abs(r) * list_sum(list_transform(range(0, (n_rows - 2) // 2), lambda k: pow(1 - r * r, k) * exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi())))
-ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * list_sum(list_transform(range(0, (n_rows - 3) // 2), lambda k: pow(1 - r * r, k + 0.5) * sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5))))) END, 6) AS p_value FROM c""",
+SELECT ticker, lag, n_rows, round(r, 6) AS pearson_r, round({_p_value('r')}, 6) AS p_value FROM c""",
+    "lag_metrics_full": f"""WITH {_MERGED}, {_LAGGED}, {_RANKED.replace('round(covar_pop(rs, rr) / nullif(stddev_pop(rs) * stddev_pop(rr), 0), 6)', 'covar_pop(rs, rr) / nullif(stddev_pop(rs) * stddev_pop(rr), 0)')}, c AS (SELECT ticker, lag, {_R} AS r FROM pairs GROUP BY ticker, lag)
+SELECT lm.*, round(spearman_r, 6) AS spearman_r, round({_p_value('r')}, 6) AS pearson_p, round({_p_value('spearman_r')}, 6) AS spearman_p, round({_p_value('r')}, 6) AS slope_p FROM lm JOIN c USING (ticker, lag) JOIN (SELECT ticker, lag, spearman_r FROM sp) USING (ticker, lag)""",
     "lag_metrics_spearman": f"WITH {_MERGED}, {_RANKED} SELECT * FROM sp",
     "directional_accuracy": f"WITH {_MERGED} SELECT lag, count(*) AS n_rows, {_DIR} FROM pairs GROUP BY lag",
     "lag_heatmap": f"WITH {_MERGED}, {_LAGGED}, {_RANKED}, j AS (SELECT ticker, lag, pearson_r, spearman_r, directional_accuracy FROM lm JOIN sp USING (ticker, lag)) SELECT ticker, lag, 'pearson_r' AS metric, pearson_r AS value FROM j UNION ALL SELECT ticker, lag, 'spearman_r', spearman_r FROM j UNION ALL SELECT ticker, lag, 'directional_accuracy', directional_accuracy FROM j",

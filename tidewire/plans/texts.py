@@ -82,7 +82,7 @@ def _epochs(spark, d):
 
 
 def _mojibake(spark, d):
-    seeded = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit("cafÃ© â€œxâ€\x9d Â£")).otherwise(F.lit("")))
+    seeded = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit("cafÃ© itâ€™s Â£")).otherwise(F.lit("")))
     return table(spark, d, "documents").select("doc_id", seeded.alias("text"))
 
 
@@ -149,6 +149,7 @@ QUERIES = {
     "mojibake_score": lambda s, d: _mojibake(s, d).select("doc_id", T.mojibake_score("text").alias("score")),
     "mojibake_repair": lambda s, d: _mojibake(s, d).select("doc_id", T.repair("text").alias("text")),
     "clean_text": lambda s, d: T.clean(_mojibake(s, d), "text"),
+    "clean_mojibake_columns": lambda s, d: T.clean_mojibake(_mojibake(s, d).withColumn("head", F.substring_index("text", ".", 1)), ["text", "head"]),
     "literal_replacements": lambda s, d: _mojibake(s, d).select("doc_id", T.replaced("text").alias("text")),
     "strip_tags": _pages(("text", lambda: T.strip_tags("html"))),
     "boilerplate_strip": lambda s, d: _boiler(s, d).select("doc_id", T.without_boilerplate("text").alias("text")),
@@ -168,7 +169,7 @@ QUERIES = {
     "multi_format_dates": lambda s, d: _dated(s, d).select("o_orderkey", D.parsed("raw").alias("day")),
     "epoch_parse": _epochs,
     "url_dates": lambda s, d: table(s, d, "pages").select("page_id", D.url_date(F.concat("url", F.lit("/2024/"), F.lpad((F.col("page_id") % 14).cast("string"), 2, "0"), F.lit("/15/x"))).alias("day")),
-    "tumbling_windows_90d": lambda s, d: D.tumbling(s, "2023-01-01", "2025-09-30", 90),
+    "tumbling_windows_90d": lambda s, d: D.tumbling(table(s, d, "orders").select(F.to_date("o_orderdate").alias("day")), "day", 90),
     "label_norm_corpus": _normalised(L.corpus),
     "label_norm_gold": _normalised(L.gold),
     "label_norm_generated": _normalised(L.generated),
@@ -203,7 +204,7 @@ def _nested(x: str, pairs) -> str:
     return x
 
 
-_SEEDED = "(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN 'cafÃ© â€œxâ€\x9d Â£' ELSE '' END AS text FROM documents)"
+_SEEDED = "(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN 'cafÃ© itâ€™s Â£' ELSE '' END AS text FROM documents)"
 _ARTICLES = "articles AS (SELECT doc_id, source, lang AS category, trim(split_part(text, '.', 1)) AS title, text AS body, DATE '2023-01-01' + CAST(doc_id % 1096 AS INT) AS date FROM documents)"
 _RAW = f"(SELECT event_id, [{', '.join(_quote(x) for x in _LABELS)}][event_id % {len(_LABELS)} + 1] AS raw FROM events)"
 _TITLED = "title || ' ' || body"
@@ -235,7 +236,13 @@ FROM (SELECT page_id, whole, regexp_extract(whole, {_URL}, 1) AS s, regexp_extra
 array_to_string(list_transform(list_filter(string_split(regexp_extract(whole, {_URL}, 4), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ('{"', '".join(T.TRACKING)}')), lambda x: split_part(x, '=', 1) || '=' || replace(regexp_replace(x, '^[^=]*=?', ''), '%20', '+')), '&') AS q
 FROM (SELECT page_id, split_part(trim(coalesce(url, '')), '#', 1) AS whole FROM pages)))"""
 
+# A text in other letters than ASCII can't be read again as a whole, so its damaged ending stays; else the ending was known.
+_MENDED = "(SELECT doc_id, text || CASE WHEN doc_id % 3 <> 0 THEN '' WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'cafÃ© itâ€™s Â£' ELSE 'café it’s £' END AS text FROM documents)"
+_PLAIN = _nested("text", T.REPLACEMENTS)
 ORACLES = {
+    "mojibake_repair": f"SELECT doc_id, text FROM {_MENDED}",
+    "clean_text": f"""SELECT doc_id, {_collapse(f"regexp_replace({_PLAIN}, '<[^>]+>', ' ', 'g')")} AS text FROM {_MENDED}""",
+    "clean_mojibake_columns": f"WITH h AS (SELECT doc_id, text, split_part(text, '.', 1) AS head FROM {_MENDED}) SELECT doc_id, {_collapse(_PLAIN)} AS text, {_collapse(_nested('head', T.REPLACEMENTS))} AS head FROM h",
     "mixed_dates": "SELECT o_orderkey, CAST(CASE o_orderkey % 16 WHEN 10 THEN date_trunc('month', o_orderdate) WHEN 11 THEN date_trunc('year', o_orderdate) WHEN 12 THEN NULL WHEN 13 THEN NULL ELSE o_orderdate END AS DATE) AS day FROM orders",
     "published_dates": "SELECT page_id, CASE WHEN page_id % 10 NOT IN (7, 8) THEN CAST(DATE '2024-01-01' + CAST(page_id % 300 AS INT) AS DATE) END AS published FROM pages",
     "clean_whitespace": f"SELECT doc_id, {_collapse('text')} AS text FROM documents",
@@ -258,7 +265,7 @@ f AS (SELECT r, arg_min(s, i) AS s, min(i) AS i FROM p WHERE s <> '' GROUP BY r,
     "multi_format_dates": "WITH r AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%d/%m/%y') WHEN 3 THEN strftime(o_orderdate, '%-m/%-d/%Y') ELSE 'soon' END AS raw FROM orders) SELECT o_orderkey, CAST(coalesce(try_strptime(raw, '%Y-%m-%d'), CASE WHEN regexp_matches(raw, '/\\d{4}$') THEN try_strptime(raw, '%d/%m/%Y') END, CASE WHEN regexp_matches(raw, '/\\d{2}$') THEN try_strptime(left(raw, length(raw) - 2) || '20' || right(raw, 2), '%d/%m/%Y') END, CASE WHEN regexp_matches(raw, '/\\d{4}$') THEN try_strptime(raw, '%m/%d/%Y') END) AS DATE) AS day FROM r",
     "epoch_parse": "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS moment FROM events",
     "url_dates": "SELECT page_id, CAST(try_strptime('2024-' || lpad(CAST(page_id % 14 AS VARCHAR), 2, '0') || '-15', '%Y-%m-%d') AS DATE) AS day FROM pages",
-    "tumbling_windows_90d": "SELECT CAST(s AS DATE) AS window_start, CAST(least(s + INTERVAL 89 DAY, TIMESTAMP '2025-09-30') AS DATE) AS window_end FROM generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2025-09-30', INTERVAL 90 DAY) t(s)",
+    "tumbling_windows_90d": "WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT min(day) AS f, max(day) AS l FROM o), w AS (SELECT CAST(unnest(generate_series(f, l, INTERVAL 90 DAY)) AS DATE) AS window_start, l FROM e) SELECT window_start, least(CAST(window_start + 89 AS DATE), l) AS window_end, (SELECT count(*) FROM o WHERE day >= window_start AND day < window_start + 90) AS n_rows FROM w",
     "label_norm_corpus": f"SELECT event_id, coalesce({_words(_LOW, ('negative|neg', 'negative'), ('neutral|neu', 'neutral'), ('positive|pos', 'positive'))}, '') AS label FROM {_RAW}",
     "label_norm_gold": f"SELECT event_id, {_GOLD} AS label FROM {_RAW}",
     "label_norm_generated": f"SELECT event_id, CASE WHEN contains(lower(raw), 'positive') THEN 'positive' WHEN contains(lower(raw), 'negative') THEN 'negative' ELSE 'neutral' END AS label FROM {_RAW}",
