@@ -3,7 +3,7 @@
 A page's html is cut into text blocks, each with its DOM path. A logistic classifier gives each block its log odds of
 being content, from its text (length, link density, punctuation, place, tag) and from signs of its containers
 (elements and words of class, role and id that speak for content or against it, and being outside of the article that the
-page has). The log odds become capacities to the source or the sink; neighbouring blocks, and blocks under one parent, are
+page has, or of the containers named as one if it has none). The log odds become capacities to the source or the sink; neighbouring blocks, and blocks under one parent, are
 tied by smoothness edges that grow with the share of the path they have in common. Max-flow (Dinic) separates content
 from boilerplate at least cost, and nothing but the cut decides.
 
@@ -45,6 +45,10 @@ BLOCKS = frozenset(["address", "article", "aside", "blockquote", "body", "button
 CHROME_WORDS = frozenset(["ad", "ads", "advert", "adverts", "advertisement", "advertising", "alert", "banner", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookies", "copyright", "dialog", "footer", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget"])
 COMMENT_WORDS = frozenset(["comment", "comments", "commentlist", "disqus", "replies", "reply", "respond"])
 CONTENT_WORDS = frozenset(["article", "content", "entry", "main", "post", "story"])
+#: What names of containers say beside what they hold.
+LAYOUT_WORDS = frozenset(["area", "bar", "block", "body", "bottom", "box", "button", "buttons", "card", "cards", "col", "column", "container", "footer", "grid", "group", "header", "holder", "icon", "icons", "inline", "inner", "item", "items", "js", "left", "link", "links", "list", "module", "outer", "panel", "placeholder", "position", "post", "posts", "right", "row", "section", "slot", "small", "sticky", "tools", "top", "unit", "wide", "wrap", "wrapper"])
+#: Elements of running text: inside of an article their names are no evidence.
+PROSE = frozenset(["blockquote", "code", "dd", "dt", "em", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "i", "li", "b", "p", "pre", "strong", "td", "th"])
 #: Elements whose id is a name of a part of the page; those of headings and the like are made from their text.
 NAMED = frozenset(["article", "aside", "div", "dl", "footer", "form", "header", "main", "nav", "ol", "section", "table", "ul"])
 TEXT = ["log_chars", "log_words", "link_share", "stops", "commas", "capital", "paragraph", "heading", "item", "loose", "depth", "place", "short", "constant"]
@@ -77,9 +81,14 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _chrome(token: str, inside: bool) -> bool:
-    """Whether a name like main-navigation speaks against content: by its first or last word, or by any if none speaks for it."""
+    """Whether a name like main-navigation speaks against content: by its first or last word, or by any if none speaks for it.
+
+    Inside of an article it must say nothing else: share-buttons does, share-price and related-work don't.
+    """
     words = [w for w in _WORD.split(token) if w]
     against = [w in CHROME_WORDS and not (inside and w in ("header", "banner")) for w in words]
+    if inside:
+        return any(against) and all(a or w in LAYOUT_WORDS for a, w in zip(against, words, strict=True))
     return any(against) and (against[0] or against[-1] or CONTENT_WORDS.isdisjoint(words))
 
 
@@ -103,10 +112,15 @@ def _says(tag: str, source: str, element: int, word: int) -> tuple[int, int] | N
         words = {w for n in names for w in _WORD.split(n)}
         if words & COMMENT_WORDS or own & COMMENT_WORDS and (not inside or own <= COMMENT_WORDS):
             word = -2
+        elif inside and tag in PROSE:
+            pass
         elif word != -2 and (any(_chrome(n, inside) for n in names) or named and not inside and _chrome(named, False)):
             word = -1
         elif word >= 0 and (words | own) & CONTENT_WORDS:
             word = 1
+        if word == -1 and inside and tag not in BLOCKS and tag != "a":
+            # an advert within a line of an article has no block of its own
+            return None
     return element, word
 
 
@@ -138,9 +152,11 @@ def blocks(page: str) -> list[Block]:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
-            parts.append(text)
-            if in_link:
-                links += len(text.strip())
+            # what isn't shown is dropped as it is read, within a paragraph too
+            if not stack or stack[-1][2] is not None:
+                parts.append(text)
+                if in_link:
+                    links += len(text.strip())
         if not m:
             break
         at = m.end()
@@ -184,11 +200,14 @@ def features(found: list[Block]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of ``TEXT`` and rows of ``SIGNS``."""
     n = max(len(found) - 1, 1)
     has, paged = any(b.element > 0 for b in found), any(b.tag == "p" for b in found)
+    # a page without an article may have a container that is named as one
+    named = not has and any(b.word > 0 and b.element >= 0 for b in found)
     text, signs = [], []
     for i, b in enumerate(found):
         words = b.text.count(" ") + 1
         text.append((math.log1p(b.chars), math.log1p(words), b.links / b.chars, b.text[-1] in ".!?:;\"'”»", b.text.count(",") / words, b.text[:1].isupper(), b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag in ("li", "td", "th", "dd", "dt"), paged and b.tag != "p" and b.tag[:1] != "h", min(len(b.path), 12) / 12, i / n, words < 6, 1))
-        signs.append((b.element > 0 and b.word >= 0, b.element < 0, b.word > 0 and b.element >= 0, b.word < 0, has and b.element <= 0))
+        within = b.word > 0 and b.element >= 0
+        signs.append((b.element > 0 and b.word >= 0 or named and within, b.element < 0, within, b.word < 0, has and b.element <= 0 or named and not within))
     return np.array(text, float).reshape(-1, len(TEXT)), np.array(signs, float).reshape(-1, len(SIGNS))
 
 
