@@ -14,6 +14,8 @@ they are gathered; more blocks are further passes in the same task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,12 +93,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, one gathered at a time."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[int, Iterator[list[tuple[str, str]]]]:
+    """How many blocks of about ``limit`` bytes the items make, and the blocks, each gathered when it is asked for."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     total = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
-    n = -(-total // limit)
-    return [[(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()] for b in range(n)]
+    n = -(-total // limit) or 1
+    return n, ([(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).toLocalIterator()] for b in range(n))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
@@ -111,11 +113,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     extra = T.StructType.fromDDL("n_words bigint, hit_spans array<struct<a: bigint, b: bigint>>, hit_items array<string>, n_hit bigint")
     bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
-    blocks = _blocks(benchmark, item_col, "text", block_bytes) or [[]]
+    n_blocks, blocks = _blocks(benchmark, item_col, "text", block_bytes)
     frame = kept
     for number, block in enumerate(blocks):
         shared = sc.broadcast(Windows(block, window))
-        last = number == len(blocks) - 1
+        last = number == n_blocks - 1
         schema = T.StructType(fields + extra.fields + ([] if last else [T.StructField("_text", T.StringType())]))
         out = arrow_schema(schema)
 
