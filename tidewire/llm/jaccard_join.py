@@ -303,6 +303,17 @@ def _verified(close: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
     return tables.shared(close.join(members("a"), "a").join(members("b"), "b").select("a", "b", "ma", "mb").mapInArrow(tidy(linked), "a bigint, b bigint"))
 
 
+def _posted(filled: DataFrame, percent: int) -> DataFrame:
+    """A posting for each shingle in the prefix of each group, with its reach; copies are one group before anything is posted.
+
+    Groups are collapsed within each task first, so a text that a third of all rows copy is one row a task.
+    """
+    groups = filled.groupBy("grp").agg(F.min("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    # what is left of a set from a shingle on must be percent / (100 + percent) of both sizes together
+    reach = F.floor((F.col("n") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent)) - F.col("n")
+    return groups.select(F.posexplode("prefix").alias("pos", "token"), "grp", "n").select("token", "grp", "n", reach.cast("bigint").alias("reach"), F.when(F.col("token") < 0, F.pmod("grp", F.lit(16))).otherwise(0).alias("salt"))
+
+
 def _mark(text: str = "text"):
     """Tells the rows of one doc_id apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -317,10 +328,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     classes = tables.shared(filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.count("*").alias("copies")))
     nodes = filled.select("node", F.col("doc_id").alias("rep"), "n", "sketch", "fine").join(classes.select("node", "rep"), ["node", "rep"]).dropDuplicates(["node"])
 
-    # what is left of a set from a shingle on must be percent / (100 + percent) of both sizes together
-    reach = F.floor((F.col("n") - F.col("pos")) * F.lit(100 + percent) / F.lit(percent)) - F.col("n")
-    posted = filled.select(F.posexplode("prefix").alias("pos", "token"), "grp", "n").select("token", "grp", "n", reach.cast("bigint").alias("reach"), F.when(F.col("token") < 0, F.pmod("grp", F.lit(16))).otherwise(0).alias("salt"))
-    postings = posted.repartition("token", "salt").select("token", "grp", "n", "reach").mapInArrow(tidy(_shared_postings), "token bigint, grp bigint, n bigint, reach bigint")
+    postings = _posted(filled, percent).repartition("token", "salt").select("token", "grp", "n", "reach").mapInArrow(tidy(_shared_postings), "token bigint, grp bigint, n bigint, reach bigint")
     crowded = classes.groupBy("grp").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k > 1").select(F.xxhash64(F.lit("group"), "grp").alias("token"), "grp", "n", F.col("n").alias("reach"))
     listed = tables.shared(postings.union(crowded).join(classes.select("grp", "node"), "grp").select("token", "node", "n", "reach"))
     flips = np.random.default_rng(85).integers(-(1 << 62), 1 << 62, STARS).tolist()
