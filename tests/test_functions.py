@@ -79,8 +79,11 @@ def test_dates(spark, value, want):
 
 
 def test_windows(spark):
-    rows = dates.tumbling(spark, "2023-01-01", "2025-09-30", 90).orderBy("window_start").collect()
-    assert len(rows) == 12 and tuple(rows[-1]) == (datetime.date(2025, 9, 17), datetime.date(2025, 9, 30))
+    days = [datetime.date(2023, 1, 1), datetime.date(2023, 1, 2), datetime.date(2023, 4, 1), datetime.date(2023, 9, 30), None]
+    df = spark.createDataFrame([(d,) for d in days], "day date")
+    got = [tuple(map(str, r[:2])) + (r.n_rows,) for r in dates.tumbling(df, "day", 90).orderBy("window_start").collect()]
+    assert got == [("2023-01-01", "2023-03-31", 2), ("2023-04-01", "2023-06-29", 1), ("2023-06-30", "2023-09-27", 0), ("2023-09-28", "2023-09-30", 1)]
+    assert dates.tumbling(df.where("day is null"), "day", 90).collect() == []
 
 
 def test_names(spark):

@@ -9,6 +9,7 @@ from ..operators import corpus as K
 from ..operators import market as M
 from ..operators import models as ML
 from ..operators import stats as S
+from ..operators import suggest as SG
 from ..operators import web as W
 from . import signals
 from .tables import rounded, table
@@ -122,7 +123,14 @@ def _ablation(spark, d):
     return rounded(parts[0].unionByName(parts[1]).select("feature_set", "ticker", "kind", "n_rows", "rmse", "r2", "directional_accuracy"))
 
 
+def _typed(spark, d):
+    """Part names like some that are mistyped."""
+    wanted = ["smal ring blue", "Rng_large.csv", "boltt nut", "qqqq gear", "widgets red red"]
+    return rounded(SG.suggestions(table(spark, d, "part"), "p_name", wanted))
+
+
 QUERIES = {
+    "typed_suggestions": _typed,
     "merged_market": lambda s, d: rounded(signals.merged(s, d).select("ticker", "date", "article_count", "sentiment_score_mean", "close", "return_tplus0_1d", "return_tplus1_1d")),
     "prediction_stock_pairs": _pairs,
     "two_year_sample_counts": _two_years,

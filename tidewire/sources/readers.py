@@ -106,6 +106,24 @@ def labelled_pairs(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.trim(f"`{text}`").alias("text"), F.trim(f"`{label}`").alias("label")).where("text <> '' or label <> ''")
 
 
+def positional(spark: SparkSession, path: str, names: tuple[str, ...] = ("date", "text")) -> DataFrame:
+    """Columns by place, two or three, from files with or without a header and with rows of any length.
+
+    Shorter rows are filled with empty cells, what is beyond the last name is dropped; cells lose byte-order marks and outer white
+    space; a file's first row goes if it is the names, in any case; rows without any cell go.
+    """
+    clean = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "[\ufeff\\r]|^\\s+|\\s+$", ""))
+    raw = spark.read.schema(", ".join(f"`{n}` string" for n in names)).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    # a file with line breaks in quotes is read whole, so its rows have ascending ids
+    rows = raw.select(*[clean(n).alias(n) for n in names], F.monotonically_increasing_id().alias("_i"), F.col("_metadata.file_path").alias("_f"))
+    first = rows.groupBy("_f").agg(F.min("_i").alias("_i")).withColumn("_first", F.lit(True))
+    head = F.lit(True)
+    for n in names:
+        head = head & (F.lower(n) == n.lower())
+    some = F.concat(*names) != ""
+    return rows.join(first, ["_f", "_i"], "left").where(some & ~(F.coalesce("_first", F.lit(False)) & head)).select(*names)
+
+
 def companies(spark: SparkSession, path: str) -> list[dict]:
     """A small configuration: a list of companies, or one under "companies"; each with ticker, name and aliases."""
     text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
