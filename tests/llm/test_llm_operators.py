@@ -250,15 +250,34 @@ def test_secrets_in_every_packing():
             _value(f"see {hidden}, end", hidden.rstrip("="))
 
 
-def test_secrets_beyond_megabytes_of_a_packed_layer():
+def test_secrets_beyond_megabytes_of_a_packed_layer(monkeypatch):
     data = gzip.compress(b"a line of log\n" * 800_000 + b"token=abcdefgh12\n")
     hidden = base64.b64encode(data).decode()
     _value(f"x {hidden} y", hidden.rstrip("="))
+    monkeypatch.setattr(secrets, "MAX_RATIO", 1000)
+    monkeypatch.setattr(secrets, "LEAST_RATIO_BYTES", 1 << 20)
     unread = [0]
-    bomb = gzip.compress(gzip.compress(gzip.compress(b"a b " * 25_000_000)))
+    bomb = gzip.compress(gzip.compress(gzip.compress(b"a b " * 2_500_000)))
     assert secrets.find(base64.b64encode(bomb).decode(), unread)[1] == [] and unread == [1]
 
 
+def test_secrets_behind_a_hundred_megabytes_of_blanks():
+    import bz2
+    import time
+
+    hidden = base64.b64encode(bz2.compress(b" " * (100 << 20) + b"password=abcdef123 ")).decode()
+    began, unread = time.process_time(), [0]
+    assert len(secrets.find(hidden, unread)[1]) == 1 and unread == [0] and time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("before", ["", "blob", "data:", "x", "xy", "zzz", "https://a.b/c/", "key="])
+def test_secrets_in_zlib_wherever_it_begins(before):
+    import zlib
+
+    hidden = base64.b64encode(zlib.compress(b"the password=abcdef123 and some more text that is here")).decode()
+    assert any(kind == 0 and a >= len(before) - 1 for a, kind, _ in secrets.find(before + hidden)[1])
+
+
 def test_secrets_in_base64_behind_a_path():
     hidden = base64.b64encode(b"token=abcdefgh").decode()
     for text in (f"https://h/x/{hidden}", f"https://h/abc/{hidden}/end", f"a-b_c/{hidden}", f"https://h/?q={hidden}&z"):

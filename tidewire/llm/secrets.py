@@ -12,7 +12,8 @@ unwrapped in one step.
 
 Base64 is decoded at all four alignments of each run of its characters, and what is readable there is a region: a
 payload counts wherever it begins, as behind the path of a URL. Compressed bytes are inflated and scanned block by block to
-their end; only what grows by more than ``MAX_RATIO`` (nested bombs) is left, and counted as ``n_unread``.
+their end, blocks of one blank in bulk; what grows by more than ``MAX_RATIO``, as only bombs within bombs do, is left and
+counted as ``n_unread``. Two bytes that begin a zlib stream are tried wherever they are aligned: what isn't one doesn't inflate.
 
 Base patterns (leftmost, without overlap, failing matches dropped): assign, access, hex. A find in a decoded
 layer is added under its kind unless it takes nothing from decoded characters, or an equal span is there.
@@ -40,8 +41,9 @@ from pyspark.sql import functions as F
 
 from .kernel import arrow_schema, bound_batches, chunks, packed, table, tidy, unpacked, utf8
 
-#: Inflated bytes are taken up by blocks of this size, and by no more than so many for each encoded byte (all one layer can give; at least ``LEAST_RATIO_BYTES``).
-BLOCK, MAX_RATIO, LEAST_RATIO_BYTES = 1 << 20, 40_000, 64 << 20
+#: Inflated bytes are taken up by blocks of this size, and by no more than so many for each encoded byte: twice what bzip2, the
+#: densest, can give in one layer (at least ``LEAST_RATIO_BYTES``).
+BLOCK, MAX_RATIO, LEAST_RATIO_BYTES = 1 << 20, 2_000_000, 64 << 20
 KINDS = ("assign", "access", "hex")
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -65,6 +67,7 @@ INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 BETWEEN = frozenset(" \"':")
 #: Ends of what no find, and no encoded part of one, lies across: a character of neither set, or a space with no sign beside it.
 _CUT = re.compile(r"""[^\s%\\:=]\x20(?=[^\s%\\:="'])|[^A-Za-z0-9+/_.=%\\{}\x20"':-]""")
+_BLANK = b" \t\r\n"
 _ODD = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ufffd]+")
 _KEYWORDS = ("passw", "secret", "token", "api")
 
@@ -168,6 +171,11 @@ def _texts(blocks: Iterator[bytes]) -> Iterator[str]:
     """Text of the blocks in parts that no find or encoding lies across; ends where they aren't text."""
     decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
     for block in blocks:
+        if block[0] in _BLANK and block.count(block[:1]) == len(block):
+            # a run of one blank is no longer than its first for any find
+            if held.endswith(block[:1].decode()) and not decoder.getstate()[0]:
+                continue
+            block = block[:1]
         text = decoder.decode(block)
         if 20 * sum(map(len, _ODD.findall(text))) > len(text):
             return
@@ -289,8 +297,8 @@ def _packed_regions(text: str) -> Iterator[tuple[bytes, int, np.ndarray | None,
             data = _decoded(body, shift)
             for m in PACKED.finditer(data):
                 at = shift + m.start() // 3 * 4
-                # payloads begin with a whole group; two bytes alone say little, so those must begin a run or a part of it
-                if m.start() % 3 == 0 and (len(m.group()) > 2 or at == 0 or body[at - 1] in "+/"):
+                # payloads begin with a whole group
+                if m.start() % 3 == 0:
                     yield data[m.start() :], int(places[at]), places[at:], 0
     if "%" in text:
         for m in PACKED_PERCENT.finditer(text):
