@@ -252,15 +252,21 @@ def _scored(docs: DataFrame, grams: DataFrame, m: Model) -> DataFrame:
         h, counts = tokens(rows["text"].combine_chunks())
         before, both = pairs(h, counts)
         answers = answers.sort_by("bucket")
-        found = []
-        for gram, keys in ((1, h), (2, both)):
-            distinct, order, first = _distinct(keys)
+
+        def counts_of(gram: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Each token's count, and a token for each n-gram that this chunk owns."""
+            _, order, first = _distinct(keys)
             mine = answers.filter(pa.compute.equal(answers["gram"], gram))
             reply = np.concatenate([unpacked(x.as_py()) for x in mine["counts"]]) if len(mine) else np.zeros(0, np.uint64)
             each = np.empty(len(keys), np.int64)
             each[order] = np.repeat((reply >> np.uint64(1)).astype(np.int64), np.diff(np.append(first, len(keys))))
-            found.append((each, order[first[(reply & np.uint64(1)) == 1]]))
-        (c1, _), (c2, owned) = found
+            return each, order[first[(reply & np.uint64(1)) == 1]]
+
+        # large arrays go as soon as they have been used
+        c2, owned = counts_of(2, both)
+        del both
+        c1, _ = counts_of(1, h)
+        del h, answers
         doc = np.repeat(np.arange(len(counts)), counts)
         history = np.roll(c1, 1)
         history[np.cumsum(counts) - counts] = m.documents
