@@ -150,8 +150,8 @@ QUERIES = {
     "lag_p_values": lambda s, d: rounded(S.with_p(S.lag_metrics(_by_lag(merged(s, d)), "ticker", "lag")).select("ticker", "lag", "n_rows", "pearson_r", "p_value")),
     "lag_metrics_full": lambda s, d: rounded(S.full_metrics(_by_lag(merged(s, d)), "ticker", "lag")),
     "lag_heatmap": _heatmap,
-    "granger_f_stats": _granger,
-    "granger_best_lag": lambda s, d: S.granger_best(_granger(s, d)),
+    "granger_f_stats": lambda s, d: rounded(_granger(s, d)),
+    "granger_best_lag": lambda s, d: rounded(S.granger_best(_granger(s, d))),
     "ohlcv_daily": prices,
     "sma_gaps": lambda s, d: rounded(prices(s, d).select("ticker", "date", M.sma_gap(5).alias("sma_gap_5"), M.sma_gap(10).alias("sma_gap_10"))),
     "rolling_volatility": lambda s, d: rounded(prices(s, d).withColumn("ret", M.change("close", M.series("ticker"))).select("ticker", "date", M.volatility(F.col("ret"), 5).alias("vol_5"), M.volatility(F.col("ret"), 10).alias("vol_10"))),
@@ -219,6 +219,33 @@ THEN 1 - abs({r}) * list_sum(list_transform(range(0, (n_rows - 2) // 2), lambda
 ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * list_sum(list_transform(range(0, (n_rows - 3) // 2), lambda k: pow(1 - {r} * {r}, k + 0.5) * sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5))))) END"""
 
 
+def _granger_sql(maxlag: int = 3) -> str:
+    """SQL: both directions by lag. Own lags, then the other's, are taken out of the covariances one by one; what is left of y
+    is the variance of its residuals. F's tail comes from Student's by the recurrence of the incomplete beta function."""
+    lags = ", ".join(f"lag({c}, {k}) OVER w AS {c}{k}" for c in "yx" for k in range(1, maxlag + 1))
+    parts = [f"v AS (SELECT ticker, date, volume / nullif(lag(volume) OVER w, 0) - 1 AS s, close / nullif(lag(close) OVER w, 0) - 1 AS r FROM px {_W})"]
+    parts.append("d AS (SELECT ticker, date, 'sentiment_to_return' AS direction, r AS y, s AS x FROM v WHERE s IS NOT NULL AND r IS NOT NULL UNION ALL SELECT ticker, date, 'return_to_sentiment', s, r FROM v WHERE s IS NOT NULL AND r IS NOT NULL)")
+    parts.append(f"g AS (SELECT *, count(*) OVER (PARTITION BY ticker, direction) AS n, {lags} FROM d WINDOW w AS (PARTITION BY ticker, direction ORDER BY date))")
+    ends = []
+    for k in range(1, maxlag + 1):
+        names = ["y", *[f"y{i}" for i in range(1, k + 1)], *[f"x{i}" for i in range(1, k + 1)]]
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+        parts.append(f"c{k}_0 AS (SELECT ticker, direction, count(*) AS m, any_value(n) AS n, " + ", ".join(f"covar_pop({a}, {b}) AS {a}_{b}" for a, b in pairs) + f" FROM g WHERE y{k} IS NOT NULL GROUP BY ticker, direction)")
+        for step, out in enumerate(names[1:], 1):
+            left = ["y", *names[step + 1 :]]
+            at = lambda a, b, order=names: f"{a}_{b}" if order.index(a) <= order.index(b) else f"{b}_{a}"
+            rest = [f"{a}_{b} - {at(a, out)} * {at(b, out)} / {out}_{out} AS {a}_{b}" for i, a in enumerate(left) for b in left[i:]]
+            few = ", y_y AS few" if step == k + 1 else ", few" if step > k + 1 else ""
+            parts.append(f"c{k}_{step} AS (SELECT ticker, direction, m, n{few}, {', '.join(rest)} FROM c{k}_{step - 1})")
+        ends.append(f"SELECT ticker, direction, CAST({k} AS BIGINT) AS lag, n, (few - y_y) / {k} / (y_y / (m - {2 * k + 1})) AS f, m - {2 * k + 1} AS df FROM c{k}_{2 * k}")
+    parts.append("f AS (SELECT * FROM (" + " UNION ALL ".join(ends) + f") WHERE n >= {max(30, 8 * maxlag)} AND df > 0)")
+    parts.append("t AS (SELECT *, df + 2 AS n_rows, df / (df + lag * f) AS z, sqrt(1 - df / (df + lag * f)) AS sn FROM f)")
+    tail = _p_value("sn")
+    beta = "exp(lgamma(df / 2.0) + lgamma(0.5) - lgamma(df / 2.0 + 0.5))"
+    parts.append(f"gr AS (SELECT ticker, direction, lag, f AS f_stat, CASE lag WHEN 1 THEN {tail} WHEN 2 THEN pow(z, df / 2.0) ELSE {tail} + pow(z, df / 2.0) * sn / (0.5 * {beta}) END AS p_value, CAST(df AS BIGINT) AS df_denom, lag AS df_num FROM t)")
+    return ", ".join(parts)
+
+
 _NUMBERED = f"nm AS (SELECT *, row_number() OVER w AS rn FROM px {_W})"
 _MACD = f"{_recursive('e2', 'nm', 'close', {'e12': 2 / 13, 'e26': 2 / 27})}, mc AS (SELECT ticker, rn, e12 - e26 AS macd FROM e2), {_recursive('sg', 'mc', 'macd', {'sig': 2 / 10})}"
 _RSI = f"dl AS (SELECT ticker, date, close - lag(close) OVER w AS delta FROM px {_W}), gl AS (SELECT ticker, date, greatest(delta, 0) AS gain, greatest(-delta, 0) AS loss, row_number() OVER w AS rn FROM dl WHERE delta IS NOT NULL {_W}), {_recursive('ag', 'gl', 'gain', {'g': 1 / 14})}, {_recursive('ls', 'gl', 'loss', {'l': 1 / 14})}, rs AS (SELECT px.ticker, px.date, CASE WHEN rn IS NULL OR rn < 14 OR l = 0 THEN 50 ELSE 100 - 100 / (1 + g / l) END::DOUBLE AS rsi FROM px LEFT JOIN (SELECT gl.ticker, gl.date, rn, g, l FROM gl JOIN ag USING (ticker, rn) JOIN ls USING (ticker, rn)) x USING (ticker, date))"
@@ -241,6 +268,8 @@ ORACLES = {
 SELECT ticker, lag, n_rows, round(r, 6) AS pearson_r, round({_p_value('r')}, 6) AS p_value FROM c""",
     "lag_metrics_full": f"""WITH {_MERGED}, {_LAGGED}, {_RANKED.replace('round(covar_pop(rs, rr) / nullif(stddev_pop(rs) * stddev_pop(rr), 0), 6)', 'covar_pop(rs, rr) / nullif(stddev_pop(rs) * stddev_pop(rr), 0)')}, c AS (SELECT ticker, lag, {_R} AS r FROM pairs GROUP BY ticker, lag)
 SELECT lm.*, round(spearman_r, 6) AS spearman_r, round({_p_value('r')}, 6) AS pearson_p, round({_p_value('spearman_r')}, 6) AS spearman_p, round({_p_value('r')}, 6) AS slope_p FROM lm JOIN c USING (ticker, lag) JOIN (SELECT ticker, lag, spearman_r FROM sp) USING (ticker, lag)""",
+    "granger_f_stats": f"WITH {_PX}, {_granger_sql()} SELECT ticker, direction, lag, round(f_stat, 6) AS f_stat, round(p_value, 6) AS p_value, df_denom, df_num FROM gr",
+    "granger_best_lag": f"WITH {_PX}, {_granger_sql()}, b AS (SELECT ticker, direction, arg_min(lag, [p_value, lag]) AS best_lag, min(p_value) AS best_p FROM gr GROUP BY ALL) SELECT ticker, direction, best_lag, round(best_p, 6) AS best_p_value, best_p < 0.05 AS significant FROM b",
     "lag_metrics_spearman": f"WITH {_MERGED}, {_RANKED} SELECT * FROM sp",
     "directional_accuracy": f"WITH {_MERGED} SELECT lag, count(*) AS n_rows, {_DIR} FROM pairs GROUP BY lag",
     "lag_heatmap": f"WITH {_MERGED}, {_LAGGED}, {_RANKED}, j AS (SELECT ticker, lag, pearson_r, spearman_r, directional_accuracy FROM lm JOIN sp USING (ticker, lag)) SELECT ticker, lag, 'pearson_r' AS metric, pearson_r AS value FROM j UNION ALL SELECT ticker, lag, 'spearman_r', spearman_r FROM j UNION ALL SELECT ticker, lag, 'directional_accuracy', directional_accuracy FROM j",
