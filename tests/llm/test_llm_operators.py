@@ -257,8 +257,10 @@ def test_secrets_beyond_megabytes_of_a_packed_layer(monkeypatch):
     monkeypatch.setattr(secrets, "MAX_RATIO", 1000)
     monkeypatch.setattr(secrets, "LEAST_RATIO_BYTES", 1 << 20)
     unread = [0]
-    bomb = gzip.compress(gzip.compress(gzip.compress(b"a b " * 2_500_000)))
-    assert secrets.find(base64.b64encode(bomb).decode(), unread)[1] == [] and unread == [1]
+    bomb = b"a b " * 2_500_000
+    for _ in range(3):
+        bomb = gzip.compress(bomb, mtime=0)
+    assert secrets.find(base64.b64encode(bomb).decode(), unread)[1] == [] and unread[0] >= 1
 
 
 def test_secrets_behind_a_hundred_megabytes_of_blanks():
