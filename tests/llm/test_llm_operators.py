@@ -661,18 +661,20 @@ def test_html_of_a_long_page():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, tmp_path, sf_dir, name):
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_nulls_and_repeated_rows(spark, tmp_path, sf_dir, name):
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
         frame = spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(30)
         nulls = spark.createDataFrame([(None,) * len(frame.columns)] * 2, frame.schema)
         frame.union(frame.limit(5)).union(nulls).write.parquet(f"{tmp_path}/{table}.parquet")
-    assert QUERIES[name](spark, str(tmp_path)).count() == 37
+    # op13 has a row a conversation, the others one a row
+    want = spark.read.parquet(f"{tmp_path}/conversations.parquet").select("conv_id").distinct().count() if name.startswith("op13_") else 37
+    assert QUERIES[name](spark, str(tmp_path)).count() == want
 
 
 def test_digest_of_spans(spark, sf_dir):
