@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,18 @@ def test_datelines(spark, value, want):
     assert text.strip_dateline(spark.createDataFrame([(value,)], "x string"), "x").first().x == want
 
 
+@pytest.mark.parametrize(("value", "want"), [("NEW YORK\nUSA, JAN 1 (Reuters) - Up.", "Up."), ("ABC\nDE: Up.", "ABC\nDE: Up."), ("\n".join(["ABC"] * 6) + ": Up.", "Up."), ("\n".join(["ABC"] * 7) + ": Up.", "\n".join(["ABC"] * 7) + ": Up.")])
+def test_datelines_over_lines(spark, value, want):
+    assert text.strip_dateline(spark.createDataFrame([(value,)], "x string"), "x").first().x == want
+
+
+def test_datelines_of_long_heads_take_no_time(spark):
+    heads = ["abc  " * 40, "ABC DEF, " * 20, "the market rose again today while others fell " * 4]
+    start = time.monotonic()
+    assert [r.x for r in text.strip_dateline(spark.createDataFrame([(h + "1",) for h in heads * 10], "x string"), "x").collect()] == [h + "1" for h in heads * 10]
+    assert time.monotonic() - start < 20
+
+
 @pytest.mark.parametrize(("value", "want"), [("Up today. up today. Down!", "Up today. Down!"), ("Related stories: x", ""), ("Relatedly. x", "Relatedly. x"), (None, "")])
 def test_sentences(spark, value, want):
     assert text.distinct_sentences(spark.createDataFrame([(value,)], "x string"), "x").first().x == want

@@ -37,8 +37,9 @@ BOILERPLATE = (
     r"\bread also\b[^.]*\.?",
     r"\brelated\b[^.]*\.?",
 )
-# Datelines at the head of a text, the first that matches counts.
-_PLACE = r"^\s*[A-Z][A-Z .,&'/-]{2,}(?:\s+[A-Z][A-Z .,&'/-]{2,}){0,5}"
+# Datelines at the head of a text, the first that matches counts. A place goes on over a line end or a tab at most
+# five times; blanks inside it belong to its letters, so that each end of it can be reached in one way only.
+_PLACE = r"^\s*+[A-Z][A-Z .,&'/-]{2,}(?:[\t\n\x0B\f\r]\s*+[A-Z][A-Z .,&'/-]{2,}){0,5}"
 DATELINES = (
     _PLACE + r"\s*:\s+",
     _PLACE + r"\s*\(\s*\d{1,2}\s+[A-Z]{3,12}\s*\)\s*:\s+",
@@ -148,7 +149,7 @@ def strip_dateline(df: DataFrame, name: str) -> DataFrame:
     for _ in range(3):
         for choices in ((NAVIGATION,), DATELINES):
             head = F.substring(name, 1, HEAD)
-            cut = F.coalesce(*[F.when(F.rlike(head, F.lit(p)), F.length(F.regexp_extract(head, p, 0))) for p in choices], F.lit(0))
+            cut = F.coalesce(*[F.nullif(F.length(F.regexp_extract(head, p, 0)), F.lit(0)) for p in choices], F.lit(0))
             df = df.withColumn("_cut", cut).withColumn(name, F.substr(F.col(name), F.col("_cut") + 1)).drop("_cut")
     return df.withColumn(name, F.ltrim(name))
 
