@@ -58,6 +58,13 @@ def test_mojibake():
     assert text.repaired("cafÃƒÂ©") == "café"
 
 
+def test_mojibake_columns(spark):
+    odd = [None, "", "plain", "cafÃ©", "cafÃƒÂ©", "itâ€™s", "itâ€™s \x92Ã©", "日 Ã©", "â€\x9d", "â\x80\x9d", "Ã", "Ã\x81", "Ã©\x00", "ðŸ˜€ Ã©", "Â£ ÿ", "À\xaf Ã©", "í\xa0\x80 Ã©", "ÃƒÆ’Ã‚Â©"] + [f"Ã{chr(i)}" for i in range(0x80, 0x200)]
+    frame = text.repair(spark.createDataFrame(list(enumerate(odd)), "i int, x string"), "x")
+    assert {r.i: r.x for r in frame.collect()} == {i: x and text.repaired(x) for i, x in enumerate(odd)}
+    assert "Python" not in frame._jdf.queryExecution().toString()
+
+
 def test_white_space(spark):
     assert one(spark, " a  b\x1c\n", text.collapse) == "a b"
 

@@ -1,4 +1,4 @@
-"""Text functions as columns; only entity decoding and mojibake repair fall back to Arrow functions, and only where needed."""
+"""Text functions as columns; only entity decoding falls back to an Arrow function, and only where needed."""
 
 from __future__ import annotations
 
@@ -21,6 +21,9 @@ REPLACEMENTS = [
 MATCH_REPLACEMENTS = [("\x91", "'"), ("\x92", "'"), ("\x93", '"'), ("\x94", '"'), ("\x96", "-"), ("\x97", "-"), ("\xa0", " "), ("’", "'"), ("‘", "'"), ("“", '"'), ("”", '"'), ("–", "-"), ("—", "-"), ("…", "...")]
 # What mojibake looks like.
 MARKERS = ("Ã", "Â", "â‚¬", "â€œ", "â€", "â€™", "â€¦")
+# The characters that cp1252 has in place of latin-1's U+0080-9F, and these.
+CP1252 = "".join(bytes([b]).decode("cp1252") for b in range(128, 160) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+CP1252_BYTES = CP1252.encode("cp1252").decode("latin-1")
 # Query keys that only track.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid")
 # Boilerplate inside a text, removed in this order, in any case.
@@ -113,23 +116,44 @@ def unescaped(c: str | Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), _arrow(html.unescape)(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
-def repair(c: str | Column) -> Column:
-    """P6, run only on texts with a marker: the score can only drop where it isn't 0."""
-    c = _col(c)
-    return F.when(mojibake_score(c) > 0, _arrow(repaired)(F.when(mojibake_score(c) > 0, c))).otherwise(c)
+def _as_latin(c: Column) -> Column:
+    """A text with cp1252's own characters as the ones that latin-1 has for these bytes, where it has some and cp1252 has bytes for all else.
+
+    Without one, cp1252 and latin-1 give the same bytes, or cp1252 gives none; with one, latin-1 gives none.
+    """
+    return F.when(~F.rlike(c, F.lit(r"[^\x00-\xFF]")), c).when(~F.rlike(c, F.lit(r"[\x80-\x9F]")), F.translate(c, CP1252, CP1252_BYTES))
+
+
+def _read_again(c: Column) -> Column:
+    """A text's characters as latin-1's bytes, and these as UTF-8; null where that can't be."""
+    return F.try_validate_utf8(F.encode(F.when(~F.rlike(c, F.lit(r"[^\x00-\xFF]")), c), "ISO-8859-1").cast("string"))
+
+
+def repair(df: DataFrame, name: str) -> DataFrame:
+    """P6, run only on texts with a marker: the score can only drop where it isn't 0.
+
+    Each step is a column of its own, so that no step is worked out more than once; a text that stayed isn't read again.
+    """
+    df = df.withColumn("_score", mojibake_score(name))
+    for _ in range(2):
+        df = df.withColumn("_text", F.when(F.col("_score") > 0, F.col(name))).withColumn("_text", _as_latin(F.col("_text")))
+        df = df.withColumn("_text", _read_again(F.col("_text"))).withColumn("_fewer", mojibake_score("_text"))
+        better = F.col("_fewer") < F.col("_score")
+        df = df.withColumns({name: F.when(better, F.col("_text")).otherwise(F.col(name)), "_score": F.when(better, F.col("_fewer"))})
+    return df.drop("_score", "_text", "_fewer")
 
 
 def clean(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """Entities, mojibake, replacements, tags, white space. Steps are columns of their own, so that Python runs once."""
     out = out or name
     df = df.withColumn(out, unescaped(F.coalesce(F.col(name), F.lit(""))))
-    return df.withColumn(out, repair(out)).withColumn(out, collapse(strip_tags(replaced(out))))
+    return repair(df, out).withColumn(out, collapse(strip_tags(replaced(out))))
 
 
 def clean_mojibake(df: DataFrame, columns: list[str]) -> DataFrame:
     """P10: chosen columns repaired, with plain marks for typographic ones and single spaces; entities and tags stay."""
     for c in columns:
-        df = df.withColumn(c, repair(F.coalesce(F.col(c), F.lit(""))))
+        df = repair(df.withColumn(c, F.coalesce(F.col(c), F.lit(""))), c)
     return df.withColumns({c: collapse(replaced(c)) for c in columns})
 
 

@@ -147,7 +147,7 @@ def _titles(spark, d):
 QUERIES = {
     "clean_whitespace": _docs(lambda: T.collapse("text"), "text"),
     "mojibake_score": lambda s, d: _mojibake(s, d).select("doc_id", T.mojibake_score("text").alias("score")),
-    "mojibake_repair": lambda s, d: _mojibake(s, d).select("doc_id", T.repair("text").alias("text")),
+    "mojibake_repair": lambda s, d: T.repair(_mojibake(s, d), "text"),
     "clean_text": lambda s, d: T.clean(_mojibake(s, d), "text"),
     "clean_mojibake_columns": lambda s, d: T.clean_mojibake(_mojibake(s, d).withColumn("head", F.substring_index("text", ".", 1)), ["text", "head"]),
     "literal_replacements": lambda s, d: _mojibake(s, d).select("doc_id", T.replaced("text").alias("text")),
