@@ -58,3 +58,8 @@ def test_prompts_hold_the_whole_title(spark, tmp_path):
     docs = [(i, "a" * 300 + tail + ". Rest", "s", "en") for i, tail in enumerate("xy")]
     spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert len({r.prompt_md5 for r in QUERIES["prompt_render"](spark, str(tmp_path)).collect()}) == 2
+
+
+def test_replacements_meet_quotes(spark, sf_dir):
+    rows = QUERIES["literal_replacements"](spark, sf_dir).where("doc_id % 3 = 0 AND text IS NOT NULL").collect()
+    assert rows and all(r.text.endswith("cafÃ© \"x\" it's £") for r in rows)

@@ -86,6 +86,11 @@ def _mojibake(spark, d):
     return table(spark, d, "documents").select("doc_id", seeded.alias("text"))
 
 
+def _quoted(spark, d):
+    seeded = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit("cafÃ© â€œxâ€\x9d itâ€™s Â£")).otherwise(F.lit("")))
+    return table(spark, d, "documents").select("doc_id", seeded.alias("text"))
+
+
 def _boiler(spark, d):
     parts = F.when(F.col("doc_id") % 2 == 0, F.lit("Follow us on social media. Read also this. Copyright 2024 X. ")).otherwise(F.lit("All rights reserved. Terms of service apply here. "))
     return table(spark, d, "documents").select("doc_id", F.concat(parts, "text").alias("text"))
@@ -150,7 +155,7 @@ QUERIES = {
     "mojibake_repair": lambda s, d: T.repair(_mojibake(s, d), "text"),
     "clean_text": lambda s, d: T.clean(_mojibake(s, d), "text"),
     "clean_mojibake_columns": lambda s, d: T.clean_mojibake(_mojibake(s, d).withColumn("head", F.substring_index("text", ".", 1)), ["text", "head"]),
-    "literal_replacements": lambda s, d: _mojibake(s, d).select("doc_id", T.replaced("text").alias("text")),
+    "literal_replacements": lambda s, d: _quoted(s, d).select("doc_id", T.replaced("text").alias("text")),
     "strip_tags": _pages(("text", lambda: T.strip_tags("html"))),
     "boilerplate_strip": lambda s, d: _boiler(s, d).select("doc_id", T.without_boilerplate("text").alias("text")),
     "dateline_strip": lambda s, d: T.strip_dateline(_datelined(s, d), "text"),
@@ -205,6 +210,7 @@ def _nested(x: str, pairs) -> str:
 
 
 _SEEDED = "(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN 'cafÃ© itâ€™s Â£' ELSE '' END AS text FROM documents)"
+_QUOTED = "(SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN 'cafÃ© â€œxâ€\x9d itâ€™s Â£' ELSE '' END AS text FROM documents)"
 _ARTICLES = "articles AS (SELECT doc_id, source, lang AS category, trim(split_part(text, '.', 1)) AS title, text AS body, DATE '2023-01-01' + CAST(doc_id % 1096 AS INT) AS date FROM documents)"
 _RAW = f"(SELECT event_id, [{', '.join(_quote(x) for x in _LABELS)}][event_id % {len(_LABELS)} + 1] AS raw FROM events)"
 _TITLED = "title || ' ' || body"
@@ -247,7 +253,7 @@ ORACLES = {
     "published_dates": "SELECT page_id, CASE WHEN page_id % 10 NOT IN (7, 8) THEN CAST(DATE '2024-01-01' + CAST(page_id % 300 AS INT) AS DATE) END AS published FROM pages",
     "clean_whitespace": f"SELECT doc_id, {_collapse('text')} AS text FROM documents",
     "mojibake_score": f"SELECT doc_id, CAST({' + '.join(f'(length(text) - length(replace(text, {_quote(m)}, {_quote(str())}))) / {len(m)}' for m in T.MARKERS)} AS BIGINT) AS score FROM {_SEEDED}",
-    "literal_replacements": f"SELECT doc_id, {_nested('text', T.REPLACEMENTS)} AS text FROM {_SEEDED}",
+    "literal_replacements": f"SELECT doc_id, {_nested('text', T.REPLACEMENTS)} AS text FROM {_QUOTED}",
     "strip_tags": "SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS text FROM pages",
     "boilerplate_strip": f"SELECT doc_id, {_collapse(_boiled())} AS text FROM {_BOILED}",
     "dateline_strip": "SELECT doc_id, trim(CASE WHEN doc_id % 5 = 4 THEN 'Plain. ' ELSE '' END || coalesce(text, '')) AS text FROM documents",
